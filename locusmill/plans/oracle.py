@@ -75,7 +75,6 @@ CTE = {
                 JOIN (SELECT doc_id, source, {_LETTERS} AS letters, {_PROT} AS prot FROM documents) d
                   ON doc_id = o_custkey % (SELECT count(*) FROM documents))))""",
 }
-_NEEDS = {}
 
 REVCOMP = "reverse(translate({0}, 'ACGTNRYSWKMBDHVacgtnryswkmbdhv', 'TGCANYRSWMKVHDBtgcanyrswmkvhdb'))"
 
@@ -279,5 +278,407 @@ def annotation_sql() -> dict[str, str]:
     return out
 
 
+def _cluster_extra(gap):
+    return f"""
+  cds AS (SELECT *, start0 + 1 AS start FROM features WHERE type = 'CDS'),
+  flagged AS (SELECT *, coalesce(start - lag("end") OVER w > {gap}, true) AS opens FROM cds
+    WINDOW w AS (PARTITION BY genome, record_id ORDER BY start, "end", locus_tag)),
+  numbered AS (SELECT *, CAST(sum(CAST(opens AS BIGINT)) OVER (PARTITION BY genome, record_id
+      ORDER BY start, "end", locus_tag ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) AS cluster FROM flagged),
+  marks AS (SELECT genome, record_id, max(cluster) AS last, min(start) AS first_start,
+      arg_max("end", (start, "end", locus_tag)) AS last_end, any_value(topology) AS topology FROM numbered GROUP BY 1, 2),
+  merged AS (SELECT n.*,
+      topology_c AND last > 0 AND first_start + contig_length - last_end BETWEEN 0 AND {gap} AND cluster IN (0, last) AS wraps
+    FROM (SELECT numbered.*, marks.last, marks.first_start, marks.last_end, marks.topology = 'circular' AS topology_c
+          FROM numbered JOIN marks USING (genome, record_id)) n)"""
+
+
+def interval_sql() -> dict[str, str]:
+    out = {}
+    spans = (
+        'CAST(count(*) AS BIGINT) AS hits, {w} AS wraps_origin, {c1} AS c1, {c2} AS c2, round(({span}) / 1000.0::DOUBLE, 6) AS span_kb'
+    )
+    out["proximity_clusters"] = sql(
+        "features",
+        "SELECT genome, record_id, cluster, "
+        + spans.format(w="false", c1="min(start)", c2='max("end")', span='max("end") - min(start)')
+        + " FROM numbered GROUP BY 1, 2, 3",
+        _cluster_extra(5000),
+    )
+    c1 = "CASE WHEN bool_or(wraps) THEN min(start) FILTER (start > contig_length / 2) ELSE min(start) END"
+    c2 = 'CASE WHEN bool_or(wraps) THEN max("end") FILTER (start <= contig_length / 2) ELSE max("end") END'
+    out["circular_wrap"] = sql(
+        "features",
+        f"""SELECT genome, record_id, cluster, hits, wraps_origin, c1, c2,
+              round(CASE WHEN wraps_origin THEN len - c1 + c2 ELSE c2 - c1 END / 1000.0::DOUBLE, 6) AS span_kb,
+              'extract-region -i genomes.gbk --c1 ' || c1 || ' --c2 ' || c2 ||
+                CASE WHEN wraps_origin THEN ' --circular' ELSE '' END || ' --seq ' || record_id AS command
+            FROM (SELECT genome, record_id, CASE WHEN wraps THEN 0 ELSE cluster END AS cluster, count(*) AS hits,
+                    bool_or(wraps) AS wraps_origin, {c1} AS c1, {c2} AS c2, any_value(contig_length) AS len
+                  FROM merged GROUP BY 1, 2, 3)""",
+        _cluster_extra(5000),
+    )
+    out["cluster_members"] = sql(
+        "features",
+        'SELECT genome, record_id, locus_tag, start, "end", cluster, false AS wraps_origin FROM numbered',
+        _cluster_extra(5000),
+    )
+    wins = """
+  anchors AS (SELECT DISTINCT locus_tag FROM features WHERE type = 'tRNA' AND gene IS NOT NULL),
+  spans AS (SELECT genome, record_ord, record_id, locus_tag, min(start0) + 1 AS a, max("end") AS b
+    FROM features SEMI JOIN anchors USING (locus_tag) WHERE {rep} GROUP BY 1, 2, 3, 4),
+  firsts AS (SELECT * FROM spans QUALIFY row_number() OVER (PARTITION BY genome, locus_tag ORDER BY record_ord) = 1),
+  wins AS (SELECT genome, record_id, locus_tag AS anchor, greatest((a + b) // 2 - win, 1) AS w1, (a + b) // 2 + win AS w2
+    FROM (SELECT *, {win} AS win FROM firsts))"""
+    bnd = (
+        "CASE WHEN start0 + 1 >= w1 AND \"end\" <= w2 THEN 'full' WHEN start0 + 1 < w1 AND \"end\" > w2"
+        " THEN 'spans-window' WHEN start0 + 1 < w1 THEN 'clipped-left' ELSE 'clipped-right' END"
+    )
+    for name, win, cond in (
+        (
+            "context_window",
+            "CASE WHEN b - a > 5000 AND (b - a) * 3 > 10000 THEN (b - a) * 3 ELSE 10000 END",
+            'start0 + 1 <= w2 AND "end" >= w1',
+        ),
+        ("context_strict", "3000", "start0 + 1 >= w1 AND start0 + 1 <= w2"),
+    ):
+        out[name] = sql(
+            "features",
+            f"""SELECT f.genome, anchor, CASE WHEN locus_tag = anchor THEN 'yes' ELSE 'no' END AS "Is_Anchor",
+                  {_VIEW.replace('record_id AS', 'f.record_id AS')}, {bnd} AS "Boundary"
+                FROM features f JOIN wins w ON f.genome = w.genome AND f.record_id = w.record_id
+                WHERE {_REPORTED} AND {cond}""",
+            wins.format(rep=_REPORTED, win=win),
+        )
+    ident = (
+        "coalesce({0}.locus_tag, {0}.protein_id, {0}.gene, 'UNANNOTATED_' || {0}.record_id || '_' || {0}.start0 || '_' || {0}.\"end\")"
+    )
+    out["mrna_contains_cds"] = sql(
+        "genes",
+        f"""SELECT m.genome, m.record_id, m.feat_ord, arg_min({ident.format('c')}, c.feat_ord) AS inner_id
+            FROM genes m JOIN genes c ON m.genome = c.genome AND m.record_id = c.record_id
+             AND m.start0 <= c.start0 AND c."end" <= m."end"
+            WHERE m.type = 'mRNA' AND c.type = 'CDS' GROUP BY 1, 2, 3""",
+    )
+    out["feature_overlaps"] = sql(
+        "features",
+        """SELECT m.genome, m.record_id, m.locus_tag AS m_locus, m.start0 AS m_start, m."end" - 1 AS m_end,
+             c.locus_tag AS c_locus, c.start0 AS c_start, c."end" - 1 AS c_end
+           FROM features m JOIN features c ON m.genome = c.genome AND m.record_id = c.record_id
+            AND m.start0 <= c."end" - 1 AND m."end" - 1 >= c.start0 WHERE m.type = 'mRNA' AND c.type = 'CDS'""",
+    )
+    return out
+
+
+def _up(src, u, name="ups"):
+    """CTE with ws, we and the oriented upstream sequence of every row of ``src``."""
+    piece = "substr(seq, ws + 1, we - ws)"
+    return f"""
+  {name}_w AS (SELECT *, CASE WHEN strand = 1 THEN greatest(start0 - {u}, 0) ELSE "end" END AS ws,
+      CASE WHEN strand = 1 THEN start0 ELSE least("end" + {u}, contig_length) END AS we FROM {src}),
+  {name} AS MATERIALIZED (SELECT w.*, we - ws AS actual,
+      CASE WHEN strand = 1 THEN {piece} ELSE {REVCOMP.format(piece)} END AS upstream
+    FROM {name}_w w JOIN contigs c ON w.genome = c.genome AND w.record_id = c.record_id)"""
+
+
+_IDENT = "coalesce(locus_tag, protein_id, gene, 'UNANNOTATED_' || record_id || '_' || start0 || '_' || \"end\")"
+_KW = "(contains(lower(coalesce(product, '')), 'ring') OR contains(lower(coalesce(product, '')), 'bolt'))"
+_REGION = 'genome, record_ord, record_id, locus, product, start0, "end", strand, actual, upstream'
+
+_MODELS = f"""
+  cds AS (SELECT genome, record_id, ident, arg_max(product, feat_ord) AS product, min(feat_ord) AS ford,
+      arg_max(start0, feat_ord) AS cs, arg_max("end", feat_ord) AS ce
+    FROM (SELECT *, {_IDENT} AS ident FROM genes WHERE type = 'CDS') WHERE {_KW} GROUP BY 1, 2, 3),
+  mrna AS (SELECT *, {_IDENT} AS ident FROM genes WHERE type = 'mRNA'),
+  placed AS (SELECT m.genome, m.record_id, m.feat_ord, arg_min(c.ident, c.ford) AS locus
+    FROM mrna m JOIN cds c ON m.genome = c.genome AND m.record_id = c.record_id
+     AND m.start0 <= c.cs AND c.ce <= m."end"
+    WHERE starts_with(m.ident, 'UNANNOTATED_') AND starts_with(c.ident, 'UNANNOTATED_')
+      AND NOT EXISTS (SELECT 1 FROM cds d WHERE d.genome = m.genome AND d.record_id = m.record_id AND d.ident = m.ident)
+    GROUP BY 1, 2, 3),
+  models AS (SELECT m.* EXCLUDE (product), c.product, c.ident AS locus FROM mrna m
+      JOIN cds c ON m.genome = c.genome AND m.record_id = c.record_id AND m.ident = c.ident
+    UNION ALL
+    SELECT m.* EXCLUDE (product), c.product, p.locus FROM mrna m
+      JOIN placed p ON m.genome = p.genome AND m.record_id = p.record_id AND m.feat_ord = p.feat_ord
+      JOIN cds c ON c.genome = p.genome AND c.record_id = p.record_id AND c.ident = p.locus)"""
+
+
+def upstream_sql() -> dict[str, str]:
+    out = {}
+    out["upstream_extract"] = sql(
+        "contigs genes",
+        "SELECT genome, record_id, feat_ord, ws, we, actual, actual < 150 AS truncated, upstream FROM ups",
+        "\n  src AS (SELECT * FROM genes WHERE type = 'CDS')," + _up("src", 150),
+    )
+    out["organism_mode"] = sql(
+        "genes",
+        """SELECT genome, CASE WHEN arg_min(m, record_ord) THEN 'eukaryote' ELSE 'prokaryote' END AS mode,
+             bool_or(m) AS eukaryotic
+           FROM (SELECT genome, record_ord, bool_or(type = 'mRNA') AS m FROM genes GROUP BY 1, 2) GROUP BY 1""",
+    )
+    first = "QUALIFY row_number() OVER (PARTITION BY genome, locus ORDER BY record_ord, feat_ord) = 1"
+    out["keyword_promoters"] = sql(
+        "contigs genes",
+        f"SELECT {_REGION} FROM ups",
+        f"""
+  src AS (SELECT * REPLACE (coalesce(product, '') AS product), {_IDENT} AS locus FROM genes WHERE type = 'CDS' AND {_KW} {first}),"""
+        + _up("src", 120),
+    )
+    merged = """
+  tss AS (SELECT genome, record_ord, record_id, locus, any_value(product) AS product, 0 AS feat_ord,
+      any_value(contig_length) AS contig_length,
+      least(arg_min(start0, feat_ord), coalesce(min(start0) FILTER (strand = 1), 1000000000)) AS start0,
+      greatest(arg_min("end", feat_ord), coalesce(max("end") FILTER (strand IS DISTINCT FROM 1), -1)) AS "end",
+      arg_min_null(strand, feat_ord) AS strand
+    FROM models GROUP BY 1, 2, 3, 4),
+  src AS (SELECT * FROM tss QUALIFY row_number() OVER (PARTITION BY genome, locus ORDER BY record_ord) = 1),"""
+    out["tss_merge"] = sql("contigs genes", f"SELECT {_REGION} FROM ups", _MODELS + "," + merged + _up("src", 120))
+    iso = """
+  named AS (SELECT * EXCLUDE (locus), locus || '#' || coalesce(transcript_id, 'isoform' ||
+      CAST(sum(CASE WHEN transcript_id IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY genome, record_id, locus
+        ORDER BY feat_ord ROWS UNBOUNDED PRECEDING) AS BIGINT)) AS locus FROM models),
+  src AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY genome, locus ORDER BY record_ord, feat_ord) = 1),"""
+    out["isoform_promoters"] = sql("contigs genes", f"SELECT {_REGION} FROM ups", _MODELS + "," + iso + _up("src", 120))
+    rank = "CASE type WHEN 'CDS' THEN 1 WHEN 'mRNA' THEN 2 WHEN 'tRNA' THEN 3 END"
+    out["locus_promoters"] = sql(
+        "contigs genes",
+        'SELECT genome, record_id, locus, type, start0, "end", strand, other_coords, actual, upstream FROM ups',
+        f"""
+  wanted AS (SELECT DISTINCT locus_tag FROM genes WHERE contains(product, 'gear') AND locus_tag IS NOT NULL),
+  cand AS (SELECT *, locus_tag AS locus, {rank} AS rk FROM genes SEMI JOIN wanted USING (locus_tag)),
+  oth AS (SELECT genome, locus, record_ord, rk, count(DISTINCT (start0, "end", coalesce(strand, 0))) - 1 AS other_coords
+    FROM cand GROUP BY 1, 2, 3, 4),
+  best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY genome, locus ORDER BY record_ord, rk, feat_ord) = 1),
+  src AS (SELECT b.*, o.other_coords FROM best b JOIN oth o ON b.genome = o.genome AND b.locus = o.locus
+      AND b.record_ord = o.record_ord AND b.rk = o.rk),"""
+        + _up("src", 100),
+    )
+    return out
+
+
+def _motif_hits(src, regex, width, idcols, n):
+    """Hits of a fixed-width motif by trying every position on both strands."""
+    rc = REVCOMP.format("s")
+    return f"""
+  pos AS (SELECT {idcols}, s, {n} AS n, unnest(range(0, length(s) - {width} + 1)) AS i FROM {src} WHERE length(s) >= {width}),
+  plus AS (SELECT {idcols}, n, i AS pos0, substr(s, i + 1, {width}) AS text, '+' AS strand, 0 AS so, length(s) AS len FROM pos
+    WHERE regexp_full_match(substr(s, i + 1, {width}), '{regex}')),
+  minus AS (SELECT {idcols}, n, len - i - {width} AS pos0, substr(r, i + 1, {width}) AS text, '-' AS strand, 1 AS so, len
+    FROM (SELECT {idcols}, {n} AS n, {rc} AS r, length(s) AS len, unnest(range(0, length(s) - {width} + 1)) AS i
+          FROM {src} WHERE length(s) >= {width}) WHERE regexp_full_match(substr(r, i + 1, {width}), '{regex}')),
+  hits AS MATERIALIZED (SELECT *, pos0 - n AS rel_pos FROM (SELECT * FROM plus UNION ALL SELECT * FROM minus))"""
+
+
+_MOTIF_RE = "T[GT][GC]AC[AG]"
+
+
+def _bg(src):
+    return f"""
+  counts AS (SELECT {", ".join(f"sum(length(s) - length(replace(s, '{b}', ''))) AS {b}" for b in "ACGT")} FROM {src}),
+  bg AS (SELECT {", ".join(f"greatest({b} / CAST(A + C + G + T AS DOUBLE), 0.01::DOUBLE) AS {b}" for b in "ACGT")} FROM counts)"""
+
+
+_P = "T * (G + T) * (C + G) * A * C * (A + G)"
+
+
+def motif_sql() -> dict[str, str]:
+    out = {}
+    scan = (
+        "\n  src AS (SELECT * FROM genes WHERE type = 'CDS'),"
+        + _up("src", 150)
+        + """,
+  u AS (SELECT *, upper(upstream) AS s, coalesce(locus_tag, 'UNANNOTATED_' || record_id || '_' || start0 || '_' || "end") AS lt FROM ups),"""
+        + _motif_hits("u", _MOTIF_RE, 6, "genome, record_id, feat_ord, lt, product, strand AS gstrand, ws, we", "actual").replace(
+            "gstrand, ws, we, n,", "gstrand, ws, we, n,"
+        )
+        + ","
+        + _bg("u")
+        + f""",
+  tot AS (SELECT sum(greatest(actual - 6 + 1, 0) * 2) AS windows FROM u),
+  st AS (SELECT {_P} AS p_value, windows, (SELECT count(*) FROM hits) AS hits,
+           (SELECT count(DISTINCT feat_ord) FROM hits) AS genes FROM bg, tot)"""
+    )
+    scan = scan.replace("SELECT genome, record_id, feat_ord, lt, product, strand AS gstrand, ws, we, n, i AS pos0",
+                        "SELECT genome, record_id, feat_ord, lt, product, gstrand, ws, we, n, i AS pos0")
+    scan = scan.replace("SELECT genome, record_id, feat_ord, lt, product, strand AS gstrand, ws, we, n, len - i",
+                        "SELECT genome, record_id, feat_ord, lt, product, gstrand, ws, we, n, len - i")
+    agg = "string_agg({0}, ',' ORDER BY rel_pos, so, pos0)"
+    out["motif_scan"] = sql(
+        "contigs genes",
+        f"""SELECT genome, lt AS "Locus_Tag", record_id AS "Contig", {_strand('gstrand')} AS "Gene_Strand",
+              count(*) AS "Motif_Count", {agg.format("rel_pos || '(' || strand || ')'")} AS "Positions_Relative_to_TSS",
+              {agg.format("CAST(CASE WHEN gstrand = 1 THEN ws + pos0 + 1 ELSE we - pos0 - 6 + 1 END AS VARCHAR)")} AS "Genomic_Start",
+              {agg.format("CAST(CASE WHEN gstrand = 1 THEN ws + pos0 + 6 ELSE we - pos0 END AS VARCHAR)")} AS "Genomic_End",
+              round(any_value(p_value), 6) AS "P_Value",
+              round(any_value(least(p_value * windows / st.hits, 1.0)), 6) AS "Q_Value",
+              {agg.format("text")} AS "Matched_Sequences", coalesce(product, 'hypothetical protein') AS "Product"
+            FROM hits, st GROUP BY genome, lt, record_id, feat_ord, gstrand, product""",
+        scan,
+    )
+    out["scan_stats"] = sql(
+        "contigs genes",
+        f"""SELECT {", ".join(f"round(bg.{b}, 6) AS {b}" for b in "ACGT")}, CAST(windows AS BIGINT) AS windows, hits, genes,
+              round(p_value, 6) AS p_value, round(least(p_value * windows / hits, 1.0), 6) AS q_value FROM st, bg""",
+        scan,
+    )
+    fasta = "\n  fa AS (SELECT record_id AS id, seq AS s FROM contigs),"
+    out["iupac_match"] = sql(
+        "contigs",
+        """SELECT id, n AS seq_len, rel_pos, text, strand, pos0 + 1 AS start, pos0 + 6 AS "end" FROM hits""",
+        fasta + _motif_hits("fa", _MOTIF_RE, 6, "id", "length(s)"),
+    )
+    out["motif_merge"] = sql(
+        "contigs",
+        """SELECT id, strand, CAST(cl AS BIGINT) AS cluster, min(rel_pos) AS rel_pos, min(pos0) + 1 AS start,
+             arg_min(text, rel_pos) AS text, count(*) AS merged
+           FROM (SELECT *, sum(CAST(opens AS BIGINT)) OVER (PARTITION BY id, strand ORDER BY pos0 ROWS UNBOUNDED PRECEDING) - 1 AS cl
+                 FROM (SELECT *, coalesce(pos0 + 1 - lag(pos0 + 4) OVER (PARTITION BY id, strand ORDER BY pos0) > 0, true) AS opens
+                       FROM hits)) GROUP BY 1, 2, 3""",
+        fasta + _motif_hits("fa", "[AT][AT][AT][AT]", 4, "id", "length(s)"),
+    )
+    out["motif_whole_records"] = sql(
+        "contigs",
+        f"""SELECT id, count(*) AS "Motif_Count", min(rel_pos) AS "First_Position", round(any_value({_P}), 6) AS "P_Value",
+              round(any_value(least({_P} * (SELECT sum(greatest(length(s) - 5, 0) * 2) FROM fa) / (SELECT count(*) FROM hits), 1.0)), 6) AS "Q_Value"
+            FROM hits, bg GROUP BY id""",
+        fasta + _motif_hits("fa", _MOTIF_RE, 6, "id", "length(s)") + "," + _bg("fa"),
+    )
+    out["promoter_motif"] = sql(
+        "contigs genes",
+        """SELECT record_id, feat_ord, rel_pos AS "Position_Relative_to_TSS", strand AS "Motif_Strand", text AS "Sequence" FROM hits""",
+        "\n  src AS (SELECT * FROM genes WHERE type = 'CDS'),"
+        + _up("src", 60)
+        + ",\n  u AS (SELECT *, upstream AS s FROM ups),"
+        + _motif_hits("u", "G[AT]TA[AG]", 5, "record_id, feat_ord", "length(s)"),
+    )
+    out["background_freq"] = sql(
+        "contigs",
+        f"""SELECT {", ".join(f"round({b}, 6) AS {b}" for b in "ACGT")} FROM bg""",
+        "\n  fa AS (SELECT seq AS s FROM contigs)," + _bg("fa"),
+    )
+    out["window_total"] = sql(
+        "contigs",
+        "SELECT genome, CAST(sum(greatest(length(seq) - 5, 0) * 2) AS BIGINT) AS windows FROM contigs GROUP BY 1",
+    )
+    gc = "length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))"
+    out["bh_qvalues"] = sql(
+        "contigs",
+        """SELECT record_id, round(p_value, 6) AS p_value, round(least(1.0, min(p_value * 200000.0::DOUBLE / rk) OVER (ORDER BY p_value RANGE
+             BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q_value
+           FROM (SELECT *, count(*) OVER (ORDER BY p_value RANGE UNBOUNDED PRECEDING) AS rk FROM pv)""",
+        f"\n  pv AS (SELECT record_id, ({gc}) / (length(seq) * 1000.0::DOUBLE + 1.0::DOUBLE) AS p_value FROM contigs)",
+    )
+    return out
+
+
+def _kmers(src, k, extra=""):
+    rc = REVCOMP.format("w")
+    return f"""
+  words AS (SELECT {extra}substr(seq, i + 1, {k}) AS w FROM (SELECT {extra}seq, unnest(range(0, length(seq) - {k} + 1)) AS i FROM {src}
+      WHERE length(seq) >= {k})),
+  canon AS (SELECT {extra}least(w, {rc}) AS kmer, n FROM (SELECT {extra}w, count(*) AS n FROM words GROUP BY ALL)
+      WHERE NOT contains(w, 'N'))"""
+
+
+def _entropy(col):
+    terms = " + ".join(
+        f"CASE WHEN contains({col}, '{b}') THEN ((length({col}) - length(replace({col}, '{b}', ''))) / CAST(length({col}) AS DOUBLE))"
+        f" * log2((length({col}) - length(replace({col}, '{b}', ''))) / CAST(length({col}) AS DOUBLE)) ELSE 0 END"
+        for b in "ACGTN"
+    )
+    return f"-({terms})"
+
+
+def kmer_sql() -> dict[str, str]:
+    out = {}
+    out["kmer_counts"] = sql(
+        "contigs", "SELECT kmer, CAST(sum(n) AS BIGINT) AS count FROM canon GROUP BY 1", _kmers("contigs", 6)
+    )
+    out["kmer_counts_entropy"] = sql(
+        "contigs",
+        f"SELECT genome, kmer, CAST(sum(n) AS BIGINT) AS count FROM canon WHERE {_entropy('kmer')} >= 1.5 GROUP BY 1, 2",
+        _kmers("contigs", 5, "genome, "),
+    )
+    both = (
+        "\n  sides AS (SELECT seq, starts_with(organism, 'de') AS tgt FROM contigs),"
+        + _kmers("sides", 6, "tgt, ")
+        + """,
+  side AS (SELECT kmer, coalesce(sum(n) FILTER (tgt), 0) AS t, coalesce(sum(n) FILTER (NOT tgt), 0) AS r FROM canon GROUP BY 1),
+  tot AS (SELECT sum(t) AS tw, sum(r) AS rw FROM side),
+  cmp AS (SELECT *, log2(((t + 0.5::DOUBLE) / (tw + 1)) / ((r + 0.5::DOUBLE) / (rw + 1))) AS l2fc,
+            CAST(t AS DOUBLE) / CAST(tw AS DOUBLE) * 1000.0::DOUBLE AS tc, CAST(r AS DOUBLE) / CAST(rw AS DOUBLE) * 1000.0::DOUBLE AS rc FROM side, tot)"""
+    )
+    out["kmer_l2fc"] = sql(
+        "contigs",
+        f"""SELECT kmer, {REVCOMP.format('kmer')} AS reverse_complement, CAST(t AS BIGINT) AS target_count,
+              CAST(r AS BIGINT) AS regulator_count, round(tc, 6) AS target_cpk, round(rc, 6) AS regulator_cpk,
+              round(abs(tc - rc), 6) AS cpk_diff, round(l2fc, 6) AS l2fc FROM cmp""",
+        both,
+    )
+    out["kmer_topn"] = sql(
+        "contigs", "SELECT kmer, round(l2fc, 6) AS l2fc FROM cmp ORDER BY abs(cmp.l2fc) DESC, kmer LIMIT 20", both
+    )
+    out["revcomp"] = sql("contigs", f"SELECT record_id AS id, {REVCOMP.format('seq')} AS rc FROM contigs")
+    out["seq_entropy"] = sql(
+        "contigs",
+        f"SELECT record_id AS id, round(CASE WHEN seq = '' THEN 0.0::DOUBLE ELSE {_entropy('seq')} END, 6) AS entropy FROM contigs",
+    )
+    rc = REVCOMP.format("'ACGTA'")
+    out["kmer_distance"] = sql(
+        "contigs",
+        f"SELECT DISTINCT kmer, least(hamming(kmer, 'ACGTA'), hamming(kmer, {rc})) AS distance FROM canon",
+        _kmers("contigs", 5),
+    )
+    aa = "ARNDCQEGHILKMFPSTWYV"
+    kd = [18, -45, -35, -35, 25, -35, -35, -4, -32, 45, 38, -39, 19, 28, -16, -8, -7, -9, -13, 42]
+    win = "+".join(f"({kd})[strpos('{aa}', substr(core, i + {d}, 1))]" for d in range(5))
+    out["mature_core"] = sql(
+        "proteins",
+        """SELECT locus_tag, CASE WHEN at = 0 THEN translation WHEN n <= 25 OR hit IS NULL THEN core
+             WHEN substr(core, hit, 1) = 'P' THEN substr(core, 1, hit) ELSE substr(core, 1, hit - 1) END AS core FROM cut""",
+        f"""
+  c0 AS (SELECT locus_tag, translation, strpos(translation, 'GG') AS at, substr(translation, strpos(translation, 'GG') + 2) AS core FROM proteins),
+  c1 AS (SELECT *, length(core) AS n FROM c0),
+  pos AS (SELECT locus_tag, min(i) AS hit FROM (SELECT locus_tag, core, n, unnest(range(26, n + 1)) AS i FROM c1 WHERE at > 0 AND n > 25)
+    WHERE substr(core, i, 1) = 'P' OR (i + 4 <= n AND ({win}) < -25) GROUP BY 1),
+  cut AS (SELECT c1.*, hit FROM c1 LEFT JOIN pos USING (locus_tag))""",
+    )
+    nuc = "length(s) > 0 AND NOT regexp_matches(s, '[EFILPQZJ]') AND length(translate(s, 'ACGTUN', '')) / CAST(length(s) AS DOUBLE) < 0.05"
+    out["sequence_type"] = sql(
+        "contigs proteins",
+        f"""SELECT record_id, {nuc} AS nucleotide FROM (SELECT record_id, seq AS s FROM contigs
+              UNION ALL SELECT locus_tag, translation FROM proteins)""",
+    )
+    out["wrap_fasta"] = sql(
+        "contigs",
+        """SELECT record_id AS id, array_to_string(list_transform(range(0, greatest((length(seq) + 59) // 60, 0)),
+             lambda i: substr(seq, i * 60 + 1, 60)), chr(10)) AS wrapped FROM contigs""",
+    )
+    cols = ", ".join(
+        f"round(count(*) FILTER (ch = '{b}') / CAST(count(*) AS DOUBLE), 6) AS p_{'gap' if b == '-' else b}" for b in "ACGT-"
+    )
+    ent = " + ".join(
+        f"CASE WHEN {b} > 0 THEN {b} / CAST(acgt AS DOUBLE) * log2({b} / CAST(acgt AS DOUBLE)) ELSE 0 END" for b in "ACGT"
+    )
+    out["ppm_profile"] = sql(
+        "contigs genes",
+        f"""SELECT position, consensus, p_A, p_C, p_G, p_T, p_gap,
+              round(CASE WHEN acgt > 0 THEN greatest(0.0, (2.0::DOUBLE + ({ent}) - 3.0::DOUBLE / (2 * ln(2.0::DOUBLE) * acgt)) * acgt / n) ELSE 0 END, 6) AS ic
+            FROM prof""",
+        "\n  src AS (SELECT * FROM genes WHERE type = 'CDS'),"
+        + _up("src", 60)
+        + f""",
+  cells AS (SELECT i AS position, substr(upstream, i, 1) AS ch FROM (SELECT upstream, unnest(range(1, 61)) AS i FROM ups WHERE actual = 60)),
+  prof AS (SELECT position, count(*) AS n, {", ".join(f"count(*) FILTER (ch = '{b}') AS {b}" for b in "ACGT")},
+      count(*) FILTER (ch IN ('A', 'C', 'G', 'T')) AS acgt, {cols},
+      CASE greatest(count(*) FILTER (ch = 'A'), count(*) FILTER (ch = 'C'), count(*) FILTER (ch = 'G'), count(*) FILTER (ch = 'T'), count(*) FILTER (ch = '-'))
+        WHEN count(*) FILTER (ch = 'A') THEN 'A' WHEN count(*) FILTER (ch = 'C') THEN 'C' WHEN count(*) FILTER (ch = 'G') THEN 'G'
+        WHEN count(*) FILTER (ch = 'T') THEN 'T' ELSE '-' END AS consensus
+    FROM cells GROUP BY 1)""",
+    )
+    return out
+
+
 def all_sql() -> dict[str, str]:
-    return {**annotation_sql()}
+    return {**annotation_sql(), **interval_sql(), **upstream_sql(), **motif_sql(), **kmer_sql()}

@@ -11,6 +11,11 @@ from pyspark.sql import types as T
 from ..functions import annot as A
 from ..functions import seq as S
 from ..operators import annotation as ann
+from ..operators import intervals as iv
+from ..operators import kmers as km
+from ..operators import motifs as mo
+from ..operators import profile as pr
+from ..operators import upstream as up
 from ..session import tune
 from . import bioviews as V
 from .oracle import KEYWORDS
@@ -19,21 +24,23 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def _wide_ints(df: DataFrame) -> DataFrame:
-    """int columns as bigint, so that results compare across engines."""
-    cols = [
-        F.col(f"`{f.name}`").cast("bigint").alias(f.name)
-        if isinstance(f.dataType, (T.IntegerType, T.ShortType))
-        else F.col(f"`{f.name}`")
-        for f in df.schema.fields
-    ]
+def _comparable(df: DataFrame) -> DataFrame:
+    """Integers as bigint and floats to six places, so that results compare across engines."""
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.IntegerType, T.ShortType)):
+            c = c.cast("bigint").alias(f.name)
+        elif isinstance(f.dataType, T.DoubleType):
+            c = F.round(c, 6).alias(f.name)
+        cols.append(c)
     return df.select(*cols)
 
 
 def query(name: str):
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return _wide_ints(fn(tune(spark), sf_dir))
+            return _comparable(fn(tune(spark), sf_dir))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
@@ -136,3 +143,282 @@ def _(spark, sf):
 @query("contig_stats")
 def _(spark, sf):
     return ann.contig_stats(V.genes(spark, sf), V.contigs(spark, sf))
+
+
+# Intervals ----------------------------------------------------------------------
+
+
+def _hits1(df: DataFrame) -> DataFrame:
+    """CDS as 1-based hits."""
+    return df.where(F.col("type") == "CDS").withColumn("start", F.col("start0") + 1)
+
+
+def _meta(df: DataFrame) -> DataFrame:
+    return df.select("genome", "record_id", "topology", F.col("contig_length").alias("length")).distinct()
+
+
+@query("proximity_clusters")
+def _(spark, sf):
+    df = V.features(spark, sf)
+    return iv.proximity_clusters(_hits1(df), gap=5_000, order=("end", "locus_tag"))
+
+
+@query("circular_wrap")
+def _(spark, sf):
+    df = V.features(spark, sf)
+    out = iv.proximity_clusters(_hits1(df), gap=5_000, meta=_meta(df), order=("end", "locus_tag"))
+    return iv.extraction_commands(out, "genomes.gbk")
+
+
+@query("cluster_members")
+def _(spark, sf):
+    hits = _hits1(V.features(spark, sf)).select("genome", "record_id", "locus_tag", "start", "end")
+    return iv.cluster_features(hits, gap=5_000, order=("end", "locus_tag"))
+
+
+@query("context_window")
+def _(spark, sf):
+    df = V.features(spark, sf)
+    anchors = df.where((F.col("type") == "tRNA") & F.col("gene").isNotNull()).select("locus_tag")
+    return iv.context_search(df, anchors)
+
+
+@query("context_strict")
+def _(spark, sf):
+    df = V.features(spark, sf)
+    anchors = df.where((F.col("type") == "tRNA") & F.col("gene").isNotNull()).select("locus_tag")
+    return iv.context_search(df, anchors, window=3_000, strict=True)
+
+
+@query("mrna_contains_cds")
+def _(spark, sf):
+    g = V.genes(spark, sf)
+    outer = g.where(F.col("type") == "mRNA").select(
+        "genome", "record_id", "feat_ord", F.col("start0").alias("o_start"), F.col("end").alias("o_end")
+    )
+    inner = g.where(F.col("type") == "CDS").select(
+        "genome", "record_id", A.identifier(g).alias("inner_id"), F.col("feat_ord").alias("inner_ord"),
+        F.col("start0").alias("i_start"), F.col("end").alias("i_end"),
+    )
+    return iv.first_contained(outer, inner, ["feat_ord"])
+
+
+@query("feature_overlaps")
+def _(spark, sf):
+    df = V.features(spark, sf)
+    side = lambda t, p: df.where(F.col("type") == t).select(
+        "genome", "record_id", F.col("locus_tag").alias(f"{p}_locus"),
+        F.col("start0").alias(f"{p}_start"), (F.col("end") - 1).alias(f"{p}_end"),
+    )
+    return iv.overlap_join(side("mRNA", "m"), side("CDS", "c"), ("m_start", "m_end"), ("c_start", "c_end"))
+
+
+# Upstream regions ---------------------------------------------------------------
+
+
+@query("upstream_extract")
+def _(spark, sf):
+    g = V.genes(spark, sf).where(F.col("type") == "CDS")
+    return up.add_upstream(g, V.contigs(spark, sf), 150).select(
+        "genome", "record_id", "feat_ord", "ws", "we", "actual", "truncated", "upstream"
+    )
+
+
+@query("organism_mode")
+def _(spark, sf):
+    g = V.genes(spark, sf)
+    return up.organism_mode(g).join(up.looks_eukaryotic(g), "genome")
+
+
+@query("keyword_promoters")
+def _(spark, sf):
+    return up.regulatory_regions(
+        V.genes(spark, sf), V.contigs(spark, sf), ["ring", "bolt"], 120, mode="prokaryote"
+    )
+
+
+@query("tss_merge")
+def _(spark, sf):
+    return up.regulatory_regions(
+        V.genes(spark, sf), V.contigs(spark, sf), ["ring", "bolt"], 120, mode="eukaryote"
+    )
+
+
+@query("isoform_promoters")
+def _(spark, sf):
+    return up.regulatory_regions(
+        V.genes(spark, sf), V.contigs(spark, sf), ["ring", "bolt"], 120, mode="eukaryote", all_isoforms=True
+    )
+
+
+@query("locus_promoters")
+def _(spark, sf):
+    g = V.genes(spark, sf)
+    loci = g.where(F.contains(F.col("product"), F.lit("gear"))).select(F.col("locus_tag").alias("locus"))
+    return up.upstream_of_locus(g, V.contigs(spark, sf), loci.where("locus is not null"), 100)
+
+
+@query("promoters_by_loci")
+def _(spark, sf):
+    g = V.genes(spark, sf)
+    loci = g.where(F.contains(F.col("product"), F.lit("gear"))).select(A.identifier(g).alias("locus"))
+    return up.regions_by_loci(g, V.contigs(spark, sf), loci, 100, mode="auto")
+
+
+# Motifs -------------------------------------------------------------------------
+
+MOTIF = "TKSACR"
+
+
+@query("motif_scan")
+def _(spark, sf):
+    return mo.regulon(V.genes(spark, sf), V.contigs(spark, sf), MOTIF, 150, alpha=1.0)
+
+
+@query("scan_stats")
+def _(spark, sf):
+    scanned = mo.upstream_hits(V.genes(spark, sf), V.contigs(spark, sf), MOTIF, 150)
+    return mo.scan_stats(scanned, S.iupac_to_regex(MOTIF)).select("bg.*", "windows", "hits", "genes", "p_value", "q_value")
+
+
+def _fasta(spark, sf):
+    return V.contigs(spark, sf).select(F.col("record_id").alias("id"), "seq")
+
+
+@query("iupac_match")
+def _(spark, sf):
+    return mo.sites(_fasta(spark, sf), MOTIF)
+
+
+@query("motif_merge")
+def _(spark, sf):
+    return mo.merge_sites(mo.sites(_fasta(spark, sf), "WWWW"))
+
+
+@query("motif_whole_records")
+def _(spark, sf):
+    return mo.sequence_regulon(_fasta(spark, sf), MOTIF, alpha=1.0)
+
+
+@query("promoter_motif")
+def _(spark, sf):
+    g = V.genes(spark, sf).where(F.col("type") == "CDS").select(
+        "genome", "record_id", "feat_ord", "contig_length", "start0", "end", "strand"
+    )
+    got = up.add_upstream(g, V.contigs(spark, sf), 60).select("record_id", "feat_ord", "upstream")
+    return mo.promoter_motif(got, "GWTAR").drop("upstream")
+
+
+@query("background_freq")
+def _(spark, sf):
+    return mo.background(_fasta(spark, sf)).select("bg.*")
+
+
+@query("window_total")
+def _(spark, sf):
+    return V.contigs(spark, sf).groupBy("genome").agg(mo.window_total(F.length("seq"), 6).alias("windows"))
+
+
+@query("bh_qvalues")
+def _(spark, sf):
+    from .ordered import bh_qvalues
+
+    p = table_pvalues(spark, sf)
+    return bh_qvalues(p, "p_value", F.lit(200_000.0))
+
+
+def table_pvalues(spark, sf):
+    """A p-value per document, from its share of G and C."""
+    return V.contigs(spark, sf).select("record_id", (S.gc_count("seq") / (F.length("seq") * 1000.0 + 1.0)).alias("p_value"))
+
+
+# K-mers -------------------------------------------------------------------------
+
+
+@query("kmer_counts")
+def _(spark, sf):
+    return km.kmer_counts(V.contigs(spark, sf), 6)
+
+
+@query("kmer_counts_entropy")
+def _(spark, sf):
+    return km.kmer_counts(V.contigs(spark, sf), 5, min_entropy=1.5, by=("genome",))
+
+
+def _two_sets(spark, sf):
+    c = V.contigs(spark, sf)
+    de = F.startswith(F.col("organism"), F.lit("de"))
+    return c.where(de), c.where(~de)
+
+
+@query("kmer_l2fc")
+def _(spark, sf):
+    return km.compare(*_two_sets(spark, sf), k=6)
+
+
+@query("kmer_topn")
+def _(spark, sf):
+    return km.top_by_change(km.compare(*_two_sets(spark, sf), k=6), 20).select("kmer", "l2fc")
+
+
+@query("kmer_clusters")
+def _(spark, sf):
+    return km.cluster_kmers(km.compare(*_two_sets(spark, sf), k=5), 5, 1)
+
+
+@query("perm_pvalues")
+def _(spark, sf):
+    g = V.genes(spark, sf).where((F.col("type") == "CDS") & F.col("strand").isNotNull()).select(
+        "genome", "record_id", "feat_ord", "contig_length", "start0", "end", "strand"
+    )
+    ups = up.add_upstream(g, V.contigs(spark, sf), 150).where(F.col("actual") >= 20)
+    pairs = ups.groupBy(F.col("record_id").alias("pair_id")).agg(
+        F.min_by("upstream", "feat_ord").alias("target_seq"),
+        F.max_by("upstream", "feat_ord").alias("regulator_seq"),
+    )
+    return km.permutation_pvalues(pairs, k=3, n_permutations=100, seed=7)
+
+
+# Scalars and profiles -----------------------------------------------------------
+
+
+@query("revcomp")
+def _(spark, sf):
+    return _fasta(spark, sf).select("id", S.revcomp("seq").alias("rc"))
+
+
+@query("seq_entropy")
+def _(spark, sf):
+    return _fasta(spark, sf).select("id", S.shannon_entropy("seq").alias("entropy"))
+
+
+@query("kmer_distance")
+def _(spark, sf):
+    words = km.kmer_counts(V.contigs(spark, sf), 5).select("kmer")
+    return words.select("kmer", S.kmer_distance("kmer", F.lit("ACGTA")).alias("distance"))
+
+
+@query("mature_core")
+def _(spark, sf):
+    return V.proteins(spark, sf).select("locus_tag", S.mature_core("translation").alias("core"))
+
+
+@query("sequence_type")
+def _(spark, sf):
+    dna_rows = V.contigs(spark, sf).select("record_id", "seq")
+    aa_rows = V.proteins(spark, sf).select(F.col("locus_tag").alias("record_id"), F.col("translation").alias("seq"))
+    return dna_rows.unionByName(aa_rows).select("record_id", S.looks_like_nucleotide("seq").alias("nucleotide"))
+
+
+@query("wrap_fasta")
+def _(spark, sf):
+    return _fasta(spark, sf).select("id", S.wrap_fasta("seq").alias("wrapped"))
+
+
+@query("ppm_profile")
+def _(spark, sf):
+    g = V.genes(spark, sf).where(F.col("type") == "CDS").select(
+        "genome", "record_id", "feat_ord", "contig_length", "start0", "end", "strand"
+    )
+    full = up.add_upstream(g, V.contigs(spark, sf), 60).where(~F.col("truncated"))
+    return pr.column_profile(full.select(F.col("upstream").alias("seq")))
