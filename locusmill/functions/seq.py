@@ -32,6 +32,15 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` worked out once.
+
+    An expression inside a lambda is evaluated again for every element, however
+    constant it is; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def blank_to_null(c) -> Column:
     return F.nullif(_c(c), F.lit(""))
 
@@ -61,15 +70,19 @@ def gc_percent(c) -> Column:
 
 def shannon_entropy(c) -> Column:
     """Entropy in bits of the character composition; the empty string has 0."""
-    s = _c(c)
-    n = F.length(s).cast("double")
 
-    def term(acc, ch):
-        p = (F.length(s) - F.length(F.replace(s, ch, F.lit("")))) / n
-        return acc - p * F.log2(p)
+    def total(s):
+        n = F.length(s)
+
+        def term(acc, ch):
+            p = (n - F.length(F.replace(s, ch, F.lit("")))) / n
+            return acc - p * F.log2(p)
 
-    total = F.aggregate(F.array_distinct(F.split(s, "")), F.lit(0.0), term)
-    return F.when(n > 0, total).otherwise(F.lit(0.0))
+        return F.when(
+            n > 0, F.aggregate(F.array_distinct(F.split(s, "")), F.lit(0.0), term)
+        ).otherwise(F.lit(0.0))
+
+    return let(_c(c), total)
 
 
 def hamming(a, b) -> Column:
@@ -127,22 +140,28 @@ def tiles(c, size: int, overlap: int) -> Column:
     pieces = F.regexp_extract_all(_c(c), F.lit("(?s).{1,%d}" % size), F.lit(0))
     if overlap <= 0:
         return pieces
-    return F.transform(
+    return let(
         pieces,
-        lambda p, i: F.concat(
-            p,
-            F.coalesce(F.substring(F.get(pieces, i + 1), 1, overlap), F.lit("")),
+        lambda all_pieces: F.transform(
+            all_pieces,
+            lambda p, i: F.concat(
+                p,
+                F.coalesce(F.substring(F.get(all_pieces, i + 1), 1, overlap), F.lit("")),
+            ),
         ),
     )
 
 
 def windows(c, k: int) -> Column:
     """All k-long windows of a (short) string; empty array when it is shorter than k."""
-    s = _c(c)
-    n = F.length(s) - F.lit(k - 1)
-    return F.when(
-        n >= 1, F.transform(F.sequence(F.lit(1), n), lambda p: F.substring(s, p, F.lit(k)))
-    ).otherwise(F.array().cast("array<string>"))
+
+    def cut(s):
+        n = F.length(s) - F.lit(k - 1)
+        return F.when(
+            n >= 1, F.transform(F.sequence(F.lit(1), n), lambda p: F.substring(s, p, F.lit(k)))
+        ).otherwise(F.array().cast("array<string>"))
+
+    return let(_c(c), cut)
 
 
 def kmer_set(c, k: int = 4) -> Column:
@@ -164,34 +183,38 @@ def mature_core(c) -> Column:
     The scan starts at residue 25 of the core. A window that holds a residue
     outside the twenty standard ones is never taken as hydrophilic.
     """
-    s = _c(c)
-    at = F.instr(s, "GG")
-    core = F.substring(s, at + 2, F.length(s))
     scale = F.create_map(*[F.lit(x) for kv in HYDROPATHY_TENTHS.items() for x in kv])
-    res = F.split(core, "")
-    n = F.length(core)
-
-    def hydrophilic(i):
-        total = F.aggregate(
-            F.slice(res, i, MATURE_WINDOW),
-            F.lit(0),
-            lambda acc, r: acc + F.try_element_at(scale, r),
+
+    def cut(core, tenths):
+        n = F.length(core)
+
+        def stops(i):
+            total = F.aggregate(
+                F.slice(tenths, i, MATURE_WINDOW), F.lit(0), lambda acc, x: acc + x
+            )
+            return (F.substring(core, i, F.lit(1)) == "P") | F.coalesce(
+                (i + (MATURE_WINDOW - 1) <= n) & (total < MATURE_CUTOFF_TENTHS), F.lit(False)
+            )
+
+        hit = F.array_min(F.filter(F.sequence(F.lit(MATURE_MIN_LENGTH + 1), n), stops))
+        return let(
+            hit,
+            lambda h: F.when(h.isNull(), core)
+            .when(F.substring(core, h, F.lit(1)) == "P", F.substring(core, F.lit(1), h))
+            .otherwise(F.substring(core, F.lit(1), h - 1)),
         )
-        return (i + (MATURE_WINDOW - 1) <= n) & (total < MATURE_CUTOFF_TENTHS)
 
-    hit = F.get(
-        F.filter(
-            F.sequence(F.lit(MATURE_MIN_LENGTH + 1), n),
-            lambda i: (F.get(res, i - 1) == "P") | F.coalesce(hydrophilic(i), F.lit(False)),
-        ),
-        F.lit(0),
-    )
-    cut = (
-        F.when(hit.isNull(), core)
-        .when(F.substring(core, hit, F.lit(1)) == "P", F.substring(core, F.lit(1), hit))
-        .otherwise(F.substring(core, F.lit(1), hit - 1))
-    )
-    return F.when(at == 0, s).when(n <= MATURE_MIN_LENGTH, core).otherwise(cut)
+    def trimmed(core):
+        tenths = F.transform(F.split(core, ""), lambda r: F.try_element_at(scale, r))
+        return F.when(F.length(core) <= MATURE_MIN_LENGTH, core).otherwise(
+            let(tenths, lambda t: cut(core, t))
+        )
+
+    def whole(s):
+        at = F.instr(s, "GG")
+        return F.when(at == 0, s).otherwise(let(F.substring(s, at + 2, F.length(s)), trimmed))
+
+    return let(_c(c), whole)
 
 
 def looks_like_nucleotide(c) -> Column:
@@ -247,10 +270,7 @@ def motif_sites(c, regex: str, ignore_case: bool = False) -> Column:
     A zero-width lookahead puts a mark in front of every match; the lengths of the
     pieces between marks give the positions, in one pass of the JVM regex engine.
     """
-    s = _c(c)
     flag = "(?i)" if ignore_case else ""
-    pieces = F.split(F.regexp_replace(s, f"{flag}(?=(?:{regex}))", _MARK), _MARK)
-    texts = F.regexp_extract_all(s, F.lit(f"{flag}(?=({regex}))"), F.lit(1))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("seen"))
 
     def step(acc, piece):
@@ -259,15 +279,19 @@ def motif_sites(c, regex: str, ignore_case: bool = False) -> Column:
             here.alias("at"), F.array_append(acc["seen"], here).alias("seen")
         )
 
-    # the text after the last mark starts no match
-    positions = F.aggregate(
-        F.slice(pieces, 1, F.size(pieces) - 1), start, step, lambda acc: acc["seen"]
-    )
-    return F.when(F.size(texts) == 0, F.array().cast("array<struct<pos0:int,text:string>>")).otherwise(
-        F.zip_with(
+    def found(s):
+        pieces = F.split(F.regexp_replace(s, f"{flag}(?=(?:{regex}))", _MARK), _MARK)
+        texts = F.regexp_extract_all(s, F.lit(f"{flag}(?=({regex}))"), F.lit(1))
+        # the text after the last mark starts no match
+        positions = let(
+            pieces,
+            lambda p: F.aggregate(F.slice(p, 1, F.size(p) - 1), start, step, lambda acc: acc["seen"]),
+        )
+        return F.zip_with(
             positions, texts, lambda p, t: F.struct(p.alias("pos0"), t.alias("text"))
         )
-    )
+
+    return let(_c(c), found)
 
 
 def motif_hits(c, actual_len, regex: str, ignore_case: bool = False) -> Column:
@@ -276,37 +300,42 @@ def motif_hits(c, actual_len, regex: str, ignore_case: bool = False) -> Column:
     ``pos0`` is the offset on the given strand; minus-strand texts are reported as read
     on the minus strand. Sorted by ``rel_pos``, plus strand first among equals.
     """
-    s, n = _c(c), _c(actual_len)
-    plus = F.transform(
-        motif_sites(s, regex, ignore_case),
-        lambda m: F.struct(
-            (m["pos0"] - n).alias("rel_pos"),
-            F.lit(0).alias("strand_ord"),
-            m["pos0"].alias("pos0"),
-            m["text"].alias("text"),
-            F.length(m["text"]).alias("width"),
-        ),
-    )
-    minus = F.transform(
-        motif_sites(revcomp(s), regex, ignore_case),
-        lambda m: F.struct(
-            (-(m["pos0"] + F.length(m["text"]))).alias("rel_pos"),
-            F.lit(1).alias("strand_ord"),
-            (F.length(s) - m["pos0"] - F.length(m["text"])).alias("pos0"),
+
+    def hit(m, rel_pos, strand_ord, pos0):
+        return F.struct(
+            rel_pos.alias("rel_pos"),
+            F.lit(strand_ord).alias("strand_ord"),
+            pos0.alias("pos0"),
             m["text"].alias("text"),
             F.length(m["text"]).alias("width"),
-        ),
-    )
-    return F.transform(
-        F.array_sort(F.concat(plus, minus)),
-        lambda m: F.struct(
-            m["rel_pos"].alias("rel_pos"),
-            m["text"].alias("text"),
-            F.when(m["strand_ord"] == 0, "+").otherwise("-").alias("strand"),
-            m["pos0"].alias("pos0"),
-            m["width"].alias("width"),
-        ),
-    )
+        )
+
+    def both(x):
+        s, n = x["s"], x["n"]
+        plus = F.transform(
+            motif_sites(s, regex, ignore_case), lambda m: hit(m, m["pos0"] - n, 0, m["pos0"])
+        )
+
+        def behind(m):
+            return m["pos0"] + F.length(m["text"])
+
+        minus = F.transform(
+            motif_sites(revcomp(s), regex, ignore_case),
+            lambda m: hit(m, -behind(m), 1, x["len"] - behind(m)),
+        )
+        return F.transform(
+            F.array_sort(F.concat(plus, minus)),
+            lambda m: F.struct(
+                m["rel_pos"].alias("rel_pos"),
+                m["text"].alias("text"),
+                F.when(m["strand_ord"] == 0, "+").otherwise("-").alias("strand"),
+                m["pos0"].alias("pos0"),
+                m["width"].alias("width"),
+            ),
+        )
+
+    given = F.struct(_c(c).alias("s"), _c(actual_len).alias("n"), F.length(_c(c)).alias("len"))
+    return let(given, both)
 
 
 def motif_pvalue(regex: str, background) -> Column:

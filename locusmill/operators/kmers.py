@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq as S
 from ..plans.ordered import global_row_number
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 
 TILE = 1024
 
@@ -185,9 +185,10 @@ def permutation_pvalues(
                 if out is not None:
                     yield out
 
-    return pairs.select(
+    rows = pairs.select(
         F.col("pair_id").cast("string").alias("pair_id"), "target_seq", "regulator_seq"
-    ).mapInPandas(run, "pair_id string, kmer string, l2fc double, p_value double")
+    )
+    return spread(rows, "pair_id").mapInPandas(run, "pair_id string, kmer string, l2fc double, p_value double")
 
 
 # Clustering ---------------------------------------------------------------------

@@ -37,10 +37,10 @@ def merge_overlapping(hits: Column) -> Column:
     hit joins a run when it starts no later than the end of the hit before it.
     """
 
-    def fold(strand: Column) -> Column:
+    def fold(all_hits: Column, strand: Column) -> Column:
         mine = F.array_sort(
             F.transform(
-                F.filter(hits, lambda h: h["strand"] == strand),
+                F.filter(all_hits, lambda h: h["strand"] == strand),
                 lambda h: F.struct(h["gstart"].alias("o"), h["rel_pos"].alias("o2"), h.alias("h")),
             )
         )
@@ -54,9 +54,10 @@ def merge_overlapping(hits: Column) -> Column:
             cur = F.when(joins & (acc["cur"]["rel_pos"] <= h["rel_pos"]), acc["cur"]).otherwise(h)
             return F.struct(done.alias("done"), cur.alias("cur"), h["gend"].alias("prev_end"))
 
+        nothing = F.slice(all_hits, 1, 0)
         start = F.struct(
-            F.filter(hits, lambda h: F.lit(False)).alias("done"),
-            F.get(F.filter(hits, lambda h: F.lit(False)), F.lit(0)).alias("cur"),
+            nothing.alias("done"),
+            F.get(nothing, F.lit(0)).alias("cur"),
             F.lit(None).cast("int").alias("prev_end"),
         )
         return F.aggregate(
@@ -66,20 +67,25 @@ def merge_overlapping(hits: Column) -> Column:
             ),
         )
 
-    lead = F.get(hits, F.lit(0))["strand"]
-    other = F.when(lead == "+", "-").otherwise("+")
-    runs = F.concat(fold(lead), fold(other))
-    ordered = F.array_sort(
-        F.transform(
-            runs,
-            lambda h: F.struct(
-                h["rel_pos"].alias("o"),
-                F.when(h["strand"] == lead, 0).otherwise(1).alias("o2"),
-                h.alias("h"),
-            ),
+    def merged(x):
+        every, lead = x["hits"], x["lead"]
+        runs = F.concat(fold(every, lead), fold(every, F.when(lead == "+", "-").otherwise("+")))
+        ordered = F.array_sort(
+            F.transform(
+                runs,
+                lambda h: F.struct(
+                    h["rel_pos"].alias("o"),
+                    F.when(h["strand"] == lead, 0).otherwise(1).alias("o2"),
+                    h.alias("h"),
+                ),
+            )
         )
+        return F.when(F.size(every) == 0, every).otherwise(F.transform(ordered, lambda o: o["h"]))
+
+    given = S.let(
+        hits, lambda h: F.struct(h.alias("hits"), F.get(h, F.lit(0))["strand"].alias("lead"))
     )
-    return F.when(F.size(hits) == 0, hits).otherwise(F.transform(ordered, lambda x: x["h"]))
+    return S.let(given, merged)
 
 
 def _placed(hits: Column, ws: Column, we: Column, plus: Column) -> Column:
@@ -174,7 +180,7 @@ def scan_stats(scanned: DataFrame, regex: str) -> DataFrame:
 
 # Whole sequences ----------------------------------------------------------------
 
-TILE = 4096
+TILE = 512
 
 
 def sites(fasta: DataFrame, motif: str, id_cols: tuple[str, ...] = ("id",), tile: int = TILE) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread_scan
+
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 TO_DNA = "ACGTACGTACGTACGTNCGTACGNAN"
 TO_PROTEIN = "ANCDEFGHILKLMNKPQRSTSVWAYQ"
@@ -36,7 +38,8 @@ def protein(c: str) -> Column:
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = dna("text")
-    return table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return spread_scan(docs, "doc_id").select(
         F.col("source").alias("genome"),
         F.col("doc_id").alias("record_ord"),
         F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("record_id"),
@@ -49,7 +52,8 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proteins of all genomes, one CDS per document."""
-    return table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    return spread_scan(docs, "doc_id").select(
         F.col("source").alias("genome"),
         F.col("doc_id").alias("record_ord"),
         F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("record_id"),

@@ -460,14 +460,18 @@ def upstream_sql() -> dict[str, str]:
 def _motif_hits(src, regex, width, idcols, n):
     """Hits of a fixed-width motif by trying every position on both strands."""
     rc = REVCOMP.format("s")
+
+    def tried(strand, so, seq, at):
+        names = idcols.replace("strand AS gstrand", "gstrand")
+        return f"""(SELECT {names}, n, {at} AS pos0, w AS text, '{strand}' AS strand, {so} AS so
+      FROM (SELECT {idcols}, {n} AS n, length(s) AS len, unnest(range(0, length(s) - {width} + 1)) AS i,
+              unnest(list_transform(range(0, length(s) - {width} + 1), lambda i: substr(q, i + 1, {width}))) AS w
+            FROM (SELECT *, {seq} AS q FROM {src} WHERE length(s) >= {width}))
+      WHERE regexp_full_match(w, '{regex}'))"""
+
     return f"""
-  pos AS (SELECT {idcols}, s, {n} AS n, unnest(range(0, length(s) - {width} + 1)) AS i FROM {src} WHERE length(s) >= {width}),
-  plus AS (SELECT {idcols}, n, i AS pos0, substr(s, i + 1, {width}) AS text, '+' AS strand, 0 AS so, length(s) AS len FROM pos
-    WHERE regexp_full_match(substr(s, i + 1, {width}), '{regex}')),
-  minus AS (SELECT {idcols}, n, len - i - {width} AS pos0, substr(r, i + 1, {width}) AS text, '-' AS strand, 1 AS so, len
-    FROM (SELECT {idcols}, {n} AS n, {rc} AS r, length(s) AS len, unnest(range(0, length(s) - {width} + 1)) AS i
-          FROM {src} WHERE length(s) >= {width}) WHERE regexp_full_match(substr(r, i + 1, {width}), '{regex}')),
-  hits AS MATERIALIZED (SELECT *, pos0 - n AS rel_pos FROM (SELECT * FROM plus UNION ALL SELECT * FROM minus))"""
+  hits AS MATERIALIZED (SELECT *, pos0 - n AS rel_pos FROM (
+    SELECT * FROM {tried("+", 0, "s", "i")} UNION ALL SELECT * FROM {tried("-", 1, rc, f"len - i - {width}")}))"""
 
 
 _MOTIF_RE = "T[GT][GC]AC[AG]"
@@ -489,9 +493,7 @@ def motif_sql() -> dict[str, str]:
         + _up("src", 150)
         + """,
   u AS (SELECT *, upper(upstream) AS s, coalesce(locus_tag, 'UNANNOTATED_' || record_id || '_' || start0 || '_' || "end") AS lt FROM ups),"""
-        + _motif_hits("u", _MOTIF_RE, 6, "genome, record_id, feat_ord, lt, product, strand AS gstrand, ws, we", "actual").replace(
-            "gstrand, ws, we, n,", "gstrand, ws, we, n,"
-        )
+        + _motif_hits("u", _MOTIF_RE, 6, "genome, record_id, feat_ord, lt, product, strand AS gstrand, ws, we", "actual")
         + ","
         + _bg("u")
         + f""",
@@ -499,10 +501,6 @@ def motif_sql() -> dict[str, str]:
   st AS (SELECT {_P} AS p_value, windows, (SELECT count(*) FROM hits) AS hits,
            (SELECT count(DISTINCT feat_ord) FROM hits) AS genes FROM bg, tot)"""
     )
-    scan = scan.replace("SELECT genome, record_id, feat_ord, lt, product, strand AS gstrand, ws, we, n, i AS pos0",
-                        "SELECT genome, record_id, feat_ord, lt, product, gstrand, ws, we, n, i AS pos0")
-    scan = scan.replace("SELECT genome, record_id, feat_ord, lt, product, strand AS gstrand, ws, we, n, len - i",
-                        "SELECT genome, record_id, feat_ord, lt, product, gstrand, ws, we, n, len - i")
     agg = "string_agg({0}, ',' ORDER BY rel_pos, so, pos0)"
     out["motif_scan"] = sql(
         "contigs genes",
@@ -575,8 +573,8 @@ def motif_sql() -> dict[str, str]:
 def _kmers(src, k, extra=""):
     rc = REVCOMP.format("w")
     return f"""
-  words AS (SELECT {extra}substr(seq, i + 1, {k}) AS w FROM (SELECT {extra}seq, unnest(range(0, length(seq) - {k} + 1)) AS i FROM {src}
-      WHERE length(seq) >= {k})),
+  words AS (SELECT {extra}unnest(list_transform(range(0, length(seq) - {k} + 1), lambda i: substr(seq, i + 1, {k}))) AS w
+      FROM {src} WHERE length(seq) >= {k}),
   canon AS (SELECT {extra}least(w, {rc}) AS kmer, n FROM (SELECT {extra}w, count(*) AS n FROM words GROUP BY ALL)
       WHERE NOT contains(w, 'N'))"""
 
@@ -635,12 +633,12 @@ def kmer_sql() -> dict[str, str]:
     win = "+".join(f"({kd})[strpos('{aa}', substr(core, i + {d}, 1))]" for d in range(5))
     out["mature_core"] = sql(
         "proteins",
-        """SELECT locus_tag, CASE WHEN at = 0 THEN translation WHEN n <= 25 OR hit IS NULL THEN core
+        """SELECT locus_tag, CASE WHEN gg = 0 THEN translation WHEN n <= 25 OR hit IS NULL THEN core
              WHEN substr(core, hit, 1) = 'P' THEN substr(core, 1, hit) ELSE substr(core, 1, hit - 1) END AS core FROM cut""",
         f"""
-  c0 AS (SELECT locus_tag, translation, strpos(translation, 'GG') AS at, substr(translation, strpos(translation, 'GG') + 2) AS core FROM proteins),
+  c0 AS (SELECT locus_tag, translation, strpos(translation, 'GG') AS gg, substr(translation, strpos(translation, 'GG') + 2) AS core FROM proteins),
   c1 AS (SELECT *, length(core) AS n FROM c0),
-  pos AS (SELECT locus_tag, min(i) AS hit FROM (SELECT locus_tag, core, n, unnest(range(26, n + 1)) AS i FROM c1 WHERE at > 0 AND n > 25)
+  pos AS (SELECT locus_tag, min(i) AS hit FROM (SELECT locus_tag, core, gg, n, unnest(range(26, n + 1)) AS i FROM c1 WHERE gg > 0 AND n > 25)
     WHERE substr(core, i, 1) = 'P' OR (i + 4 <= n AND ({win}) < -25) GROUP BY 1),
   cut AS (SELECT c1.*, hit FROM c1 LEFT JOIN pos USING (locus_tag))""",
     )

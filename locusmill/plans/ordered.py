@@ -73,23 +73,15 @@ def global_row_number(df: DataFrame, order: Sequence, out: str) -> DataFrame:
     )
 
 
-def bh_qvalues(
-    df: DataFrame, p: str, total_tests: Column, out: str = "q_value", blocks: int = 512
-) -> DataFrame:
+def bh_qvalues(df: DataFrame, p: str, total_tests: Column, out: str = "q_value") -> DataFrame:
     """Benjamini-Hochberg q-values of one global list of p-values.
 
     Equal p-values share a q-value, so all work is on the distinct p-values and their
-    counts. Distinct values are cut into blocks at quantiles (at most ``blocks``
-    numbers, found by one aggregate), ranks come from block totals plus a window inside
-    each block, and the running minimum from the right is built the same way.
+    counts. These are range-sorted and checkpointed; the sort partitions are the blocks
+    that ranks and the running minimum from the right are put together from.
     """
     distinct = df.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
-    cuts = distinct.agg(
-        F.percentile_approx("_p", [i / blocks for i in range(1, blocks)], 10_000).alias("c")
-    ).scalar()
-    ranked = distinct.withColumn("_cuts", cuts).withColumn(
-        "_block", F.size(F.filter("_cuts", lambda c: c < F.col("_p")))
-    ).drop("_cuts")
+    ranked = cut_lineage(distinct.orderBy("_p").withColumn("_block", F.spark_partition_id()))
     inside = W.partitionBy("_block").orderBy("_p").rowsBetween(W.unboundedPreceding, 0)
     # one row per block from here on
     over_blocks = W.orderBy("_block")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Runtime settings the operators rely on. All are ordinary SQL settings, so they
 #: can be put on a session somebody else made.
@@ -61,3 +62,31 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there."""
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def slots(spark: SparkSession) -> int:
+    """Partitions to aim for when work per row, not bytes, sets the pace."""
+    return max(
+        spark.sparkContext.defaultParallelism,
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+    )
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread rows over all slots before heavy work on each of them.
+
+    The partition count is given, so adaptive execution does not fold the partitions
+    back together because they are small in bytes.
+    """
+    # a hash of the keys, so that an exchange below on the same keys is not taken for this one
+    return df.repartition(slots(df.sparkSession), F.xxhash64(*keys))
+
+
+def spread_scan(df: DataFrame, key: str) -> DataFrame:
+    """Spread a file scan that has fewer splits than the cluster has slots.
+
+    A large table has splits enough and is left alone.
+    """
+    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
+        return spread(df, key)
+    return df
