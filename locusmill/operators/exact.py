@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import annot as A
 from ..functions import seq as S
 from ..plans.ordered import running_count
+from ..session import spread
 from .kmers import windows_of
 
 ANCHOR = 8
@@ -72,7 +73,7 @@ def exact_homologs(df: DataFrame, probes: DataFrame) -> DataFrame:
         F.unhex(F.md5("translation")).alias("seq_key"),
         F.col("translation").alias("seq"),
     )
-    distinct = rows.groupBy("seq_key").agg(F.any_value("seq").alias("seq"))
+    distinct = spread(rows.groupBy("seq_key").agg(F.any_value("seq").alias("seq")), "seq_key")
     # one entry per probe that matches the sequence
     lists = containing(distinct, probes, ["seq_key"]).groupBy("seq_key").agg(
         F.transform(

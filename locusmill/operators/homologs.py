@@ -68,22 +68,28 @@ def protein_table(
 
 def _distinct_sequences(proteins: DataFrame, side: str) -> DataFrame:
     """One row per different sequence: copies are compared once and put back at the end."""
-    return (
-        proteins.groupBy(F.col("seq_key").alias(f"{side}_key"))
-        .agg(F.any_value("cmp_seq").alias(f"{side}_seq"))
-        .withColumn(f"{side}_n", F.greatest(F.length(f"{side}_seq") - (K - 1), F.lit(0)))
+    distinct = proteins.groupBy(F.col("seq_key").alias(f"{side}_key")).agg(
+        F.any_value("cmp_seq").alias(f"{side}_seq")
+    )
+    # a few megabytes of sequence are a lot of words: do not leave them in one task
+    return spread(distinct, f"{side}_key").withColumn(
+        f"{side}_n", F.greatest(F.length(f"{side}_seq") - (K - 1), F.lit(0))
     )
 
 
 def _words(seqs: DataFrame, side: str) -> DataFrame:
-    return seqs.where(F.col(f"{side}_n") > 0).select(
-        f"{side}_key", S.kmer_set(f"{side}_seq", K).alias("_set")
-    ).select(f"{side}_key", F.size("_set").alias(f"{side}_size"), F.explode("_set").alias("word"))
+    """Distinct words of every sequence with the size of its set."""
+    sets = seqs.where(F.col(f"{side}_n") > 0).select(
+        f"{side}_key", F.inline(F.array(S.let(
+            S.kmer_set(f"{side}_seq", K), lambda w: F.struct(F.size(w).alias(f"{side}_size"), w.alias("_set"))
+        )))
+    )
+    return sets.select(f"{side}_key", f"{side}_size", F.explode("_set").alias("word"))
 
 
 def _residue_links(seqs: DataFrame, side: str, widen: bool) -> DataFrame:
     """Distinct residues of short sequences, optionally widened to all that score above zero."""
-    res = seqs.select(f"{side}_key", f"{side}_n", F.explode(F.array_distinct(F.split(f"{side}_seq", ""))).alias("r"))
+    res = seqs.select(f"{side}_key", F.explode(F.array_distinct(F.split(f"{side}_seq", ""))).alias("r"))
     if not widen:
         return res
     m = align.protein_scheme().matrix
@@ -93,18 +99,18 @@ def _residue_links(seqs: DataFrame, side: str, widen: bool) -> DataFrame:
     }
     table = F.create_map(*[F.lit(v) for x, ys in near.items() for v in (x, "".join(ys))])
     partners = F.split(F.coalesce(F.try_element_at(table, F.col("r")), F.lit("")), "")
-    return res.select(f"{side}_key", f"{side}_n", F.explode(partners).alias("r")).distinct()
+    return res.select(f"{side}_key", F.explode(partners).alias("r")).distinct()
 
 
-def candidate_pairs(q: DataFrame, r: DataFrame, min_identity: float) -> DataFrame:
-    """(q_key, r_key) pairs that pass the k-mer test.
+def word_pairs(q: DataFrame, r: DataFrame, min_identity: float) -> DataFrame:
+    """(q_key, r_key) pairs whose k-mer sets reach the Jaccard floor.
 
     Sequences sharing no word have Jaccard 0 and fail any positive floor, so an
-    equi-join on words loses nothing; shared words are counted map-side per pair. A
-    pair with a sequence too short for a word passes the test, and can only score with
-    a residue pair above zero, which is what joins it here.
+    equi-join on words loses nothing; shared words are counted map-side per pair.
     """
     floor = min_identity**K * JACCARD_SHARE
+    if floor <= 0:
+        raise ValueError("the minimum identity must be above zero")
     shared = (
         _words(q, "q")
         .join(_words(r, "r"), "word")
@@ -112,14 +118,26 @@ def candidate_pairs(q: DataFrame, r: DataFrame, min_identity: float) -> DataFram
         .agg(F.count("*").alias("shared"))
     )
     n = F.col("shared")
-    by_words = shared.where(n / (F.col("q_size") + F.col("r_size") - n) >= floor).select("q_key", "r_key")
-    short = []
+    return shared.where(n / (F.col("q_size") + F.col("r_size") - n) >= floor).select("q_key", "r_key")
+
+
+def short_pairs(q: DataFrame, r: DataFrame) -> DataFrame:
+    """Pairs with a sequence too short for a word, which pass the k-mer test untested.
+
+    Such a pair can only score with a residue pair above zero, and that is the join.
+    """
+    found = None
     for a, b in (("q", "r"), ("r", "q")):
         seqs = {"q": q, "r": r}
         tiny = _residue_links(seqs[a].where(F.col(f"{a}_n") == 0), a, True)
         other = seqs[b] if a == "q" else seqs[b].where(F.col(f"{b}_n") > 0)
-        short.append(tiny.join(_residue_links(other, b, False), "r").select("q_key", "r_key").distinct())
-    return by_words.unionByName(short[0]).unionByName(short[1])
+        links = tiny.join(_residue_links(other, b, False), "r").select("q_key", "r_key").distinct()
+        found = links if found is None else found.unionByName(links)
+    return found
+
+
+def candidate_pairs(q: DataFrame, r: DataFrame, min_identity: float) -> DataFrame:
+    return word_pairs(q, r, min_identity).unionByName(short_pairs(q, r))
 
 
 def _align_pairs(min_identity: float):

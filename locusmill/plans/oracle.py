@@ -678,5 +678,190 @@ def kmer_sql() -> dict[str, str]:
     return out
 
 
+def protein_sql() -> dict[str, str]:
+    out = {}
+    letters = "ACDEFGHIKLMNPQRSTVWY"
+    terms = " + ".join(
+        f"CASE WHEN contains(translation, '{b}') THEN ((length(translation) - length(replace(translation, '{b}', ''))) / CAST(length(translation) AS DOUBLE))"
+        f" * log2((length(translation) - length(replace(translation, '{b}', ''))) / CAST(length(translation) AS DOUBLE)) ELSE 0 END"
+        for b in letters
+    )
+    base = f"""
+  prot AS (SELECT *, {_IDENT} AS ident, length(translation) AS n FROM genes WHERE type = 'CDS' AND length(translation) >= 10)"""
+    out["longest_isoform"] = sql(
+        "genes",
+        f"""SELECT genome, ident AS locus, coalesce(product, 'Unknown product') AS product, n AS full_length, translation AS cmp_seq
+            FROM prot WHERE -({terms}) >= 2.0
+            QUALIFY row_number() OVER (PARTITION BY genome, ident ORDER BY n DESC, record_ord, feat_ord) = 1""",
+        base,
+    )
+    out["all_isoforms"] = sql(
+        "genes",
+        """SELECT genome, locus, coalesce(product, 'Unknown product') AS product, n AS full_length, translation AS cmp_seq
+           FROM (SELECT *, ident || '#' || coalesce(protein_id, 'isoform' || CAST(sum(CASE WHEN protein_id IS NULL THEN 1 ELSE 0 END)
+                   OVER (PARTITION BY genome, ident ORDER BY record_ord, feat_ord ROWS UNBOUNDED PRECEDING) AS BIGINT)) AS locus FROM prot)
+           QUALIFY row_number() OVER (PARTITION BY genome, locus ORDER BY n DESC, record_ord, feat_ord) = 1""",
+        base,
+    )
+    kset = "(SELECT DISTINCT locus_tag, w FROM (SELECT locus_tag, unnest(list_transform(range(0, length(translation) - 3), lambda i: substr(translation, i + 1, 4))) AS w FROM {0} WHERE length(translation) >= 4))"
+    out["kmer_jaccard"] = sql(
+        "proteins probes",
+        """SELECT q.locus_tag AS query_locus, r.locus_tag AS ref_locus
+           FROM qk q JOIN rk r USING (w) JOIN qn ON q.locus_tag = qn.locus_tag JOIN rn ON r.locus_tag = rn.locus_tag
+           GROUP BY 1, 2 HAVING count(*) / CAST(any_value(qn.n) + any_value(rn.n) - count(*) AS DOUBLE) >= pow(0.6::DOUBLE, 4) * 0.5::DOUBLE""",
+        f"""
+  qk AS MATERIALIZED {kset.format("probes")}, rk AS MATERIALIZED {kset.format("proteins")},
+  qn AS (SELECT locus_tag, count(*) AS n FROM qk GROUP BY 1), rn AS (SELECT locus_tag, count(*) AS n FROM rk GROUP BY 1)""",
+    )
+    out["exact_match"] = sql(
+        "proteins probes",
+        """SELECT genome, locus_tag AS display_locus, record_id AS seq_id, product, n_targets, targets,
+             '>' || locus_tag || ' | ' || record_id || ' | ' || product || ' | [Homolog_of_' || targets || ']' AS header
+           FROM (SELECT p.genome, p.locus_tag, p.record_id, p.product, count(*) AS n_targets,
+                   CASE WHEN count(*) > 3 THEN array_to_string(list(q.locus_tag ORDER BY q.record_ord)[1:3], ',') || ',_and_' || (count(*) - 3) || '_more'
+                        ELSE string_agg(q.locus_tag, ',' ORDER BY q.record_ord) END AS targets
+                 FROM proteins p JOIN probes q ON contains(p.translation, q.translation) WHERE q.translation <> '' GROUP BY 1, 2, 3, 4)""",
+    )
+    out["presence_matrix"] = sql(
+        "proteins",
+        """SELECT core AS "Query_Core", genome AS "Genome_File", locus_tag AS "Locus_Tag", product AS "Product", 'PRESENT' AS "Status"
+           FROM hit UNION ALL
+           SELECT core, genome, '-', '-', 'ABSENT' FROM (SELECT DISTINCT core, genome FROM proteins, cores) a
+           WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.core = a.core AND hit.genome = a.genome)""",
+        """
+  cores AS (SELECT unnest(['ANDTHEREIN', 'INGTHETHE', 'LESSIRELLE', 'WWWWWWWW']) AS core),
+  hit AS MATERIALIZED (SELECT core, p.* FROM proteins p JOIN cores ON contains(translation, core))""",
+    )
+    return out
+
+
+def region_sql() -> dict[str, str]:
+    out = {}
+    ranges = """
+  tags AS (SELECT genome, record_id, arg_min(locus_tag, feat_ord) AS ft, arg_max(locus_tag, feat_ord) AS lt
+    FROM genes WHERE type = 'CDS' AND locus_tag IS NOT NULL GROUP BY 1, 2),
+  idx AS (SELECT genome, record_id, locus_tag, arg_max(start0, feat_ord) + 1 AS s, arg_max("end", feat_ord) AS e, arg_max_null(strand, feat_ord) AS st
+    FROM genes WHERE type = 'CDS' AND locus_tag IS NOT NULL GROUP BY 1, 2, 3),
+  rr AS (SELECT t.genome, t.record_id, c.length, c.seq, c.topology = 'circular' AND (c.length - greatest(a.e, b.e) + least(a.s, b.s)) < (greatest(a.e, b.e) - least(a.s, b.s)) AS turn,
+      least(a.s, b.s) AS lo, greatest(a.e, b.e) AS hi
+    FROM tags t JOIN idx a ON a.genome = t.genome AND a.record_id = t.record_id AND a.locus_tag = t.ft
+    JOIN idx b ON b.genome = t.genome AND b.record_id = t.record_id AND b.locus_tag = t.lt
+    JOIN contigs c ON c.genome = t.genome AND c.record_id = t.record_id),
+  reg AS (SELECT *, CASE WHEN turn THEN hi ELSE lo END AS c1, CASE WHEN turn THEN lo ELSE hi END AS c2 FROM rr)"""
+    out["region_slice"] = sql(
+        "contigs genes",
+        """SELECT record_id, c1, c2, CASE WHEN c1 > c2 THEN 'wrap:' || c1 || '-end+start-' || c2 ELSE c1 || '-' || c2 END AS label,
+             CASE WHEN c1 > c2 THEN substr(seq, c1, length - c1 + 1) || substr(seq, 1, c2) ELSE substr(seq, c1, c2 - c1 + 1) END AS sequence
+           FROM reg""",
+        ranges,
+    )
+    out["region_features"] = sql(
+        "contigs genes",
+        """SELECT r.record_id AS region_id, feat_ord, start0, start0 + 1 - c1 AS local_start0, "end" + 1 - c1 AS local_end
+           FROM genes g JOIN reg r ON g.genome = r.genome AND g.record_id = r.record_id
+           WHERE c1 <= c2 AND start0 + 1 >= c1 AND "end" <= c2
+           UNION ALL
+           SELECT r.record_id, feat_ord, start0, start0 + 1 - c1, "end" + 1 - c1 FROM genes g JOIN reg r ON g.genome = r.genome AND g.record_id = r.record_id
+           WHERE c1 > c2 AND start0 + 1 >= c1 AND "end" <= length
+           UNION ALL
+           SELECT r.record_id, feat_ord, start0, start0 + length - c1 + 1, "end" + length - c1 + 1 FROM genes g
+           JOIN reg r ON g.genome = r.genome AND g.record_id = r.record_id WHERE c1 > c2 AND "end" <= c2""",
+        ranges,
+    )
+    body = 'substr(seq, start0 + 1, "end" - start0)'
+    dna = f"CASE WHEN strand = -1 THEN {REVCOMP.format(body)} ELSE {body} END"
+    out["gene_profile"] = sql(
+        "contigs genes",
+        f"""SELECT g.genome, g.record_id, coalesce(locus_tag, 'N/A') AS locus_tag, coalesce(gene, '') AS gene_name, type,
+              coalesce(product, 'Unknown') AS product, start0 AS start, "end", {_strand()} AS strand,
+              "end" - start0 AS length, {dna} AS sequence
+            FROM genes g JOIN contigs c ON g.genome = c.genome AND g.record_id = c.record_id WHERE type = 'CDS'""",
+    )
+    gc = "(c.length - length(replace(replace(seq, 'G', ''), 'C', '')))"
+    out["gc_density"] = sql(
+        "contigs genes",
+        f"""SELECT c.genome, c.record_id, c.length, round(CASE WHEN c.length > 0 THEN {gc} / CAST(c.length AS DOUBLE) * 100.0::DOUBLE ELSE 0 END, 6) AS gc_percent,
+              coalesce(n, 0) AS genes, CAST(coalesce(bp, 0) AS BIGINT) AS coding_bp,
+              round(CASE WHEN c.length > 0 THEN CAST(coalesce(bp, 0) AS DOUBLE) / c.length * 100.0::DOUBLE ELSE 0 END, 6) AS coding_density
+            FROM contigs c LEFT JOIN (SELECT genome, record_id, count(*) AS n, sum("end" - start0) AS bp FROM genes WHERE type = 'CDS' GROUP BY 1, 2) g
+              ON g.genome = c.genome AND g.record_id = c.record_id""",
+    )
+    loc = (
+        "CASE WHEN i.s IS NOT NULL THEN ' [global_location=' || CASE WHEN i.st = -1 THEN 'complement(' || i.s || '..' || i.e || ')' ELSE i.s || '..' || i.e END"
+        " ELSE ' [location=' || CASE WHEN g.strand = -1 THEN 'complement(' || (start0 + 1) || '..' || \"end\" || ')' ELSE (start0 + 1) || '..' || \"end\" END END || ']'"
+    )
+    joined = """FROM genes g JOIN contigs c ON g.genome = c.genome AND g.record_id = c.record_id
+            LEFT JOIN idx i ON i.genome = g.genome AND i.record_id = g.record_id AND i.locus_tag = g.locus_tag
+            WHERE type = 'CDS'"""
+    trunc = 'length(translation) > 0 AND abs(length(translation) - ("end" - start0) // 3) > 1'
+    out["protein_records"] = sql(
+        "contigs genes",
+        f"""SELECT g.record_id, feat_ord, translation, '>' || coalesce(protein_id, g.locus_tag, '?') || ' ' || coalesce(product, 'unknown product')
+              || ' [' || organism || '] [locus_tag=' || coalesce(g.locus_tag, '?') || ']' || {loc}
+              || CASE WHEN protein_id IS NOT NULL THEN ' [source=' || g.record_id || ']' ELSE '' END AS header
+            {joined} AND length(translation) > 0 AND NOT ({trunc})""",
+        ranges,
+    )
+    out["gene_dna_records"] = sql(
+        "contigs genes",
+        f"""SELECT g.record_id, feat_ord, {dna.replace('strand', 'g.strand')} AS dna, '>' || coalesce(g.locus_tag, '?') || ' ' || coalesce(product, 'unknown product')
+              || ' [' || organism || ']' || {loc}
+              || CASE WHEN protein_id IS NOT NULL THEN ' [protein_id=' || protein_id || ']' ELSE '' END AS header
+            {joined} AND "end" > start0 AND NOT ({trunc})""",
+        ranges,
+    )
+    return out
+
+
+def search_sql() -> dict[str, str]:
+    out = {}
+    src = f"""
+  lab AS (SELECT source, CAST(replace(source, 'src', '') AS BIGINT) AS file_ord, regexp_replace(source, '\\d$', '') AS stem FROM (SELECT DISTINCT source FROM documents)),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY file_ord) AS n FROM lab),
+  named AS (SELECT d.doc_id, file_ord, 'r' || (d.doc_id // 7) AS raw_id, lang, {_PROT} AS seq,
+      CASE WHEN n = 1 THEN stem ELSE stem || '_' || n END AS label FROM documents d JOIN rk ON rk.source = d.source),
+  recs AS (SELECT *, label || '::' || raw_id AS id, row_number() OVER (ORDER BY file_ord, doc_id) AS seq_num FROM named)"""
+    head = "WITH " + src.lstrip("\n")
+    out["namespace_union"] = head + " SELECT id, raw_id, id || ' ' || lang AS description, length(seq) AS length FROM recs"
+    out["id_collisions"] = head + " SELECT raw_id, count(DISTINCT label) AS sources FROM recs GROUP BY 1 HAVING count(DISTINCT label) > 1"
+    out["sequence_list"] = head + " SELECT seq_num, id AS sequence_id, length(seq) AS length, lang AS description FROM recs"
+    out["batching"] = head + """ SELECT (seq_num - 1) // 10 AS batch,
+        CASE WHEN count(*) = 1 THEN min(id) ELSE arg_min(id, seq_num) || '..' || arg_max(id, seq_num) || ' (' || count(*) || ' seqs)' END AS label,
+        count(*) AS n, CAST(sum(length(seq)) AS BIGINT) AS total_length, sum(length(seq)) > 100000 AS too_long FROM recs GROUP BY 1"""
+    out["range_selection"] = sql(
+        "probes",
+        "SELECT * FROM (SELECT row_number() OVER (ORDER BY record_ord) AS seq_num, locus_tag AS id FROM probes) WHERE seq_num BETWEEN 6 AND 32",
+    )
+    out["resume_antijoin"] = sql(
+        "proteins",
+        "SELECT locus_tag AS id, length(translation) AS length FROM proteins WHERE record_ord NOT IN (SELECT doc_id FROM labels)",
+    )
+    out["species_match"] = """
+      SELECT 'genome_' || l_suppkey || '.fna' AS "Query", 'genome_' || l_partkey || '.fna' AS "Reference", round(ani, 6) AS "ANI",
+        m AS "Matched", t AS "Total", round(af, 6) AS "AF", ani >= 95 AND af >= 60 AS "Is_Match"
+      FROM (SELECT *, CASE WHEN t > 0 THEN m / CAST(t AS DOUBLE) * 100.0::DOUBLE ELSE 0.0::DOUBLE END AS af
+            FROM (SELECT *, CAST(printf('%.2f', 90 + l_discount * 100) AS DOUBLE) AS ani, CAST(floor(l_quantity) AS BIGINT) AS m,
+                    CAST(l_linenumber * 9 - 9 AS BIGINT) AS t FROM lineitem))"""
+    num = "feat_ord % 100"
+    colour = (
+        f"CASE WHEN {num} BETWEEN 46 AND 48 THEN '#a5d6a7' WHEN {num} BETWEEN 49 AND 51 THEN '#ef5350' WHEN {num} BETWEEN 52 AND 64 THEN '#90caf9'"
+        f" WHEN {num} BETWEEN 65 AND 67 THEN '#ef5350' WHEN {num} BETWEEN 68 AND 72 THEN '#ce93d8' WHEN {num} BETWEEN 73 AND 74 THEN '#ffb74d' ELSE '#cccccc' END"
+    )
+    role = (
+        f"CASE WHEN {num} BETWEEN 46 AND 48 THEN 'Flanking/accessory' WHEN {num} BETWEEN 49 AND 51 THEN 'Immunity/regulation' WHEN {num} BETWEEN 52 AND 64 THEN 'Core biosynthetic'"
+        f" WHEN {num} BETWEEN 65 AND 67 THEN 'Immunity/regulation' WHEN {num} BETWEEN 68 AND 72 THEN 'Ancestral lactobin' WHEN {num} BETWEEN 73 AND 74 THEN 'Transport' END"
+    )
+    out["locus_map"] = sql(
+        "genes",
+        f"""SELECT record_id, 'G_' || ({num}) AS locus_tag, start0 - min(start0) OVER (PARTITION BY record_id) AS start,
+              "end" - min(start0) OVER (PARTITION BY record_id) AS "end", strand, {colour} AS color, {role} AS role
+            FROM genes WHERE strand IS NOT NULL""",
+    )
+    return out
+
+
 def all_sql() -> dict[str, str]:
-    return {**annotation_sql(), **interval_sql(), **upstream_sql(), **motif_sql(), **kmer_sql()}
+    return {
+        **annotation_sql(), **interval_sql(), **upstream_sql(), **motif_sql(), **kmer_sql(),
+        **protein_sql(), **region_sql(), **search_sql(),
+    }

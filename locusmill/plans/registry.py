@@ -11,12 +11,20 @@ from pyspark.sql import types as T
 from ..functions import annot as A
 from ..functions import seq as S
 from ..operators import annotation as ann
+from ..operators import em
+from ..operators import exact as ex
+from ..operators import homologs as ho
 from ..operators import intervals as iv
 from ..operators import kmers as km
 from ..operators import motifs as mo
 from ..operators import profile as pr
+from ..operators import promoters as pm
+from ..operators import redundancy as rd
+from ..operators import regions as rg
+from ..operators import search as se
 from ..operators import upstream as up
 from ..session import tune
+from ..sources import tables as tb
 from . import bioviews as V
 from .oracle import KEYWORDS
 
@@ -422,3 +430,225 @@ def _(spark, sf):
     )
     full = up.add_upstream(g, V.contigs(spark, sf), 60).where(~F.col("truncated"))
     return pr.column_profile(full.select(F.col("upstream").alias("seq")))
+
+
+# Proteins -----------------------------------------------------------------------
+
+
+@query("longest_isoform")
+def _(spark, sf):
+    p = ho.protein_table(V.genes(spark, sf, with_translation=True), min_length=10, min_complexity=2.0)
+    return p.select("genome", "locus", "product", "full_length", "cmp_seq")
+
+
+@query("all_isoforms")
+def _(spark, sf):
+    p = ho.protein_table(V.genes(spark, sf, with_translation=True), min_length=10, keep_all_isoforms=True)
+    return p.select("genome", "locus", "product", "full_length", "cmp_seq")
+
+
+MIN_IDENTITY = 0.6
+
+
+@query("kmer_jaccard")
+def _(spark, sf):
+    q, r = ho.protein_table(V.probes(spark, sf)), ho.protein_table(V.proteins(spark, sf))
+    pairs = ho.word_pairs(ho._distinct_sequences(q, "q"), ho._distinct_sequences(r, "r"), MIN_IDENTITY)
+    return (
+        pairs.join(q.select(F.col("seq_key").alias("q_key"), F.col("locus").alias("query_locus")), "q_key")
+        .join(r.select(F.col("seq_key").alias("r_key"), F.col("locus").alias("ref_locus")), "r_key")
+        .select("query_locus", "ref_locus")
+    )
+
+
+@query("homologs")
+def _(spark, sf):
+    hits = ho.find_homologs(
+        ho.protein_table(V.probes(spark, sf), min_length=10), ho.protein_table(V.proteins(spark, sf)), MIN_IDENTITY
+    )
+    return ho.hit_report(hits)
+
+
+@query("homolog_summary")
+def _(spark, sf):
+    q = ho.protein_table(V.probes(spark, sf), min_length=10)
+    return ho.search_summary(q, ho.find_homologs(q, ho.protein_table(V.proteins(spark, sf)), MIN_IDENTITY))
+
+
+@query("rbh")
+def _(spark, sf):
+    hits = ho.reciprocal_best_hits(V.probes(spark, sf), V.proteins(spark, sf), min_identity=MIN_IDENTITY)
+    return ho.hit_report(hits)
+
+
+@query("exact_match")
+def _(spark, sf):
+    p = V.probes(spark, sf).select(
+        F.col("record_ord").alias("rec_ord"), F.col("locus_tag").alias("id"), F.col("translation").alias("seq")
+    )
+    return ex.exact_homologs(V.proteins(spark, sf), ex.load_probes(p, raw=True)).drop("protein")
+
+
+PEPTIDES = ["ANDTHEREIN", ">pasted\nINGTHE\nTHE", "LESSIRELLE", "WWWWWWWW"]
+
+
+@query("presence_matrix")
+def _(spark, sf):
+    return ex.presence_matrix(V.proteins(spark, sf), PEPTIDES, raw=True)
+
+
+@query("homolog_promoters")
+def _(spark, sf):
+    got = pm.homolog_promoters(
+        V.probes(spark, sf), V.genes(spark, sf, with_translation=True), V.contigs(spark, sf),
+        upstream_bp=120, min_identity=MIN_IDENTITY, mode="prokaryote", dedup_identity=0.95, dedup_coverage=0.9,
+    )
+    return got.regions.drop("priority")
+
+
+@query("promoter_dedup")
+def _(spark, sf):
+    g = V.genes(spark, sf).where(F.col("type") == "CDS")
+    ups = up.add_upstream(g, V.contigs(spark, sf), 150).select("genome", "record_id", "feat_ord", "upstream")
+    return rd.deduplicate(ups, "feat_ord", "upstream", 0.95, 0.90).drop("upstream")
+
+
+@query("em_motifs")
+def _(spark, sf):
+    seqs = V.contigs(spark, sf).where(F.col("length") >= 6).select(
+        F.col("record_ord").alias("ord"), F.col("record_id").alias("id"), "seq"
+    )
+    out = None
+    for i, m in enumerate(em.discover_motifs(seqs, width=6, top=1, n_seeds=6, n_refine=3, n_iter=15)):
+        part = m["instances"].withColumn("motif", F.lit(i + 1))
+        out = part if out is None else out.unionByName(part)
+    return out.drop("score")
+
+
+# Regions ------------------------------------------------------------------------
+
+
+def _ranges(spark, sf):
+    """First and last CDS of every contig, the shorter way round on circular ones."""
+    g, c = V.genes(spark, sf), V.contigs(spark, sf)
+    tags = g.where((F.col("type") == "CDS") & F.col("locus_tag").isNotNull()).groupBy("genome", "record_id").agg(
+        F.min_by("locus_tag", "feat_ord").alias("first_tag"), F.max_by("locus_tag", "feat_ord").alias("last_tag")
+    )
+    r = rg.locus_ranges(g, c, tags, circular=F.col("topology") == "circular")
+    return g, c, r.withColumn("region_id", F.col("record_id"))
+
+
+@query("region_slice")
+def _(spark, sf):
+    _, c, r = _ranges(spark, sf)
+    got = rg.region_sequences(r, c)
+    return got.select("record_id", "c1", "c2", rg.region_label().alias("label"), "sequence")
+
+
+@query("region_features")
+def _(spark, sf):
+    g, _, r = _ranges(spark, sf)
+    return rg.region_features(g, r).select("region_id", "feat_ord", "start0", "local_start0", "local_end")
+
+
+@query("gene_profile")
+def _(spark, sf):
+    return rg.gene_profile(V.genes(spark, sf), V.contigs(spark, sf))
+
+
+@query("gc_density")
+def _(spark, sf):
+    return rg.coding_density(V.genes(spark, sf), V.contigs(spark, sf))
+
+
+def _with_dna(spark, sf):
+    g, c = V.genes(spark, sf, with_translation=True), V.contigs(spark, sf)
+    rows = rg.spliced(g.where(F.col("type") == "CDS"), c, ["genome", "record_id", "feat_ord"])
+    return g, rows.join(c.select("genome", "record_id", "organism"), ["genome", "record_id"])
+
+
+@query("protein_records")
+def _(spark, sf):
+    g, rows = _with_dna(spark, sf)
+    return rg.protein_records(rows, rg.gene_index(g)).drop("genome")
+
+
+@query("gene_dna_records")
+def _(spark, sf):
+    g, rows = _with_dna(spark, sf)
+    return rg.gene_dna_records(rows, rg.gene_index(g)).drop("genome")
+
+
+# Search preparation and small tables --------------------------------------------
+
+
+def _sources(spark, sf):
+    """Documents as FASTA records of their sources; ids repeat between sources."""
+    d = V.table(spark, sf, "documents")
+    fasta = d.select(
+        F.col("source").alias("file"), F.col("doc_id").alias("rec_ord"),
+        F.concat(F.lit("r"), (F.floor(F.col("doc_id") / 7)).cast("string")).alias("id"),
+        F.concat(F.lit("r"), (F.floor(F.col("doc_id") / 7)).cast("string"), F.lit(" "), F.col("lang")).alias("description"),
+        V.protein("text").alias("seq"),
+    )
+    labels = d.select(F.col("source").alias("file")).distinct().select(
+        "file", F.regexp_replace("file", "src", "").cast("int").alias("file_ord"),
+        F.regexp_replace("file", r"\d$", "").alias("stem"),
+    )
+    return se.namespaced(fasta, labels)
+
+
+@query("namespace_union")
+def _(spark, sf):
+    return _sources(spark, sf).select("id", "raw_id", "description", F.length("seq").alias("length"))
+
+
+@query("id_collisions")
+def _(spark, sf):
+    return se.collisions(_sources(spark, sf))
+
+
+@query("sequence_list")
+def _(spark, sf):
+    return se.listing(se.numbered(_sources(spark, sf), ["file_ord", "rec_ord"]))
+
+
+@query("batching")
+def _(spark, sf):
+    rows = se.numbered(_sources(spark, sf), ["file_ord", "rec_ord"])
+    return se.batches(rows, 10, "blastp")
+
+
+@query("range_selection")
+def _(spark, sf):
+    p = V.probes(spark, sf).select(
+        F.col("record_ord").alias("rec_ord"), F.col("locus_tag").alias("id"), F.col("translation").alias("seq")
+    )
+    return se.select_range(se.numbered(p, ["rec_ord"]), "Q5", "Q31").select("seq_num", "id")
+
+
+@query("resume_antijoin")
+def _(spark, sf):
+    done = V.table(spark, sf, "labels").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("id"))
+    rows = V.proteins(spark, sf).select(F.col("locus_tag").alias("id"), F.length("translation").alias("length"))
+    return se.remaining(rows, done)
+
+
+@query("species_match")
+def _(spark, sf):
+    li = V.table(spark, sf, "lineitem")
+    line = F.format_string(
+        "q/genome_%d.fna\tref/set/genome_%d.fna\t%.2f\t%d\t%d",
+        F.col("l_suppkey"), F.col("l_partkey"), 90 + F.col("l_discount") * 100,
+        F.col("l_quantity").cast("long"), (F.col("l_linenumber") * 9 - 9).cast("long"),
+    )
+    return tb.parse_ani(li.select(line.alias("value")))
+
+
+@query("locus_map")
+def _(spark, sf):
+    g = V.genes(spark, sf).where(F.col("strand").isNotNull()).select(
+        "record_id", F.concat_ws("_", F.lit("G"), (F.col("feat_ord") % 100).cast("string")).alias("locus_tag"),
+        F.col("start0").alias("start"), "end", "strand",
+    )
+    return tb.plot_ready(g, ("record_id",))

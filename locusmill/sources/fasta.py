@@ -18,26 +18,25 @@ def read_fasta(
 ) -> DataFrame:
     """(file, rec_ord, id, description, seq); records keep their order in ``rec_ord``.
 
-    ``strict`` makes an empty header or text before the first header an error.
+    ``strict`` makes an empty header or text before the first header an error; finding
+    the first piece of every file takes one more look at the files.
     """
     raw = _chunks(spark, path, "\n>", recursive, glob)
     # only the first piece of a file still has its own '>'
     first = F.startswith(F.col("value"), F.lit(">"))
     body = F.when(first, F.substring(F.col("value"), F.lit(2), F.length("value"))).otherwise(F.col("value"))
-    # text at the top of a file that no '>' precedes
-    stray = (F.col("_at") == 0) & ~first
-    rows = raw.withColumn("_at", F.col("record_ord")).withColumn("_stray", stray).withColumn("_body", body)
-    rows = rows.where(~(F.col("_stray") & (F.regexp_replace("_body", r"\s", "") == "")))
+    rows = raw.withColumn("_body", body).where(first | (F.regexp_replace("value", r"\s", "") != ""))
     header = F.trim(F.regexp_extract("_body", r"^([^\r\n]*)", 1))
     seq = F.regexp_replace(F.regexp_replace("_body", r"^[^\r\n]*", ""), r"\s", "")
     ident = F.regexp_extract(header, r"^(\S*)", 1)
     if strict:
-        bad = F.when(F.col("_stray"), F.raise_error("sequence data before the first header")).when(
+        tops = rows.groupBy("path").agg(F.min("record_ord").alias("_top"))
+        rows = rows.join(tops, "path")
+        stray = (F.col("record_ord") == F.col("_top")) & ~F.startswith(F.col("value"), F.lit(">"))
+        bad = F.when(stray, F.raise_error("sequence data before the first header")).when(
             header == "", F.raise_error("empty header")
         )
         ident = F.coalesce(bad.cast("string"), ident)
-    else:
-        rows = rows.where(~F.col("_stray"))
     return rows.select(
         F.element_at(F.split("path", "/"), -1).alias("file"),
         F.col("record_ord").alias("rec_ord"),

@@ -52,7 +52,7 @@ def read_ani(spark: SparkSession, path: str) -> DataFrame:
 def read_locus_list(spark: SparkSession, path: str) -> DataFrame:
     """(locus, ord): tags one per line (# starts a comment), or the Locus_Tag column of a TSV."""
     lines = spark.read.text(path).select(
-        F.regexp_replace("value", "^﻿", "").alias("value"),
+        F.regexp_replace("value", "^\ufeff", "").alias("value"),
         (F.col("_metadata.file_block_start") + F.monotonically_increasing_id()).alias("ord"),
     )
     head = lines.orderBy("ord").limit(1).collect()
@@ -116,7 +116,7 @@ def write_tsv(df: DataFrame, path: str, bom: bool = False, mode: str = "overwrit
     """Tab-separated part files, each with a header; ``bom`` marks them for spreadsheets."""
     if bom:
         first = df.columns[0]
-        df = df.withColumnRenamed(first, "﻿" + first)
+        df = df.withColumnRenamed(first, "\ufeff" + first)
     # empty strings stay empty cells
     df.write.mode(mode).csv(path, sep="\t", header=True, emptyValue="", quote="", escape="")
 
