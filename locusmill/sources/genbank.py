@@ -164,13 +164,14 @@ def _parse(batches):
     for pdf in batches:
         rows = []
         for t in pdf.itertuples(index=False):
-            row = {"path": t.path, "record_ord": t.record_ord, "error": None}
+            row = dict.fromkeys(RECORDS.fieldNames())
+            row.update(path=t.path, record_ord=t.record_ord)
             try:
                 row.update(parse_record(t.value))
             except (ValueError, IndexError) as e:
                 row["error"] = str(e)
             rows.append(row)
-        yield pd.DataFrame(rows, columns=RECORDS.fieldNames())
+        yield pd.DataFrame(rows, columns=RECORDS.fieldNames(), dtype=object)
 
 
 def _chunks(spark: SparkSession, path: str, sep: str, recursive: bool, glob: str | None) -> DataFrame:

@@ -27,13 +27,14 @@ def parse_ani(lines: DataFrame) -> DataFrame:
     """Whole-genome identity rows from a ``value`` column; a malformed line is an error."""
     f = F.split(F.regexp_replace("value", r"(?U)^\s+|\s+$", ""), r"(?U)\s+")
     rows = lines.where(F.regexp_replace("value", r"(?U)\s", "") != "").select("value", f.alias("f"))
-    ani = F.col("f")[2].try_cast("double")
-    matched, total = F.col("f")[3].try_cast("int"), F.col("f")[4].try_cast("int")
+    field = lambda i: F.get("f", F.lit(i))
+    ani = field(2).try_cast("double")
+    matched, total = field(3).try_cast("int"), field(4).try_cast("int")
     bad = F.when(F.size("f") < 5, F.raise_error(F.concat(F.lit("malformed line: "), F.col("value")))).when(
         ani.isNull() | matched.isNull() | total.isNull(),
         F.raise_error(F.concat(F.lit("invalid number: "), F.col("value"))),
     )
-    base = lambda i: F.element_at(F.split(F.rtrim(F.col("f")[i], F.lit("/")), "/"), -1)
+    base = lambda i: F.element_at(F.split(F.rtrim(field(i), F.lit("/")), "/"), -1)
     got = rows.withColumn("_bad", bad.cast("string")).select(
         F.coalesce("_bad", base(0)).alias("Query"), base(1).alias("Reference"),
         ani.alias("ANI"), matched.alias("Matched"), total.alias("Total"),
