@@ -434,3 +434,23 @@ def scan_summary(hits: DataFrame, queries: Sequence[str]) -> DataFrame:
         F.sum("n").alias("hits"), F.count("*").alias("files_hit")
     )
     return asked.join(counts, "Keyword", "left").na.fill(0, ["hits", "files_hit"])
+
+
+#: Rows a terminal listing shows.
+PREVIEW = 20
+
+
+def preview(df: DataFrame, limit: int = PREVIEW) -> DataFrame:
+    """First loci in file order, isoforms folded, with the totals a listing names.
+
+    The cut is the feature here: it becomes a top-k per partition, and the totals come
+    from one aggregate over the folded rows.
+    """
+    rows = collapse_isoforms(df)
+    totals = rows.agg(
+        F.struct(F.count("*").alias("loci"), F.coalesce(F.sum("collapsed"), F.lit(0)).alias("folded")).alias("t")
+    ).scalar()
+    top = rows.orderBy("genome", "record_ord", "feat_ord").limit(limit)
+    return top.withColumn("_t", totals).select(
+        *rows.columns, F.col("_t.loci").alias("total_loci"), F.col("_t.folded").alias("total_folded")
+    )

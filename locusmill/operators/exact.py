@@ -34,8 +34,9 @@ def containing(subjects: DataFrame, probes: DataFrame, key: Sequence[str]) -> Da
     """(key, probe_ord, probe) for every subject whose ``seq`` contains the ``core``.
 
     A subject that contains a probe contains the first letters of it, so both sides
-    meet on that word and only those pairs are looked at. Words are distinct per
-    subject; the anchor length is that of the probe where it is shorter.
+    meet on that word and only those pairs are looked at. The anchor length is that of
+    the probe where it is shorter. Words that no probe starts with are dropped by the
+    join itself, before anything is made distinct.
     """
     anchored = probes.select(
         "probe_ord", "probe", "core",
@@ -43,10 +44,9 @@ def containing(subjects: DataFrame, probes: DataFrame, key: Sequence[str]) -> Da
     )
     found = None
     for n in sorted(r[0] for r in anchored.select(F.length("word")).distinct().collect()):
-        words = windows_of(subjects.select(*key, F.upper("seq").alias("seq")), n, list(key)).distinct()
-        pairs = words.join(
-            anchored.where(F.length("word") == n).withColumn("word", F.upper("word")), "word"
-        ).drop("word")
+        words = windows_of(subjects.select(*key, F.upper("seq").alias("seq")), n, list(key))
+        anchors = anchored.where(F.length("word") == n).withColumn("word", F.upper("word"))
+        pairs = words.join(anchors, "word").drop("word").distinct()
         found = pairs if found is None else found.unionByName(pairs)
     if found is None:
         raise ValueError("no valid probe")

@@ -102,6 +102,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_quantity", "l_linestatus", "l_returnflag",
     )
+    li = spread_scan(li, "l_orderkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     ok, pk, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
@@ -146,12 +147,12 @@ def genes(spark: SparkSession, sf_dir: str, with_translation: bool = False) -> D
     part = table(spark, sf_dir, "part")
     n_docs = docs.agg(F.count("*")).scalar()
     n_part = part.agg(F.count("*")).scalar()
-    orders = table(spark, sf_dir, "orders").select(
+    orders = spread_scan(table(spark, sf_dir, "orders"), "o_orderkey").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
         (F.col("o_custkey") % n_docs).alias("g_doc"),
         ((F.col("o_orderkey") * 17 + F.col("o_custkey")) % n_part).alias("g_part"),
     )
-    rec = docs.select(
+    rec = spread_scan(docs.select("doc_id", "source", "text"), "doc_id").select(
         "doc_id", "source",
         F.length(_letters("text")).alias("len"),
         *([protein("text").alias("prot")] if with_translation else []),
