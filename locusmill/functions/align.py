@@ -128,86 +128,90 @@ def local_score(a, b, scheme: Scheme) -> int:
     return best
 
 
-def local_alignment(a, b, scheme: Scheme) -> Alignment | None:
-    """Best local alignment; None when nothing scores above zero.
+class LocalAlignment:
+    """Best local alignment of two sequences: the score first, the way back on demand.
 
     Among equal scores the alignment that ends first (in the shorter sequence, then in
-    the other) is taken, and the way back prefers a pair over a gap in ``b`` over a gap
-    in ``a``. Every sqrt(m)-th row is kept on the way down and the rows between are
-    worked out again on the way back, so memory grows with n * sqrt(m).
+    the other) is taken, and the way back prefers a pair over a gap in the longer over
+    a gap in the shorter. Every sqrt(m)-th row is kept on the way down and the rows
+    between are worked out again on the way back, so memory grows with n * sqrt(m).
     """
-    if not len(a) or not len(b):
-        return None
-    if len(a) > len(b):
-        got = local_alignment(b, a, scheme)
-        return got and got._replace(a_nongap=got.b_nongap, b_nongap=got.a_nongap)
-    m = len(a)
-    rows = _Rows(a, b, scheme)
-    step = max(1, math.isqrt(m))
-    h, f = rows.start()
-    kept, best, end_i = {}, 0, -1
-    for i in range(m):
-        if i % step == 0:
-            kept[i] = (h, f)
-        h, _, f = rows.next(i, h, f)
-        top = int(h.max())
-        if top > best:
-            best, end_i, end_j = top, i, int(h.argmax()) - 1
-    if end_i < 0:
-        return None
-
-    block: dict[int, tuple] = {}
 
-    def row(i):
+    def __init__(self, a, b, scheme: Scheme):
+        self.swapped = len(a) > len(b)
+        self.a, self.b = (b, a) if self.swapped else (a, b)
+        self.score, self.end = 0, None
+        if not len(self.a):
+            return
+        self.rows = _Rows(self.a, self.b, scheme)
+        self.step = max(1, math.isqrt(len(self.a)))
+        self.kept, self.block = {}, {}
+        h, f = self.rows.start()
+        for i in range(len(self.a)):
+            if i % self.step == 0:
+                self.kept[i] = (h, f)
+            h, _, f = self.rows.next(i, h, f)
+            top = int(h.max())
+            if top > self.score:
+                self.score, self.end = top, (i, int(h.argmax()) - 1)
+
+    def _row(self, i):
         """(h, e, f) of a row; row -1 is the empty start."""
         if i < 0:
-            h0, f0 = rows.start()
+            h0, f0 = self.rows.start()
             return h0, f0, f0
-        if i not in block:
-            base = i - i % step
-            block.clear()
-            hh, ff = kept[base]
-            for r in range(base, min(base + step, m)):
-                hh, ee, ff = rows.next(r, hh, ff)
-                block[r] = (hh, ee, ff)
-        return block[i]
-
-    i, j, state = end_i, end_j, "H"
-    length = identical = mismatches = a_used = b_used = 0
-    cur = row(i)
-    while True:
-        if state == "H":
-            value = int(cur[0][j + 1])
-            if value == 0:
-                break
-            prev_h = row(i - 1)[0]
-            if value == int(prev_h[j]) + int(rows.profile[a[i], j]):
-                length += 1
-                a_used += 1
-                b_used += 1
-                if a[i] == b[j]:
-                    identical += 1
-                else:
-                    mismatches += 1
-                i, j = i - 1, j - 1
-                if i < 0 or j < 0:
+        if i not in self.block:
+            base = i - i % self.step
+            self.block.clear()
+            h, f = self.kept[base]
+            for r in range(base, min(base + self.step, len(self.a))):
+                h, e, f = self.rows.next(r, h, f)
+                self.block[r] = (h, e, f)
+        return self.block[i]
+
+    def trace(self) -> Alignment | None:
+        """Counts along the alignment; None when nothing scores above zero."""
+        if self.end is None:
+            return None
+        a, b, rows = self.a, self.b, self.rows
+        (i, j), state = self.end, "H"
+        identical = mismatches = a_gap = b_gap = 0
+        cur = self._row(i)
+        while True:
+            if state == "H":
+                value = int(cur[0][j + 1])
+                if value == 0:
                     break
-                cur = row(i)
+                if value == int(self._row(i - 1)[0][j]) + int(rows.profile[a[i], j]):
+                    if a[i] == b[j]:
+                        identical += 1
+                    else:
+                        mismatches += 1
+                    i, j = i - 1, j - 1
+                    if i < 0 or j < 0:
+                        break
+                    cur = self._row(i)
+                else:
+                    state = "F" if value == int(cur[2][j]) else "E"
+            elif state == "F":
+                value = int(cur[2][j])
+                b_gap += 1
+                i -= 1
+                cur = self._row(i)
+                if value == int(cur[0][j + 1]) + rows.open:
+                    state = "H"
             else:
-                state = "F" if value == int(cur[2][j]) else "E"
-        elif state == "F":
-            value = int(cur[2][j])
-            length += 1
-            a_used += 1
-            i -= 1
-            cur = row(i)
-            if value == int(cur[0][j + 1]) + rows.open:
-                state = "H"
-        else:
-            value = int(cur[1][j])
-            length += 1
-            b_used += 1
-            j -= 1
-            if value == int(cur[0][j + 1]) + rows.open:
-                state = "H"
-    return Alignment(best, length, identical, mismatches, a_used, b_used)
+                value = int(cur[1][j])
+                a_gap += 1
+                j -= 1
+                if value == int(cur[0][j + 1]) + rows.open:
+                    state = "H"
+        pairs = identical + mismatches
+        used = (pairs + b_gap, pairs + a_gap)
+        if self.swapped:
+            used = used[::-1]
+        return Alignment(self.score, pairs + a_gap + b_gap, identical, mismatches, *used)
+
+
+def local_alignment(a, b, scheme: Scheme) -> Alignment | None:
+    return LocalAlignment(a, b, scheme).trace()

@@ -161,14 +161,15 @@ def _align_pairs(min_identity: float):
             out = []
             for t in pdf.itertuples(index=False):
                 a, b = scheme.encode(t.q_seq), scheme.encode(t.r_seq)
-                score = align.local_score(a, b, scheme)
+                found = align.LocalAlignment(a, b, scheme)
+                score = found.score
                 if score <= 0:
                     continue
                 short, c = (t.q_seq, a) if len(a) <= len(b) else (t.r_seq, b)
                 top = self_score(short, c)
                 if top <= 0 or score < top * min_identity * SCORE_SHARE:
                     continue
-                al = align.local_alignment(a, b, scheme)
+                al = found.trace()
                 identity = al.identical / al.length
                 if identity < min_identity:
                     continue
