@@ -260,6 +260,28 @@ def test_complete_linkage_keeps_unlike_ends_apart(spark):
     assert {r["rep"] for r in rd.complete_linkage(clique).collect()} == {1}
 
 
+def test_waves_settle_like_one_task(spark):
+    rng = random.Random(17)
+    nodes = list(range(10))
+    near = {(a, b) for a in nodes for b in nodes if a < b and rng.random() < (0.75 if a // 5 == b // 5 else 0.1)}
+    clusters, rep = [], {}
+    for x in nodes:
+        for c in clusters:
+            if all((m, x) in near for m in c):
+                c.append(x)
+                rep[x] = c[0]
+                break
+        else:
+            clusters.append([x])
+            rep[x] = x
+    edges = spark.createDataFrame(sorted(near), "lo long, hi long")
+    linked = {x for e in near for x in e}
+    want = {x: r for x, r in rep.items() if x in linked}
+    for limit in (10**6, 0):
+        got = {r["node"]: r["rep"] for r in rd.complete_linkage(edges, limit).collect()}
+        assert got == want
+
+
 def test_homolog_promoters(spark):
     prot = "MKTAYIAKQRQISFVKSHFSRQLEERL"
     seq = "ACGTTGCAAGGCTTACGGAT" * 30
