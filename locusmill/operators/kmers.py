@@ -86,8 +86,14 @@ def compare(
     )
 
 
+def _change() -> Column:
+    """|l2fc| to rank by; opposite ratios are equal on paper, and rounding must not order them."""
+    return F.round(F.abs("l2fc"), 9)
+
+
 def top_by_change(table: DataFrame, n: int = 20) -> DataFrame:
-    return table.orderBy(F.desc(F.abs("l2fc")), "kmer").limit(n)
+    """The n largest changes, ties by name."""
+    return table.orderBy(F.desc(_change()), "kmer").limit(n)
 
 
 # Permutation test ---------------------------------------------------------------
@@ -232,7 +238,7 @@ def cluster_kmers(table: DataFrame, k: int, max_distance: int = 1, max_rounds: i
     if max_distance < 1:
         raise ValueError("max_distance must be positive")
     ranked = global_row_number(
-        table.select("kmer", F.abs("l2fc").alias("a")), [F.desc("a"), "kmer"], "rank"
+        table.select("kmer", _change().alias("a")), [F.desc("a"), "kmer"], "rank"
     ).select("kmer", "rank")
     edges = cut_lineage(_neighbours(ranked, k, min(max_distance, k)))
     labels = ranked.select("rank", F.col("rank").alias("label"))

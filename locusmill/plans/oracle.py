@@ -615,7 +615,7 @@ def kmer_sql() -> dict[str, str]:
         both,
     )
     out["kmer_topn"] = sql(
-        "contigs", "SELECT kmer, round(l2fc, 6) AS l2fc FROM cmp ORDER BY abs(cmp.l2fc) DESC, kmer LIMIT 20", both
+        "contigs", "SELECT kmer, round(l2fc, 6) AS l2fc FROM cmp ORDER BY round(abs(cmp.l2fc), 9) DESC, kmer LIMIT 20", both
     )
     out["revcomp"] = sql("contigs", f"SELECT record_id AS id, {REVCOMP.format('seq')} AS rc FROM contigs")
     out["seq_entropy"] = sql(
@@ -868,7 +868,7 @@ def graph_sql() -> dict[str, str]:
         + """,
   side AS (SELECT kmer, coalesce(sum(n) FILTER (tgt), 0) AS t, coalesce(sum(n) FILTER (NOT tgt), 0) AS r FROM canon GROUP BY 1),
   tot AS (SELECT sum(t) AS tw, sum(r) AS rw FROM side),
-  ranked AS MATERIALIZED (SELECT kmer, row_number() OVER (ORDER BY abs(log2(((t + 0.5::DOUBLE) / (tw + 1)) / ((r + 0.5::DOUBLE) / (rw + 1)))) DESC, kmer) AS rank
+  ranked AS MATERIALIZED (SELECT kmer, row_number() OVER (ORDER BY round(abs(log2(((t + 0.5::DOUBLE) / (tw + 1)) / ((r + 0.5::DOUBLE) / (rw + 1)))), 9) DESC, kmer) AS rank
     FROM side, tot),
   near AS MATERIALIZED (SELECT a.rank AS lo, b.rank AS hi FROM ranked a JOIN ranked b ON a.rank < b.rank
     WHERE hamming(a.kmer, b.kmer) <= 1 OR hamming(a.kmer, """
