@@ -23,6 +23,10 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_entry_gives_rows(spark):
+    assert entry.entry(spark).count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - LONG))
 def test_query(spark, con, name):
     message, _, _, ok = compare(spark, con, SF, name, registry.QUERIES[name], entry.oracle_sql().get(name))
