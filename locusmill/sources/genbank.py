@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.annot import flatten
-from ..model import FEATURES, PART
+from ..model import FEATURES
 
 EXTENSIONS = ("gbk", "gbff", "gb")
 

@@ -1,8 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from locusmill.operators import annotation as ann
-from locusmill.operators import exact as ex
 from locusmill.operators import regions as rg
 from locusmill.operators import search as se
 from locusmill.operators import upstream as up
