@@ -7,16 +7,59 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import quality_rules, simhash, url_filter
 from .common import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: URLs of the pages whose number a toxic label carries."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("page_id"))
+    listed = pages.join(toxic, "page_id", "left_semi").select(url_filter.canonical(F.col("url")).alias("canonical_url"))
+    return url_filter.url_filter(pages, listed).select("page_id", "host", "path", "rule", "verdict", "canonical_url", "listed")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op6_simhash": op6_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_url_filter": r"""
+        WITH parts AS (
+          SELECT page_id, url,
+            coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+            coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
+            list_sort(list_filter(string_split(regexp_extract(url, '^.*?://[^?#]*\?([^#]*)', 1, 's'), '&'),
+              lambda p: p <> '' AND NOT regexp_full_match(p, '(utm_[^=]*|ref|gclid|fbclid)(=.*)?'))) AS params
+          FROM pages),
+        named AS (
+          SELECT *, regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '') AS name,
+            regexp_replace(regexp_replace(path, '/+', '/', 'g'), '/$', '') AS way FROM parts),
+        canon AS (
+          SELECT page_id, host, path, CASE WHEN name <> '' THEN name || way ||
+            CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS canonical_url FROM named),
+        rules(says, rule, h, p) AS (VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'),
+          ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')),
+        best AS (
+          SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(says, length(rule)) AS says
+          FROM (SELECT DISTINCT host, path FROM canon) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+          GROUP BY host, path),
+        bad AS (
+          SELECT DISTINCT canonical_url FROM canon
+          WHERE page_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AND canonical_url IS NOT NULL)
+        SELECT c.page_id, c.host, c.path, b.rule,
+          coalesce(b.says, CASE WHEN bad.canonical_url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+          c.canonical_url, bad.canonical_url IS NOT NULL AS listed
+        FROM canon c LEFT JOIN best b ON c.host = b.host AND c.path = b.path LEFT JOIN bad ON c.canonical_url = bad.canonical_url""",
+}
