@@ -17,6 +17,8 @@ U64 = np.uint64
 SLICE_BYTES = 1 << 21
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: For loose comparison: every ASCII character that is no letter or digit parts words.
+LOOSE = np.array([not (chr(b).isalnum() or b > 127) for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
@@ -70,7 +72,7 @@ class Words:
     its first word, and the number of words last.
     """
 
-    def __init__(self, column: pa.Array, lower: bool = False):
+    def __init__(self, column: pa.Array, lower: bool = False, separators: np.ndarray = _SPACE):
         column = column.fill_null("") if column.null_count else column
         self.offsets = offs = offsets(column)
         kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
@@ -80,7 +82,7 @@ class Words:
         self.buf = np.frombuffer(data, np.uint8)[first : first + size] if data is not None and size else np.zeros(0, np.uint8)
         if lower:
             self.buf = _LOWER[self.buf]
-        inside = ~_SPACE[self.buf]
+        inside = ~separators[self.buf]
         start, end = inside.copy(), inside.copy()
         start[1:] &= ~inside[:-1]
         end[:-1] &= ~inside[1:]
