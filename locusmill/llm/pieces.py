@@ -15,9 +15,11 @@ from dataclasses import dataclass
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN = 10_000
-#: Words of a text: a run of spaces and what follows up to the next space or line feed. No
-#: piece goes across a line feed, so this does not change the cheapest way through a text.
-WORD = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+#: Words of a text: some spaces and what follows up to the next space or line feed. No piece
+#: goes across a line feed. A word has at most 256 characters, and at most 16 spaces, which
+#: is the longest piece of spaces; longer ones are cut there.
+WORD_PATTERN = f"\n|{SPACE}{{0,16}}[^{SPACE}\n]{{1,240}}|{SPACE}{{1,16}}"
+WORD = re.compile(WORD_PATTERN)
 
 
 @dataclass(frozen=True)
