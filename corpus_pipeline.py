@@ -6,9 +6,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from locusmill.llm import decontaminate, language_id, sentence_pieces, simhash, suffix_dedup
+from locusmill.llm.common import arrow_settings
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language stay; a missing lang is filled in."""
+    arrow_settings(spark)
+    return language_id.known_languages(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: the one with the smallest doc_id."""
+    arrow_settings(spark)
+    return simhash.first_of_each_group(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has are cut out."""
+    arrow_settings(spark)
+    return suffix_dedup.cut_repeats(docs)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    arrow_settings(spark)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, encoded and checked by decoding."""
+    arrow_settings(spark)
+    return sentence_pieces.encode_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("benchmark_free", benchmark_free),
+    ("encoded", encoded),
+]
 
 #: Learned and iterative stages have no SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None

@@ -189,6 +189,21 @@ def _judge(column: pa.Array, matrix: np.ndarray, dims: int, block: int) -> tuple
     return best, score
 
 
+def known_languages(docs: DataFrame, label: str = "lang", min_score: float = 0.05) -> DataFrame:
+    """The rows whose language can be told, with all columns; a null ``label`` gets it.
+
+    Learned from the rows that have a label. A text without a letter, or with no cosine of
+    ``min_score`` to any language, is turned down; short texts have low cosines, so the
+    least score is small. If no row has a label, nothing can be told and every row stays.
+    """
+    labelled = docs.where(F.col(label).isNotNull()).select("text", label)
+    if labelled.isEmpty():
+        return docs
+    found = language_id(docs, labelled, label)
+    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
+    return kept.withColumn(label, F.coalesce(F.col(label), F.col("lang_pred"))).select(*docs.columns)
+
+
 def held_out(doc_id="doc_id"):
     """Documents never learned from: crc32 of the id as text leaves 1 by three."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
