@@ -21,6 +21,14 @@ def arrow_settings(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
 
 
+def unused(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` starts with, for helper columns."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder: computed once, safe from lost executors."""
     return cut_lineage(df)

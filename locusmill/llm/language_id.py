@@ -20,6 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
 from .scan import mix, offsets, slices, texts
 
 U64 = np.uint64
@@ -136,8 +137,10 @@ def prototypes(docs: DataFrame, label: str = "lang", dims: int = DIMENSIONS) ->
     return trigram_counts(docs, label).mapInArrow(run, "label string, d long, v double").groupBy("label", "d").agg(F.sum("v").alias("v"))
 
 
-def language_id(docs: DataFrame, train: DataFrame, label: str = "lang", dims: int = DIMENSIONS, block: int = 128) -> DataFrame:
-    """``docs`` plus ``lang_pred`` and ``score`` (the cosine, not below 0).
+def language_id(
+    docs: DataFrame, train: DataFrame, label: str = "lang", dims: int = DIMENSIONS, block: int = 128, out: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``docs`` plus the prediction and its score (the cosine, not below 0), named ``out``.
 
     ``train``: text and ``label``; rows without a label or a letter teach nothing. Only
     the text of ``docs`` decides. A null text, or one without a letter, is ``und`` with
@@ -153,9 +156,9 @@ def language_id(docs: DataFrame, train: DataFrame, label: str = "lang", dims: in
     norm = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = matrix / np.where(norm > 0, norm, 1)
 
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in out]
     src = docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema) + f", `{out[0]}` string, `{out[1]}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +167,7 @@ def language_id(docs: DataFrame, train: DataFrame, label: str = "lang", dims: in
                 part = batch.slice(lo, hi - lo)
                 best, score = _judge(column.slice(lo, hi - lo), matrix, dims, block)
                 pred = pa.array([names[i] if i >= 0 else UNKNOWN for i in best], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, pred, pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pred, pa.array(score, pa.float64())], [*keep, *out])
 
     return src.mapInArrow(run, schema)
 
@@ -199,9 +202,11 @@ def known_languages(docs: DataFrame, label: str = "lang", min_score: float = 0.0
     labelled = docs.where(F.col(label).isNotNull()).select("text", label)
     if labelled.isEmpty():
         return docs
-    found = language_id(docs, labelled, label)
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return kept.withColumn(label, F.coalesce(F.col(label), F.col("lang_pred"))).select(*docs.columns)
+    p = unused(docs)
+    pred, score = f"{p}pred", f"{p}score"
+    found = language_id(docs, labelled, label, out=(pred, score))
+    kept = found.where((F.col(pred) != UNKNOWN) & (F.col(score) >= min_score))
+    return kept.withColumn(label, F.coalesce(F.col(label), F.col(pred))).select(*docs.columns)
 
 
 def held_out(doc_id="doc_id"):

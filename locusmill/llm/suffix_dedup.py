@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, unused
 from .scan import Words, gram_hashes, mix, powers, slices, texts
 
 U64 = np.uint64
@@ -217,10 +217,11 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     White space around a cut stays. A text of which every word is cut goes, with its row;
     all other rows stay, with all columns. ``n_chars``, if there is one, follows the text.
     """
-    names = docs.columns
-    spans = settled(_spans(docs, length, k).where("NOT original").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), F.col("spans").alias("_s")))
-    keyed = docs.withColumn("_k", F.xxhash64("text"))
-    met = keyed.join(spans, (F.col("_k") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").select(*names, "_s")
+    names, p = docs.columns, unused(docs)
+    spans = _spans(docs, length, k).where("NOT original")
+    spans = settled(spans.select(F.col("doc_id").alias(f"{p}d"), F.col("t").alias(f"{p}t"), F.col("spans").alias(f"{p}s")))
+    same = (F.xxhash64("text") == F.col(f"{p}t")) & F.col("doc_id").eqNullSafe(F.col(f"{p}d"))
+    met = docs.join(spans, same, "left").select(*names, f"{p}s")
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

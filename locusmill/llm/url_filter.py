@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: (host, path) in rule strings, and what a rule says. Longest wins.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -88,26 +90,25 @@ def url_filter(
     """
     new = ["host", "path", "canonical_url", "rule", "listed", "verdict"]
     keep = [c for c in pages.columns if c not in new]
+    p = unused(pages)
     judged = pages.select(*keep, host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), canonical(F.col("url")).alias("canonical_url"))
-    judged = judged.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
-    judged = judged.select("*", F.col("_rule.rule").alias("rule"), F.col("_rule.says").alias("_says")).drop("_rule")
-    names = listed.select(F.col("canonical_url").alias("_key")).where("_key IS NOT NULL").distinct()
+    judged = judged.withColumn(f"{p}rule", matching_rule(F.col("host"), F.col("path"), rules))
+    judged = judged.withColumn("rule", F.col(f"{p}rule")["rule"]).withColumn(f"{p}says", F.col(f"{p}rule")["says"]).drop(f"{p}rule")
+    names = listed.select(F.col("canonical_url").alias(f"{p}key")).where(F.col(f"{p}key").isNotNull()).distinct()
     wanted = int(names.count()) * BITS_PER_KEY // 256 + 1
     blocks = 1
     while blocks < min(wanted, max_blocks):
         blocks *= 2
     block, words = _bits(F.col("canonical_url"), blocks)
-    probe = judged.withColumn("_block", block)
-    bloom = F.broadcast(bloom_blocks(names, "_key", blocks))  # at most max_blocks rows
-    hit = F.lit(True)
+    bloom = bloom_blocks(names, f"{p}key", blocks)
+    bloom = F.broadcast(bloom.withColumnsRenamed({c: p + c for c in bloom.columns}))  # at most max_blocks rows
+    hit = F.col("canonical_url").isNotNull()
     for i, w in enumerate(words):
-        hit = hit & (F.col(f"w{i}").bitwiseAND(w) == w)
-    probe = probe.join(bloom, F.col("_block") == F.col("block"), "left").withColumn(
-        "_hit", F.coalesce(hit & F.col("canonical_url").isNotNull(), F.lit(False))
-    )
-    probe = probe.drop("_block", "block", "w0", "w1", "w2", "w3")
-    sure = probe.where(~F.col("_hit")).withColumn("listed", F.lit(False))
-    maybe = probe.where("_hit").join(names, F.col("canonical_url") == F.col("_key"), "left")
-    maybe = maybe.withColumn("listed", F.col("_key").isNotNull()).drop("_key")
+        hit = hit & (F.col(f"{p}w{i}").bitwiseAND(w) == w)
+    probe = judged.join(bloom, block == F.col(f"{p}block"), "left").withColumn(f"{p}hit", F.coalesce(hit, F.lit(False)))
+    sure = probe.where(~F.col(f"{p}hit")).withColumn("listed", F.lit(False))
+    maybe = probe.where(F.col(f"{p}hit")).join(names, F.col("canonical_url") == F.col(f"{p}key"), "left")
+    maybe = maybe.withColumn("listed", F.col(f"{p}key").isNotNull()).drop(f"{p}key")
     out = sure.unionByName(maybe)
-    return out.withColumn("verdict", F.coalesce("_says", F.when(F.col("listed"), "block").otherwise("allow"))).select(*keep, *new)
+    verdict = F.coalesce(F.col(f"{p}says"), F.when(F.col("listed"), "block").otherwise("allow"))
+    return out.withColumn("verdict", verdict).select(*keep, *new)
