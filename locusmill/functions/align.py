@@ -8,7 +8,7 @@ from typing import NamedTuple
 import numpy as np
 
 # BLOSUM62 (Henikoff & Henikoff 1992), lower triangle, row by row.
-RESIDUES = "ARNDCQEGHILKMFPSTWYVBZX"
+RESIDUES = "ARNDCQEGHILKMFPSTWYVBZX*"
 BLOSUM62 = """
  4
 -1  5
@@ -33,6 +33,7 @@ BLOSUM62 = """
 -2 -1  3  4 -3  0  1 -1  0 -3 -4  0 -3 -3 -2  0 -1 -4 -3 -3  4
 -1  0  0  1 -3  3  4 -2  0 -3 -3  1 -1 -3 -1  0 -1 -3 -2 -2  1  4
  0 -1 -1 -1 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -2  0  0 -2 -1 -1 -1 -1 -1
+-4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4  1
 """
 
 
@@ -56,7 +57,7 @@ def protein_scheme(gap_open: int = -11, gap_extend: int = -1) -> Scheme:
         row = np.array(line.split(), np.int32)
         m[i, : i + 1] = row
         m[: i + 1, i] = row
-    codes = np.full(256, n - 1, np.int64)
+    codes = np.full(256, RESIDUES.index("X"), np.int64)
     for i, ch in enumerate(RESIDUES):
         codes[ord(ch)] = i
     return Scheme(m, codes, gap_open, gap_extend)

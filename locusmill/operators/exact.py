@@ -80,17 +80,18 @@ def exact_homologs(df: DataFrame, probes: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("probe_ord", "probe"))), lambda t: t["probe"]
         ).alias("names")
     )
-    place = F.col("record_ord") * F.lit(1 << 32) + F.col("feat_ord")
+    place = F.struct("record_ord", "feat_ord")
     merged = (
         rows.join(lists.select("seq_key"), "seq_key", "left_semi")
         .groupBy("genome", "locus", "seq_key")
         .agg(
-            F.min(place).alias("place"),
+            F.min("record_ord").alias("place_record"),
+            F.min_by("feat_ord", place).alias("place_feature"),
             F.min_by(F.struct("record_id", "product", "protein_id", "seq"), place).alias("f"),
             F.count("*").alias("copies"),
         )
     )
-    counted = running_count(merged, ["genome", "locus"], "place", "number")
+    counted = running_count(merged, ["genome", "locus"], ("place_record", "place_feature"), "number")
     total = merged.groupBy("genome", "locus").agg(F.count("*").alias("variants"))
     row = counted.join(total, ["genome", "locus"]).join(lists, "seq_key")
     shown = F.when(F.col("variants") == 1, F.col("locus")).otherwise(

@@ -48,9 +48,8 @@ def protein_table(
     order = F.struct("record_ord", "feat_ord")
     if keep_all_isoforms:
         # file position of the isoform: records in order, features in order
-        place = F.col("record_ord") * F.lit(1 << 32) + F.col("feat_ord")
         numbered = running_count(
-            rows.withColumn("_place", place), ["genome", "locus"], "_place", "_no", F.col("protein_id").isNull()
+            rows, ["genome", "locus"], ("record_ord", "feat_ord"), "_no", F.col("protein_id").isNull()
         )
         rows = numbered.withColumn(
             "locus",

@@ -226,7 +226,7 @@ def _neighbours(words: DataFrame, k: int, d: int) -> DataFrame:
     return left.join(right, "mask").where(F.col("lo") < F.col("hi")).select("lo", "hi").distinct()
 
 
-def cluster_kmers(table: DataFrame, k: int, max_distance: int = 1, max_rounds: int = 200) -> DataFrame:
+def cluster_kmers(table: DataFrame, k: int, max_distance: int = 1) -> DataFrame:
     """Greedy single-linkage clusters of k-mers in order of |l2fc|, then name.
 
     Taken one by one, a k-mer joins the oldest cluster with a member within reach, or
@@ -242,7 +242,7 @@ def cluster_kmers(table: DataFrame, k: int, max_distance: int = 1, max_rounds: i
     ).select("kmer", "rank")
     edges = cut_lineage(_neighbours(ranked, k, min(max_distance, k)))
     labels = ranked.select("rank", F.col("rank").alias("label"))
-    for _ in range(max_rounds):
+    while True:
         offered = edges.join(labels, edges.lo == labels.rank).groupBy("hi").agg(F.min("label").alias("m"))
         step = labels.join(offered, labels.rank == offered.hi, "left").select(
             "rank", F.col("label").alias("old"), F.least("label", "m").alias("near")
@@ -253,8 +253,6 @@ def cluster_kmers(table: DataFrame, k: int, max_distance: int = 1, max_rounds: i
             labels = nxt.select("rank", "label")
             break
         labels = nxt.select("rank", "label")
-    else:
-        raise RuntimeError("cluster labels did not settle")
     ids = global_row_number(labels.select("label").distinct(), ["label"], "cluster_id")
     return (
         ranked.join(labels, "rank").join(ids, "label").select("kmer", "rank", "cluster_id")

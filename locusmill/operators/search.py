@@ -8,13 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from ..plans.ordered import global_row_number
+from ..plans.ordered import global_row_number, running_count
 
 #: Residues or bases a remote search takes at most.
 MAX_QUERY_LENGTH = {"blastp": 100_000, "blastn": 1_000_000, "blastx": 1_000_000}
 NUCLEOTIDE_QUERY = {"blastp": False, "blastn": True, "blastx": True}
 SEPARATOR = "::"
-SAMPLE = 20
 
 
 def namespaced(fasta: DataFrame, labels: DataFrame) -> DataFrame:
@@ -24,9 +23,8 @@ def namespaced(fasta: DataFrame, labels: DataFrame) -> DataFrame:
     source keeps its ids.
     """
     many = labels.agg(F.count("*") > 1).scalar()
-    # files are few next to records, and a stem is shared by few of them
-    twins = labels.alias("x").join(labels.alias("y"), "stem").where(F.col("y.file_ord") <= F.col("x.file_ord"))
-    ranks = twins.groupBy("stem", F.col("x.file").alias("file"), F.col("x.file_ord").alias("file_ord")).agg(F.count("*").alias("n"))
+    # public downloads name all files alike: count along the files, do not pair them
+    ranks = running_count(labels.select("stem", "file", "file_ord"), ["stem"], "file_ord", "n")
     label = F.when(F.col("n") == 1, F.col("stem")).otherwise(F.concat_ws("_", "stem", F.col("n").cast("string")))
     named = fasta.join(ranks.select("file", "file_ord", label.alias("label")), "file")
     extra = F.trim(F.substring(F.col("description"), F.length("id") + 1, F.length("description")))
@@ -48,8 +46,12 @@ def collisions(named: DataFrame) -> DataFrame:
 
 
 def numbered(fasta: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Records numbered from 1 in the given order."""
-    return global_row_number(fasta, list(order), "seq_num")
+    """Records numbered from 1 in the given order, whose columns tell records apart.
+
+    Only these columns are sorted; sequences stay where they are until the numbers join them.
+    """
+    keys = list(order)
+    return fasta.join(global_row_number(fasta.select(*keys), keys, "seq_num"), keys)
 
 
 def listing(records: DataFrame) -> DataFrame:
@@ -103,12 +105,13 @@ def batches(records: DataFrame, size: int, program: str = "blastp", order: str =
     """
     if size < 1:
         raise ValueError("batch size must be at least 1")
-    placed = with_batch(records, size, order)
+    narrow = records.select(order, "id", F.length("seq").cast("long").alias("_length"))
+    placed = with_batch(narrow, size, order)
     per = placed.groupBy("batch").agg(
         F.count("*").alias("n"),
         F.min_by("id", "_pos").alias("first"),
         F.max_by("id", "_pos").alias("last"),
-        F.sum(F.length("seq").cast("long")).alias("total_length"),
+        F.sum("_length").alias("total_length"),
     )
     label = F.when(F.col("n") == 1, F.col("first")).otherwise(
         F.concat(F.col("first"), F.lit(".."), F.col("last"), F.lit(" ("), F.col("n").cast("string"), F.lit(" seqs)"))
@@ -119,13 +122,14 @@ def batches(records: DataFrame, size: int, program: str = "blastp", order: str =
 
 
 def with_batch(records: DataFrame, size: int, order: str = "seq_num") -> DataFrame:
-    placed = global_row_number(records, [order], "_pos")
+    """Records with their place ``_pos`` in a unique ``order``, which may have gaps, and ``batch``."""
+    placed = records.join(global_row_number(records.select(order), [order], "_pos"), order)
     return placed.withColumn("batch", F.floor((F.col("_pos") - 1) / size).cast("long"))
 
 
-def type_vote(records: DataFrame, program: str) -> DataFrame:
-    """Do the first twenty records look like what the program expects?"""
-    sample = records.where(F.col("seq_num") <= SAMPLE)
+def type_vote(records: DataFrame, program: str, sample: int = 20) -> DataFrame:
+    """Do the first ``sample`` records look like what the program expects?"""
+    sample = records.where(F.col("seq_num") <= sample)
     nuc = F.avg(S.looks_like_nucleotide("seq").cast("double")) > 0.5
     return sample.agg(F.coalesce(nuc, F.lit(False)).alias("nucleotide")).select(
         "nucleotide", (F.col("nucleotide") == NUCLEOTIDE_QUERY[program]).alias("as_expected")

@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread_scan
-
 ALPHABET = "abcdefghijklmnopqrstuvwxyz"
 TO_DNA = "ACGTACGTACGTACGTNCGTACGNAN"
 TO_PROTEIN = "ANCDEFGHILKLMNKPQRSTSVWAYQ"
@@ -39,7 +37,7 @@ def protein(c: str) -> Column:
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = dna("text")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    return spread_scan(docs, "doc_id").select(
+    return docs.select(
         F.col("source").alias("genome"),
         F.col("doc_id").alias("record_ord"),
         F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("record_id"),
@@ -53,7 +51,7 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proteins of all genomes, one CDS per document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
-    return spread_scan(docs, "doc_id").select(
+    return docs.select(
         F.col("source").alias("genome"),
         F.col("doc_id").alias("record_ord"),
         F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("record_id"),
@@ -102,7 +100,6 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_quantity", "l_linestatus", "l_returnflag",
     )
-    li = spread_scan(li, "l_orderkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     ok, pk, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
@@ -147,12 +144,12 @@ def genes(spark: SparkSession, sf_dir: str, with_translation: bool = False) -> D
     part = table(spark, sf_dir, "part")
     n_docs = docs.agg(F.count("*")).scalar()
     n_part = part.agg(F.count("*")).scalar()
-    orders = spread_scan(table(spark, sf_dir, "orders"), "o_orderkey").select(
+    orders = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
         (F.col("o_custkey") % n_docs).alias("g_doc"),
         ((F.col("o_orderkey") * 17 + F.col("o_custkey")) % n_part).alias("g_part"),
     )
-    rec = spread_scan(docs.select("doc_id", "source", "text"), "doc_id").select(
+    rec = docs.select("doc_id", "source", "text").select(
         "doc_id", "source",
         F.length(_letters("text")).alias("len"),
         *([protein("text").alias("prot")] if with_translation else []),

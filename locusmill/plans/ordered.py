@@ -19,18 +19,20 @@ from ..session import cut_lineage
 def running_count(
     df: DataFrame,
     keys: Sequence[str],
-    order: str,
+    order: str | tuple[str, str],
     out: str,
     counted: Column | None = None,
     block: int = 1 << 17,
 ) -> DataFrame:
-    """Running count of ``counted`` rows per key in the order of a unique integer.
+    """Running count of ``counted`` rows per key in the order of a unique integer, or of a
+    record's number and the place in it.
 
-    The integer numbers rows of the file, so a block of it holds at most ``block`` rows.
+    The last integer numbers rows, so a block of it holds at most ``block`` rows.
     """
     flag = F.when(F.lit(True) if counted is None else counted, 1).otherwise(0)
+    major, order = (F.lit(0), order) if isinstance(order, str) else (F.col(order[0]), order[1])
     blocked = df.withColumn("_flag", flag).withColumn(
-        "_block", F.floor(F.col(order) / block).cast("long")
+        "_block", F.struct(major.cast("long").alias("major"), F.floor(F.col(order) / block).cast("long").alias("minor"))
     )
     inside = W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     local = blocked.withColumn("_local", F.sum("_flag").over(inside))

@@ -80,13 +80,3 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     # a hash of the keys, so that an exchange below on the same keys is not taken for this one
     return df.repartition(slots(df.sparkSession), F.xxhash64(*keys))
-
-
-def spread_scan(df: DataFrame, key: str) -> DataFrame:
-    """Spread a file scan that has fewer splits than the cluster has slots.
-
-    A large table has splits enough and is left alone.
-    """
-    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
-        return spread(df, key)
-    return df

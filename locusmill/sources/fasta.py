@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ def read_fasta(
     spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None, strict: bool = False
 ) -> DataFrame:
     """(file, rec_ord, id, description, seq); records keep their order in ``rec_ord``.
+    ``file`` is the path below the input folder.
 
     ``strict`` makes an empty header or text before the first header an error; finding
     the first piece of every file takes one more look at the files.
@@ -38,7 +41,7 @@ def read_fasta(
         )
         ident = F.coalesce(bad.cast("string"), ident)
     return rows.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
+        F.col("rel").alias("file"),
         F.col("record_ord").alias("rec_ord"),
         ident.alias("id"), header.alias("description"), seq.alias("seq"),
     )
@@ -86,6 +89,19 @@ def discover(spark: SparkSession, path: str, glob: str = REFERENCE_GLOB, recursi
     return files.select("path", "length", file_kind().alias("kind")).orderBy("path")
 
 
+def resolve(spark: SparkSession, paths: Sequence[str], glob: str = SEARCH_GLOB, recursive: bool = False) -> DataFrame:
+    """(arg_ord, path, length, kind) of the input files of several files and folders: in the
+    order of the arguments, then by path; a file named twice counts where it comes first."""
+    found = None
+    for i, path in enumerate(dict.fromkeys(paths)):
+        part = discover(spark, path, glob, recursive).withColumn("arg_ord", F.lit(i))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        raise ValueError("no input path")
+    once = found.groupBy("path").agg(F.min("arg_ord").alias("arg_ord"), F.first("length").alias("length"), F.first("kind").alias("kind"))
+    return once.select("arg_ord", "path", "length", "kind").orderBy("arg_ord", "path")
+
+
 def proteins_as_features(fasta: DataFrame) -> DataFrame:
     """Protein FASTA records shaped like CDS features, upper-cased."""
     extra = F.trim(F.replace(F.col("description"), F.col("id"), F.lit("")))

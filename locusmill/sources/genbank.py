@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,7 @@ _FEATURE = T.StructType([f for f in FEATURES.fields if f.name not in ("genome",
 RECORDS = T.StructType(
     [
         T.StructField("path", T.StringType()),
+        T.StructField("rel", T.StringType()),
         T.StructField("record_ord", T.LongType()),
         T.StructField("record_id", T.StringType()),
         T.StructField("organism", T.StringType()),
@@ -29,6 +30,7 @@ RECORDS = T.StructType(
         T.StructField("length", T.IntegerType()),
         T.StructField("seq", T.StringType()),
         T.StructField("features", T.ArrayType(_FEATURE)),
+        T.StructField("feature_errors", T.ArrayType(T.StringType())),
         T.StructField("error", T.StringType()),
     ]
 )
@@ -100,7 +102,8 @@ def _closed(parts: list[str]) -> bool:
     return tail % 2 == 1
 
 
-def _feature_table(lines: list[str]) -> list[dict]:
+def _feature_table(lines: list[str]) -> tuple[list[dict], list[str]]:
+    """The features, and what is wrong with those that cannot be placed on the record."""
     blocks: list[tuple[str, list[str]]] = []
     for line in lines:
         key = line[:21].strip()
@@ -108,10 +111,14 @@ def _feature_table(lines: list[str]) -> list[dict]:
             blocks.append((key, [line[21:].strip()]))
         elif blocks and line.strip():
             blocks[-1][1].append(line[21:].strip() if line[:21].strip() == "" else line.strip())
-    out = []
+    out, bad = [], []
     for n, (key, rows) in enumerate(blocks):
         cut = next((i for i, r in enumerate(rows) if r.startswith("/")), len(rows))
-        parts = parse_location("".join(rows[:cut]))
+        try:
+            parts = parse_location("".join(rows[:cut]))
+        except ValueError as e:
+            bad.append(f"feature {n} ({key}): {e}")
+            continue
         strands = {p[2] for p in parts}
         out.append(
             {
@@ -124,7 +131,7 @@ def _feature_table(lines: list[str]) -> list[dict]:
                 "qualifiers": _qualifiers(rows[cut:]),
             }
         )
-    return out
+    return out, bad
 
 
 def parse_record(text: str) -> dict:
@@ -149,6 +156,7 @@ def parse_record(text: str) -> dict:
         if m:
             organism = m[1].strip()
     seq = re.sub(r"[^A-Za-z]", "", "".join(sections.get("ORIGIN", [])[1:])).upper()
+    table, bad = _feature_table(sections.get("FEATURES", [])[1:])
     stated = next((int(a) for a, b in zip(locus, locus[1:]) if b in ("bp", "aa") and a.isdigit()), 0)
     return {
         "record_id": record_id,
@@ -156,7 +164,8 @@ def parse_record(text: str) -> dict:
         "topology": "circular" if "circular" in locus[2:] else "linear",
         "length": len(seq) or stated,
         "seq": seq,
-        "features": _feature_table(sections.get("FEATURES", [])[1:]),
+        "features": table,
+        "feature_errors": bad,
     }
 
 
@@ -165,7 +174,7 @@ def _parse(batches):
         rows = []
         for t in pdf.itertuples(index=False):
             row = dict.fromkeys(RECORDS.fieldNames())
-            row.update(path=t.path, record_ord=t.record_ord)
+            row.update(path=t.path, rel=t.rel, record_ord=t.record_ord)
             try:
                 row.update(parse_record(t.value))
             except (ValueError, IndexError) as e:
@@ -174,6 +183,17 @@ def _parse(batches):
         yield pd.DataFrame(rows, columns=RECORDS.fieldNames(), dtype=object)
 
 
+def below(spark: SparkSession, root: str, path: Column) -> Column:
+    """A file's path below the input folder; for an input file or pattern, its name."""
+    jvm = spark.sparkContext._jvm
+    whole = jvm.org.apache.hadoop.fs.Path(root)
+    whole = whole.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(whole)
+    scheme = "^[A-Za-z][A-Za-z0-9+.-]*:/*"
+    top = re.sub(scheme, "", whole.toUri().toString()).rstrip("/") + "/"
+    plain = F.regexp_replace(path, scheme, "")
+    return F.when(plain.startswith(top), F.substring(plain, len(top) + 1, 1 << 30)).otherwise(F.element_at(F.split(path, "/"), -1))
+
+
 def _chunks(spark: SparkSession, path: str, sep: str, recursive: bool, glob: str | None) -> DataFrame:
     """Text between separators with a number that rises along each file.
 
@@ -186,6 +206,7 @@ def _chunks(spark: SparkSession, path: str, sep: str, recursive: bool, glob: str
     at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return reader.text(path).select(
         F.col("_metadata.file_path").alias("path"),
+        below(spark, path, F.col("_metadata.file_path")).alias("rel"),
         (F.col("_metadata.file_block_start") + at).alias("record_ord"),
         "value",
     )
@@ -200,17 +221,19 @@ def read_records(spark: SparkSession, path: str, recursive: bool = False, glob:
 
 
 def _genome(by: str):
+    """rel: path below the input folder, so files of one name in several folders stay apart;
+    name and stem: of the file alone, for folders in which these are unique."""
     name = F.element_at(F.split("path", "/"), -1)
-    return {"name": name, "stem": F.regexp_replace(name, r"\.[^.]*$", "")}[by]
+    return {"rel": F.col("rel"), "name": name, "stem": F.regexp_replace(name, r"\.[^.]*$", "")}[by]
 
 
-def contigs(records: DataFrame, genome: str = "name") -> DataFrame:
+def contigs(records: DataFrame, genome: str = "rel") -> DataFrame:
     return records.where("error is null").select(
         _genome(genome).alias("genome"), "record_ord", "record_id", "organism", "topology", "length", "seq"
     )
 
 
-def features(records: DataFrame, genome: str = "name") -> DataFrame:
+def features(records: DataFrame, genome: str = "rel") -> DataFrame:
     """Flattened features in file order."""
     rows = records.where("error is null").select(
         _genome(genome).alias("genome"), "record_ord", "record_id", F.inline("features")
@@ -218,8 +241,10 @@ def features(records: DataFrame, genome: str = "name") -> DataFrame:
     return flatten(rows)
 
 
-def errors(records: DataFrame, genome: str = "name") -> DataFrame:
-    return records.where("error is not null").select(_genome(genome).alias("genome"), "record_ord", "error")
+def errors(records: DataFrame, genome: str = "rel") -> DataFrame:
+    """Records that cannot be read, and features that have no place on their record."""
+    each = F.when(F.col("error").isNotNull(), F.array("error")).otherwise(F.col("feature_errors"))
+    return records.select(_genome(genome).alias("genome"), "record_ord", F.explode(each).alias("error"))
 
 
 def ingest(spark: SparkSession, path: str, out: str, **kw) -> tuple[DataFrame, DataFrame]:
@@ -228,7 +253,7 @@ def ingest(spark: SparkSession, path: str, out: str, **kw) -> tuple[DataFrame, D
     Features are laid out by genome and place, so that row-group statistics prune
     record and coordinate filters; they never read sequences.
     """
-    genome = kw.pop("genome", "name")
+    genome = kw.pop("genome", "rel")
     read_records(spark, path, **kw).write.mode("overwrite").parquet(f"{out}/records")
     records = spark.read.parquet(f"{out}/records")
     contigs(records, genome).write.mode("overwrite").parquet(f"{out}/contigs")

@@ -5,13 +5,13 @@ The checkpoint of the stream takes the place of a progress file.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.exact import presence_matrix
-from ..sources.tables import BLAST_COLUMNS
+from ..sources.genbank import below
 
 RECORD_SEPARATOR = "\n>"
 
@@ -21,7 +21,7 @@ def landing_fasta(spark: SparkSession, path: str, glob: str = "*.{faa,mpfa}") ->
     raw = (
         spark.readStream.option("lineSep", RECORD_SEPARATOR).option("pathGlobFilter", glob)
         .format("text").load(path)
-        .select(F.col("_metadata.file_name").alias("genome"), F.regexp_replace("value", "^>", "").alias("body"))
+        .select(below(spark, path, F.col("_metadata.file_path")).alias("genome"), F.regexp_replace("value", "^>", "").alias("body"))
         .where(F.trim("body") != "")
     )
     header = F.trim(F.regexp_extract("body", r"^([^\r\n]*)", 1))
@@ -53,38 +53,3 @@ def presence_stream(
         .trigger(availableNow=True)
         .start()
     )
-
-
-SearchBatch = Callable[[list[tuple[str, str]]], "list[tuple] | None"]
-
-
-def run_search(records: DataFrame, search: SearchBatch, out: str, progress: str, batch_size: int = 10) -> None:
-    """Send batches of (id, seq) to ``search`` one after another and append what it returns.
-
-    Pacing towards an outside service needs a single caller, so batches stream through
-    the driver one at a time. A batch whose search gives None is left for the next
-    run; the ids of the others go to ``progress`` (one per line) after their hits.
-    """
-    from ..operators.search import with_batch
-
-    spark = records.sparkSession
-    rows = with_batch(records.select("seq_num", "id", "seq"), batch_size).orderBy("batch", "seq_num")
-
-    def flush(batch):
-        hits = search([(r["id"], r["seq"]) for r in batch])
-        if hits is None:
-            return
-        if hits:
-            df = spark.createDataFrame(hits, ", ".join(f"{c} string" for c in BLAST_COLUMNS))
-            df.write.mode("append").csv(out, sep="\t")
-        done = spark.createDataFrame([(r["id"],) for r in batch], "value string")
-        done.write.mode("append").text(progress)
-
-    held: list = []
-    for row in rows.toLocalIterator():
-        if held and held[0]["batch"] != row["batch"]:
-            flush(held)
-            held = []
-        held.append(row)
-    if held:
-        flush(held)

@@ -51,7 +51,7 @@ def test_against_full_table(scheme, letters):
 
 def test_matrix_is_symmetric():
     m = L.protein_scheme().matrix
-    assert (m == m.T).all() and m.shape == (23, 23)
+    assert (m == m.T).all() and m.shape == (24, 24) and m[-1, -1] == 1 and set(m[-1, :-1]) == {-4}
     assert np.diag(m)[:20].min() == 4
 
 

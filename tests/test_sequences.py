@@ -383,3 +383,10 @@ def test_noise_floor_draws_like_a_list_sample(spark):
             null.append(float(np.maximum(f, b).max()))
     null.sort()
     assert em.noise_floor(df, pwm, bg, -99.0, random.Random(5), 70) == pytest.approx(null[int(180 * 0.95)])
+
+
+def test_motifs_of_records_with_gaps_in_their_numbers(spark):
+    rows = [(3 * i + 7, f"s{i}", "ACGTTGACATATAATGCC"[i % 5 :] + "GATTACA" * 3) for i in range(70)]
+    df = spark.createDataFrame(rows, "ord long, id string, seq string")
+    got = em.discover_motifs(df, width=6, n_seeds=3, n_refine=2, n_iter=3, quick_iter=2)
+    assert sorted(r["ord"] for r in got[0]["instances"].collect()) == [r[0] for r in rows]

@@ -201,23 +201,38 @@ def test_batches(spark):
     assert se.batches(rows, 200).first()["too_long"] and se.batches(rows.limit(1), 5).first()["n"] == 1
 
 
-def test_search_run_resumes(spark, tmp_path):
+def test_progress_resumes(spark, tmp_path):
     rows = spark.createDataFrame([(i + 1, f"s{i}", "MKT") for i in range(5)], "seq_num long, id string, seq string")
-    calls = []
-
-    def search(batch):
-        calls.append([i for i, _ in batch])
-        if "s2" in calls[-1] and len(calls) == 2:
-            return None
-        return [tuple([i] + ["0"] * 13) for i, _ in batch]
-
-    out, progress = str(tmp_path / "hits"), str(tmp_path / "progress")
-    inc.run_search(rows, search, out, progress, 2)
-    assert calls == [["s0", "s1"], ["s2", "s3"], ["s4"]]
-    left = se.remaining(rows, tables.read_progress(spark, progress))
-    inc.run_search(left, search, out, progress, 2)
-    assert calls[3:] == [["s2", "s3"]]
-    assert tables.read_search_hits(spark, out, header=False).count() == 5
+    (tmp_path / "progress").write_text("s0\ns1\n\ns4\n")
+    left = se.remaining(rows, tables.read_progress(spark, str(tmp_path / "progress")))
+    assert sorted(r["id"] for r in left.collect()) == ["s2", "s3"]
+
+
+def test_remote_location_costs_only_its_feature(spark, tmp_path):
+    text = (
+        "LOCUS       C1 30 bp DNA linear\nFEATURES             Location/Qualifiers\n"
+        "     CDS             1..9\n                     /locus_tag=\"a\"\n"
+        "     CDS             join(J00194.1:100..202,1..45)\n                     /locus_tag=\"b\"\n"
+        "     gene            complement(4..12)\n                     /locus_tag=\"c\"\nORIGIN\n        1 acgtacgtac gtacgtacgt acgtacgtac\n//\n"
+    )
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "genomic.gbff").write_text(text)
+    records = genbank.read_records(spark, str(tmp_path), recursive=True)
+    feats = genbank.features(records).collect()
+    assert sorted((r["genome"], r["locus_tag"]) for r in feats) == [(f"{f}/genomic.gbff", t) for f in "xy" for t in "ac"]
+    assert [r["length"] for r in genbank.contigs(records).collect()] == [30, 30]
+    wrong = genbank.errors(records).collect()
+    assert len(wrong) == 2 and all("feature 1 (CDS): location on another record" in r["error"] for r in wrong)
+
+
+def test_several_inputs_keep_argument_order(spark, tmp_path):
+    for name in ("b/2.faa", "b/1.faa", "a/3.faa"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(">x\nMK\n")
+    got = fasta.resolve(spark, [str(tmp_path / "b" / "2.faa"), str(tmp_path / "b"), str(tmp_path / "a"), str(tmp_path / "b")])
+    assert [(r["arg_ord"], r["path"].split("/")[-1]) for r in got.collect()] == [(0, "2.faa"), (1, "1.faa"), (2, "3.faa")]
+    assert {r["file"] for r in fasta.read_fasta(spark, str(tmp_path), recursive=True).collect()} == {"a/3.faa", "b/1.faa", "b/2.faa"}
 
 
 def test_presence_stream(spark, tmp_path):
