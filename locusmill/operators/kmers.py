@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import itertools
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,24 +97,12 @@ def top_by_change(table: DataFrame, n: int = 20) -> DataFrame:
 # Permutation test ---------------------------------------------------------------
 
 
-def _codes(chars: np.ndarray, k: int) -> np.ndarray:
-    """Base-4 code of each valid window on its canonical strand."""
-    n = len(chars) - k + 1
-    if n < 1:
-        return np.empty(0, np.int64)
-    win = np.lib.stride_tricks.sliding_window_view(chars, k)
-    win = win[(win >= 0).all(axis=1)]
-    power = 4 ** np.arange(k - 1, -1, -1, dtype=np.int64)
-    # A<C<G<T numerically as alphabetically, so the smaller code is the canonical word
-    return np.minimum(win @ power, (3 - win[:, ::-1]) @ power)
-
-
-def _entropy_mask(codes: np.ndarray, k: int, min_entropy: float) -> np.ndarray:
-    digits = (codes[:, None] // 4 ** np.arange(k, dtype=np.int64)) % 4
-    p = np.stack([(digits == b).sum(axis=1) for b in range(4)], axis=1) / k
-    with np.errstate(divide="ignore", invalid="ignore"):
-        h = -np.where(p > 0, p * np.log2(p), 0.0).sum(axis=1)
-    return h >= min_entropy
+def _shuffled(seq: Column, key: Column) -> Column:
+    """The letters of ``seq`` in the order of the digests of ``key`` and their places."""
+    places = F.transform(
+        F.sequence(F.lit(1), F.length(seq)), lambda i: F.struct(F.md5(F.concat_ws("|", key, i.cast("string"))).alias("d"), i.alias("i"))
+    )
+    return F.array_join(F.transform(F.array_sort(places), lambda x: F.substring(seq, x.i, F.lit(1))), "")
 
 
 def permutation_pvalues(
@@ -124,77 +110,38 @@ def permutation_pvalues(
 ) -> DataFrame:
     """Two-sided permutation p-value of every k-mer of each (target, regulator) pair.
 
-    ``pairs`` has pair_id, target_seq, regulator_seq. Both sequences are shuffled again
-    and again in place by one seeded generator, so a pair gives the same p-values on
-    any cluster. Pairs are independent rows; only their own two sequences are held.
-    p is the share of valid permutations at least as extreme, without a plus-one.
+    ``pairs`` has a unique pair_id, target_seq and regulator_seq. Permutation number n of a
+    sequence puts its letters in the order of md5(pair|side|n|seed|place), so it hangs on
+    nothing but the pair, and every permutation is a row of its own. p is the share of
+    valid permutations (both sides have a window left) at least as extreme as what is
+    seen, without a plus-one; log ratios are compared to nine places. Pairs without a
+    window on one side give nothing; without a valid permutation p is 1.
     """
     _check(k, min_entropy)
-    code = np.full(256, -1, np.int64)
-    for i, b in enumerate(b"ACGT"):
-        code[b] = i
-
-    def encode(s: str) -> list[int]:
-        return code[np.frombuffer(s.upper().encode("latin-1", "replace"), np.uint8)].tolist()
-
-    def count(chars):
-        c = _codes(np.asarray(chars, np.int64), k)
-        if min_entropy > 0 and len(c):
-            c = c[_entropy_mask(c, k, min_entropy)]
-        return c
-
-    def ratio(tc, rc, tw, rw):
-        return np.log2(((tc + 0.5) / (tw + 1)) / ((rc + 0.5) / (rw + 1)))
-
-    def tally(words, c):
-        if not len(c):
-            return np.zeros(len(words))
-        u, n = np.unique(c, return_counts=True)
-        at = np.minimum(np.searchsorted(u, words), len(u) - 1)
-        return np.where(u[at] == words, n[at], 0)
-
-    def one(pair_id, t_seq, r_seq):
-        import random
-
-        rng = random.Random(seed)
-        t, r = encode(t_seq), encode(r_seq)
-        t0, r0 = count(t), count(r)
-        if not len(t0) or not len(r0):
-            return None
-        words = np.unique(np.concatenate([t0, r0]))
-        observed = ratio(tally(words, t0), tally(words, r0), len(t0), len(r0))
-        exceed, valid = np.zeros(len(words), np.int64), 0
-        for _ in range(n_permutations):
-            rng.shuffle(t)
-            rng.shuffle(r)
-            tc, rc = count(t), count(r)
-            if not len(tc) or not len(rc):
-                continue
-            valid += 1
-            null = ratio(tally(words, tc), tally(words, rc), len(tc), len(rc))
-            exceed += np.abs(null) >= np.abs(observed)
-        p = exceed / valid if valid else np.ones(len(words))
-        letters = np.array(list("ACGT"))[(words[:, None] // 4 ** np.arange(k - 1, -1, -1)) % 4]
-        return pd.DataFrame(
-            {
-                "pair_id": pair_id,
-                "kmer": ["".join(x) for x in letters],
-                "l2fc": observed,
-                "p_value": p,
-            }
-        )
-
-    def run(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                out = one(row.pair_id, row.target_seq, row.regulator_seq)
-                if out is not None:
-                    yield out
-
-    rows = pairs.select(
-        F.col("pair_id").cast("string").alias("pair_id"), "target_seq", "regulator_seq"
+    sides = pairs.select(
+        F.col("pair_id").cast("string").alias("pair_id"),
+        F.inline(F.array(*[F.struct(F.lit(m).alias("side"), F.upper(c).alias("seq")) for m, c in (("t", "target_seq"), ("r", "regulator_seq"))])),
     )
-    return spread(rows, "pair_id").mapInPandas(run, "pair_id string, kmer string, l2fc double, p_value double")
+    # permutation 0 is the sequence itself; heavy work per row, so spread the rows
+    each = spread(sides.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_permutations))).alias("perm")), "pair_id", "side", "perm")
+    key = F.concat_ws("|", "pair_id", "side", F.col("perm").cast("string"), F.lit(str(seed)))
+    shown = F.when(F.col("perm") == 0, F.col("seq")).otherwise(_shuffled(F.col("seq"), key))
+    words = each.select("pair_id", "perm", "side", F.explode(S.windows(shown, k)).alias("word"))
+    raw = words.groupBy("pair_id", "perm", "side", "word").agg(F.count("*").alias("n")).where(_valid(F.col("word"), min_entropy))
+    count = lambda m: F.coalesce(F.sum(F.when(F.col("side") == m, F.col("n"))), F.lit(0))
+    cells = raw.groupBy("pair_id", "perm", S.canonical_kmer("word").alias("kmer")).agg(count("t").alias("t"), count("r").alias("r"))
+    totals = cells.groupBy("pair_id", "perm").agg(F.sum("t").alias("tw"), F.sum("r").alias("rw")).where("tw > 0 AND rw > 0")
+
+    def ratio(t, r):
+        return F.log2(((t + F.lit(0.5)) / (F.col("tw") + 1)) / ((r + F.lit(0.5)) / (F.col("rw") + 1)))
+
+    seen = cells.where("perm = 0").join(totals.where("perm = 0"), ["pair_id", "perm"]).select("pair_id", "kmer", ratio(F.col("t"), F.col("r")).alias("l2fc"))
+    # the words of a pair in each of its permutations, found or not
+    null = seen.join(totals.where("perm > 0"), "pair_id").join(cells.where("perm > 0"), ["pair_id", "perm", "kmer"], "left")
+    value = ratio(F.coalesce("t", F.lit(0)), F.coalesce("r", F.lit(0)))
+    extreme = F.round(F.abs(value), 9) >= F.round(F.abs("l2fc"), 9)
+    share = null.groupBy("pair_id", "kmer").agg((F.count_if(extreme) / F.count("*")).alias("p"))
+    return seen.join(share, ["pair_id", "kmer"], "left").select("pair_id", "kmer", "l2fc", F.coalesce("p", F.lit(1.0)).alias("p_value"))
 
 
 # Clustering ---------------------------------------------------------------------

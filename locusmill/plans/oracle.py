@@ -135,6 +135,10 @@ def _kw_union(words, text, cols, where="type = 'CDS'", src="features"):
 KEYWORDS = ["widget", "Ring-Brand", "resistance", "absent term"]
 
 
+#: Permutations of the registered test; the operator's default is 1,000.
+PERMUTATIONS = 40
+
+
 def annotation_sql() -> dict[str, str]:
     out = {}
     out["conserved_products"] = sql(
@@ -678,6 +682,37 @@ def kmer_sql() -> dict[str, str]:
     return out
 
 
+def permutation_sql() -> dict[str, str]:
+    src = "(SELECT * FROM genes WHERE type = 'CDS' AND strand IS NOT NULL)"
+    ratio = "log2((({0} + 0.5::DOUBLE) / (tw + 1)) / (({1} + 0.5::DOUBLE) / (rw + 1)))"
+    extra = _up(src, 150) + f""",
+  sides AS (
+    SELECT record_id AS pair_id, 't' AS side, arg_min(upstream, feat_ord) AS s FROM ups WHERE actual >= 20 GROUP BY 1
+    UNION ALL SELECT record_id, 'r', arg_max(upstream, feat_ord) FROM ups WHERE actual >= 20 GROUP BY 1),
+  letters AS (
+    SELECT pair_id, side, s, perm, unnest(range(1, length(s) + 1)) AS i
+    FROM sides, (SELECT unnest(range(1, {PERMUTATIONS} + 1)) AS perm)),
+  shown AS (
+    SELECT pair_id, side, 0 AS perm, s FROM sides
+    UNION ALL
+    SELECT pair_id, side, perm, string_agg(substr(s, i, 1), '' ORDER BY md5(concat_ws('|', pair_id, side, perm, 7, i)), i)
+    FROM letters GROUP BY 1, 2, 3),
+  words AS (SELECT pair_id, side, perm, upper(substr(s, i, 3)) AS w FROM (SELECT *, unnest(range(1, length(s) - 1)) AS i FROM shown)),
+  cells AS (
+    SELECT pair_id, perm, least(w, {REVCOMP.format('w')}) AS kmer, count(*) FILTER (side = 't') AS t, count(*) FILTER (side = 'r') AS r
+    FROM words WHERE regexp_full_match(w, '[ACGT]+') GROUP BY 1, 2, 3),
+  totals AS (SELECT pair_id, perm, sum(t) AS tw, sum(r) AS rw FROM cells GROUP BY 1, 2 HAVING sum(t) > 0 AND sum(r) > 0),
+  seen AS (SELECT c.pair_id, kmer, {ratio.format('t', 'r')} AS l2fc FROM cells c JOIN totals o ON c.pair_id = o.pair_id AND c.perm = o.perm WHERE c.perm = 0),
+  null_ AS (
+    SELECT s.pair_id, s.kmer, s.l2fc, {ratio.format('coalesce(t, 0)', 'coalesce(r, 0)')} AS v
+    FROM seen s JOIN totals o ON s.pair_id = o.pair_id AND o.perm > 0
+    LEFT JOIN cells c ON c.pair_id = s.pair_id AND c.perm = o.perm AND c.kmer = s.kmer),
+  share AS (SELECT pair_id, kmer, avg(CASE WHEN round(abs(v), 9) >= round(abs(l2fc), 9) THEN 1.0::DOUBLE ELSE 0 END) AS p FROM null_ GROUP BY 1, 2)"""
+    body = """SELECT s.pair_id, s.kmer, round(l2fc, 6) AS l2fc, round(coalesce(p, 1.0), 6) AS p_value
+              FROM seen s LEFT JOIN share h ON s.pair_id = h.pair_id AND s.kmer = h.kmer"""
+    return {"perm_pvalues": sql("contigs genes", body, extra)}
+
+
 def protein_sql() -> dict[str, str]:
     out = {}
     letters = "ACDEFGHIKLMNPQRSTVWY"
@@ -924,6 +959,6 @@ def loci_sql() -> dict[str, str]:
 
 def all_sql() -> dict[str, str]:
     return {
-        **annotation_sql(), **interval_sql(), **upstream_sql(), **motif_sql(), **kmer_sql(),
+        **annotation_sql(), **interval_sql(), **upstream_sql(), **motif_sql(), **kmer_sql(), **permutation_sql(),
         **protein_sql(), **region_sql(), **search_sql(), **graph_sql(), **loci_sql(),
     }

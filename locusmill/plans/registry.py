@@ -26,7 +26,7 @@ from ..operators import upstream as up
 from ..session import tune
 from ..sources import tables as tb
 from . import bioviews as V
-from .oracle import KEYWORDS
+from .oracle import KEYWORDS, PERMUTATIONS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -384,7 +384,7 @@ def _(spark, sf):
         F.min_by("upstream", "feat_ord").alias("target_seq"),
         F.max_by("upstream", "feat_ord").alias("regulator_seq"),
     )
-    return km.permutation_pvalues(pairs, k=3, n_permutations=100, seed=7)
+    return km.permutation_pvalues(pairs, k=3, n_permutations=PERMUTATIONS, seed=7)
 
 
 # Scalars and profiles -----------------------------------------------------------

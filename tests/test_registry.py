@@ -11,7 +11,7 @@ from locusmill.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 #: Queries of many passes; their operators have tests of their own.
-LONG = {"homologs", "homolog_summary", "rbh", "perm_pvalues"}
+LONG = {"homologs", "homolog_summary", "rbh"}
 
 
 @pytest.fixture(scope="module")
