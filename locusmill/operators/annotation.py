@@ -117,7 +117,7 @@ def coordinate_search(
 
 
 def isoforms(df: DataFrame, locus_tag: str | None = None) -> DataFrame:
-    """Features that share a locus tag, with the span of the whole locus.
+    """Features that share a locus tag, by start, with the span of the whole locus.
 
     Without ``locus_tag`` every locus with at least two features is reported; only
     the per-locus summary is shuffled then, and its key count shrinks map-side.
@@ -142,7 +142,7 @@ def isoforms(df: DataFrame, locus_tag: str | None = None) -> DataFrame:
         (F.col("end") - F.col("start0")).alias("length_bp"),
         A.strand_symbol().alias("strand"),
         "isoforms", "envelope_start", "envelope_end",
-    )
+    ).orderBy("genome", "record_id", "locus_tag", "start", "end")
 
 
 def collapse_isoforms(df: DataFrame) -> DataFrame:

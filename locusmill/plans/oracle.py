@@ -867,6 +867,11 @@ def search_sql() -> dict[str, str]:
         "probes",
         "SELECT * FROM (SELECT row_number() OVER (ORDER BY record_ord) AS seq_num, locus_tag AS id FROM probes) WHERE seq_num BETWEEN 6 AND 32",
     )
+    out["picked_ids"] = sql(
+        "probes",
+        """SELECT pick_ord, seq_num, id FROM (SELECT row_number() OVER (ORDER BY record_ord) AS seq_num, locus_tag AS id FROM probes)
+           JOIN (VALUES (0::BIGINT, 'Q31'), (1, 'Q5'), (2, 'Q7')) v(pick_ord, id) USING (id)""",
+    )
     out["resume_antijoin"] = sql(
         "proteins",
         "SELECT locus_tag AS id, length(translation) AS length FROM proteins WHERE record_ord NOT IN (SELECT doc_id FROM labels)",
@@ -957,8 +962,30 @@ def loci_sql() -> dict[str, str]:
     return {"promoters_by_loci": sql("contigs genes", f"SELECT {_REGION} FROM ups", modes + _up("src", 100))}
 
 
+def record_sql() -> dict[str, str]:
+    ident = _IDENT
+    return {
+        "record_meta": sql("contigs", "SELECT genome, record_id, length, topology FROM contigs"),
+        "missing_loci": sql(
+            "genes",
+            f"""SELECT DISTINCT {ident} AS locus FROM genes WHERE contains(product, 'gear') AND {ident} NOT IN
+                (SELECT {ident} FROM genes WHERE type = 'CDS' AND strand IS NOT NULL)""",
+        ),
+        "genome_labels": sql(
+            "contigs",
+            """SELECT genome, record_id, CASE WHEN strain IS NOT NULL AND NOT contains(org, strain) THEN org || ' ' || strain ELSE org END AS label
+               FROM (SELECT genome, record_id,
+                       CASE WHEN record_ord % 3 <> 0 THEN 'Genus ' || organism WHEN record_ord % 2 = 0 THEN NULL ELSE organism END AS org0,
+                       coalesce(org0, genome) AS org,
+                       CASE WHEN org0 IS NULL THEN NULL WHEN record_ord % 4 = 0 THEN 'S' || (record_ord % 10)
+                            WHEN record_ord % 5 = 0 THEN genome END AS strain
+                     FROM contigs)""",
+        ),
+    }
+
+
 def all_sql() -> dict[str, str]:
     return {
         **annotation_sql(), **interval_sql(), **upstream_sql(), **motif_sql(), **kmer_sql(), **permutation_sql(),
-        **protein_sql(), **region_sql(), **search_sql(), **graph_sql(), **loci_sql(),
+        **protein_sql(), **region_sql(), **search_sql(), **graph_sql(), **loci_sql(), **record_sql(),
     }

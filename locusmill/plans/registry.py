@@ -273,6 +273,32 @@ def _(spark, sf):
     return up.regions_by_loci(g, V.contigs(spark, sf), loci, 100, mode="auto")
 
 
+@query("missing_loci")
+def _(spark, sf):
+    g = V.genes(spark, sf)
+    asked = g.where(F.contains(F.col("product"), F.lit("gear"))).select(A.identifier(g).alias("locus"))
+    found = g.where((F.col("type") == "CDS") & F.col("strand").isNotNull()).select(A.identifier(g).alias("locus"))
+    return up.missing_loci(asked, found)
+
+
+@query("genome_labels")
+def _(spark, sf):
+    """Every record has a source feature; some of them lack an organism or a strain."""
+    c, n = V.contigs(spark, sf), F.col("record_ord")
+    source = c.select(
+        "genome", "record_ord", "record_id", F.lit(0).alias("feat_ord"), F.lit("source").alias("type"),
+        F.when(n % 3 != 0, F.concat(F.lit("Genus "), F.col("organism"))).when(n % 2 == 0, ".").alias("organism"),
+        F.when(n % 4 == 0, F.concat(F.lit("S"), (n % 10).cast("string"))).alias("strain"),
+        F.when(n % 5 == 0, F.col("genome")).alias("isolate"),
+    )
+    return up.genome_labels(source, c).select("genome", "record_id", "label")
+
+
+@query("record_meta")
+def _(spark, sf):
+    return ann.record_meta(V.contigs(spark, sf))
+
+
 # Motifs -------------------------------------------------------------------------
 
 MOTIF = "TKSACR"
@@ -627,6 +653,14 @@ def _(spark, sf):
     return se.select_range(se.numbered(p, ["rec_ord"]), "Q5", "Q31").select("seq_num", "id")
 
 
+@query("picked_ids")
+def _(spark, sf):
+    p = V.probes(spark, sf).select(
+        F.col("record_ord").alias("rec_ord"), F.col("locus_tag").alias("id"), F.col("translation").alias("seq")
+    )
+    return se.select_ids(se.numbered(p, ["rec_ord"]), ["Q31", "Q5", "Q31", "Q7"]).select("pick_ord", "seq_num", "id")
+
+
 @query("resume_antijoin")
 def _(spark, sf):
     done = V.table(spark, sf, "labels").select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("id"))
