@@ -109,7 +109,8 @@ def _suffixes(docs: DataFrame, length: int, k: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """doc_id, t, start, hash, n: the windows of the suffixes asked for, hashed in full.
+    """doc_id, t, start, hashes, n: the windows of the suffixes asked for, hashed in full;
+    ``start`` is the first one's place, each is a word behind the one before.
 
     ``asked``: doc_id, t, pos, before, after, n. A document meets its suffixes in one row."""
     wanted = asked.groupBy("doc_id", "t").agg(F.collect_list(F.struct("pos", "before", "after", "n")).alias("at"))
@@ -128,15 +129,16 @@ def _windows(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
                     # windows start from pos - before to pos + after - length
                     n = after + before - length + 1
                     start = np.repeat(pos - before - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    out.append((np.full(len(start), lo + i), start, _range_hashes(hashes, start, start + length), np.repeat(members, n)))
-                row, start, h, members = (np.concatenate(c) for c in zip(*out, strict=True))
+                    out.append((np.full(len(pos), lo + i), pos - before, n, members, _range_hashes(hashes, start, start + length)))
+                row, start, n, members, h = (np.concatenate(c) for c in zip(*out, strict=True))
                 row = pa.array(row)
+                hashes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(h.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(start.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(members)],
-                    ["doc_id", "t", "start", "hash", "n"],
+                    [batch.column(0).take(row), batch.column(1).take(row), pa.array(start.astype(np.int32)), hashes, pa.array(members)],
+                    ["doc_id", "t", "start", "hashes", "n"],
                 )
 
-    return met.mapInArrow(run, f"doc_id {_id_type(docs)}, t long, start int, hash long, n long")
+    return met.mapInArrow(run, f"doc_id {_id_type(docs)}, t long, start int, hashes array<long>, n long")
 
 
 _CLASS = ["gram", "around", "before", "after"]
@@ -191,7 +193,10 @@ def _spans(docs: DataFrame, length: int, k: int) -> DataFrame:
     )
     # the first member stands for its class among the classes that may share windows
     asked = classes.where("shared").select("first.*", "before", "after", "n")
-    windows = settled(_windows(keyed, asked, length))
+    # one row a suffix while stored, one a window while compared
+    packed = settled(_windows(keyed, asked, length))
+    windows = packed.select("doc_id", "t", F.col("start").alias("_s"), "n", F.posexplode("hashes").alias("_i", "hash"))
+    windows = windows.select("doc_id", "t", (F.col("_s") + F.col("_i")).alias("start"), "hash", "n")
     place = F.struct("doc_id", "t", "start")
     equal = settled(windows.groupBy("hash").agg(F.min(place).alias("first"), F.sum("n").alias("all")).where("all > 1").select("hash", "first"))
     found = windows.join(equal, "hash").select("doc_id", "t", "start", (F.col("start") + length).alias("end"), place.eqNullSafe(F.col("first")).alias("original"))
