@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import unused
-from .scan import mix, offsets, slices, texts
+from .scan import SLICE_BYTES, mix, offsets, slices, texts
 
 U64 = np.uint64
 DIMENSIONS = 512
 #: What stands for every run of other characters, and for the edges of a text.
 GAP = 0x20
+#: Bytes of text at once: a byte becomes several 64-bit numbers here.
+SLICE = SLICE_BYTES // 4
 UNKNOWN = "und"
 
 
@@ -109,7 +111,7 @@ def trigram_counts(docs: DataFrame, label: str) -> DataFrame:
             column = texts(batch, "_text")
             names = batch.column(0).dictionary_encode()
             labels = np.asarray(names.indices)
-            for lo, hi in slices(column):
+            for lo, hi in slices(column, SLICE):
                 text, tri, _ = _trigrams(column.slice(lo, hi - lo))
                 distinct, where = _distinct(tri)
                 group = labels[lo:hi][text]
@@ -163,7 +165,7 @@ def language_id(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = texts(batch)
-            for lo, hi in slices(column):
+            for lo, hi in slices(column, SLICE):
                 part = batch.slice(lo, hi - lo)
                 best, score = _judge(column.slice(lo, hi - lo), matrix, dims, block)
                 pred = pa.array([names[i] if i >= 0 else UNKNOWN for i in best], pa.string())
