@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 One scan of the corpus keeps the passages around n-grams that the benchmark has too,
-found with a bit table of fixed size. The n-grams' document counts in the whole corpus
-decide which are seeds: of every ``SPACING`` neighbouring n-grams of an item the rarest.
-So any run of N + SPACING - 1 unchanged words of an item holds a seed, however common its
-words are. Seeds join passages to items, and each pair is aligned word by word.
+found with a bit table of fixed size. Every n-gram of an item that the corpus has is a
+seed, however common: an edited copy may have no other left. So any run of N unchanged
+words of an item meets its passage. Seeds join passages to items; pairs whose shared
+words alone show that they cannot reach the threshold are left out, which loses none, and
+the others are aligned word by word.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import settled
@@ -23,7 +23,8 @@ from .scan import LOOSE, Words, gram_hashes, inside_text, slices, texts
 
 U64 = np.uint64
 N = 4
-SPACING = 3
+#: One seed in so many neighbouring n-grams of an item: all of them.
+SPACING = 1
 #: Bits of the table that the scan looks n-grams up in (two bits each).
 TABLE_BITS = 22
 MATCH, MISS, GAP = 2, -1, 1
@@ -121,16 +122,21 @@ def passages(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id
     return src.mapInArrow(run, schema)
 
 
-def seeds(items: DataFrame, counts: DataFrame, spacing: int = SPACING) -> DataFrame:
-    """(item_id, g): of every ``spacing`` neighbouring n-grams of an item the rarest in the
-    corpus; of equally rare ones the first. ``counts``: g, n."""
-    each = items.select("item_id", "words", F.posexplode("grams").alias("j", "g")).join(counts, "g", "left")
-    each = each.withColumn("rank", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "j", "g"))
-    one = W.partitionBy("item_id", "words").orderBy("j")  # the n-grams of one item
-    best = F.min("rank").over(one.rowsBetween(0, spacing - 1))
-    left = F.row_number().over(W.partitionBy("item_id", "words").orderBy(F.desc("j")))
-    whole = (left >= spacing) | (F.col("j") == 0)  # windows that end with the item
-    return each.select("item_id", "words", best.alias("b"), whole.alias("whole")).where("whole").select("item_id", "words", F.col("b.g").alias("g")).distinct()
+def seeds(items: DataFrame, counts: DataFrame) -> DataFrame:
+    """(item_id, words, g): the n-grams of each item that the corpus has. ``counts``: g."""
+    each = items.select("item_id", "words", F.explode(F.array_distinct("grams")).alias("g")).distinct()
+    return each.join(counts.select("g").distinct(), "g", "left_semi")
+
+
+def ceiling(item: np.ndarray, passage: np.ndarray) -> int:
+    """What no local score exceeds: a word of the aligned stretch that the other side has
+    nowhere costs one at least, and any other brings a match at most."""
+    out = []
+    for one, other in ((item, passage), (passage, item)):
+        total = np.cumsum(np.where(np.isin(one, other), MATCH, -min(GAP, -MISS)))
+        lowest = np.minimum.accumulate(np.concatenate([[0], total[:-1]]))
+        out.append(int(np.max(total - lowest, initial=0)))
+    return min(out)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -148,20 +154,28 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def _scored(pairs: DataFrame) -> DataFrame:
+def _scored(pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that reach ``threshold``, with their score and place."""
     kind = pairs.schema["item_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for item, passage in zip(batch.column(2), batch.column(3), strict=True):
+            keep, out = [], []
+            for i, (item, passage) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = (np.frombuffer(v.as_py(), U64) for v in (item, passage))
+                full = MATCH * len(x)
+                if ceiling(x, y) / full < threshold:
+                    continue
                 score, end = align(x, y)
+                if score / full < threshold:
+                    continue
                 back = align(x[::-1], y[:end][::-1])[1] if score else 0
-                out.append((score / (MATCH * len(x)), end - back, back))
+                keep.append(i)
+                out.append((score / full, end - back, back))
             if out:
                 s, a, n = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array(a, pa.int64()), pa.array(n, pa.int64())], ["pid", "item_id", "score", "at", "n_words"])
+                took = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took), pa.array(s, pa.float64()), pa.array(a, pa.int64()), pa.array(n, pa.int64())], ["pid", "item_id", "score", "at", "n_words"])
 
     return pairs.select("pid", "item_id", "words", "passage").mapInArrow(run, f"pid long, item_id {kind}, score double, at long, n_words long")
 
@@ -177,11 +191,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """
     items = settled(item_grams(benchmark.select("item_id", "text")))
     found = settled(passages(docs.select("doc_id", "text"), items))
-    uniq = found.groupBy("passage").agg(F.first("grams").alias("grams"), F.count("*").alias("n"))
-    uniq = settled(uniq.withColumn("pid", F.monotonically_increasing_id()))
-    counts = uniq.select("n", F.explode(F.array_distinct("grams")).alias("g")).groupBy("g").agg(F.sum("n").alias("n"))
-    pairs = uniq.select("pid", F.explode(F.array_distinct("grams")).alias("g")).join(seeds(items, counts), "g").select("pid", "item_id", "words").distinct()
-    good = settled(_scored(pairs.join(uniq.select("pid", "passage"), "pid")).where(F.col("score") >= threshold))
+    uniq = settled(found.groupBy("passage").agg(F.first("grams").alias("grams")).withColumn("pid", F.monotonically_increasing_id()))
+    grams = uniq.select("pid", F.explode(F.array_distinct("grams")).alias("g"))
+    pairs = grams.join(seeds(items, grams), "g").select("pid", "item_id", "words").distinct()
+    good = settled(_scored(pairs.join(uniq.select("pid", "passage"), "pid"), threshold))
     where = uniq.select("pid", "passage").join(good, "pid").drop("pid")
     each = found.select("doc_id", "start", "passage").join(where, "passage")
     best = F.max_by(F.struct((F.col("start") + F.col("at")).alias("start"), "n_words"), F.struct("score", (-F.col("start") - F.col("at")).alias("o")))

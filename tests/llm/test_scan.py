@@ -168,6 +168,15 @@ def test_alignment_scores():
     assert D.align(np.array([1, 2, 3], np.uint64), np.array([9, 1, 2, 3, 9], np.uint64)) == (6, 4)
 
 
+def test_no_alignment_scores_above_its_ceiling():
+    rng = np.random.default_rng(4)
+    for size in (3, 8, 30):
+        for _ in range(60):
+            a, b = (rng.integers(0, size, n).astype(np.uint64) for n in rng.integers(1, 25, 2))
+            assert D.align(a, b)[0] <= D.ceiling(a, b)
+    assert D.ceiling(np.arange(4, dtype=np.uint64), np.arange(9, 12, dtype=np.uint64)) == 0
+
+
 def test_trigrams():
     text, tri, has = L._trigrams(pa.array(["Ab, c", None, "", "12", "É"]))
     assert has.tolist() == [True, False, False, False, True]

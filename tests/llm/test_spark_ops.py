@@ -249,6 +249,19 @@ def test_frequent_ngrams_still_leave_seeds(spark):
     assert all(any(a <= s < a + D.SPACING for s in at) for a in range(len(grams) - D.SPACING + 1))
 
 
+def test_copies_with_many_edits(spark):
+    """Every 5th or 6th word replaced, alone and beside an exact copy."""
+    items = {n: [f"m{n}w{i}" for i in range(48)] for n in (5, 6)}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    edited = {n: " ".join(f"edit{i}" if i % n == n - 1 else x for i, x in enumerate(w)) for n, w in items.items()}
+    alone = [f"one two {edited[n]} three" for n in (5, 6)]
+    beside = [*alone, *(f"four {' '.join(w)} five" for w in items.values())]
+    for texts in (alone, beside):
+        got = {(r.doc_id, r.item_id): r.score for r in D.contaminated(docs_of(spark, texts), bench).collect()}
+        assert set(got) == {(i, (5, 6)[i % 2]) for i in range(len(texts))}
+        assert 0.7 < got[0, 5] < 0.75 <= got[1, 6] < 0.8
+
+
 # 6 -------------------------------------------------------------------------------
 
 
