@@ -4,9 +4,10 @@ The model is trained on trusted texts only. Its counts, continuation counts, con
 totals and probabilities are tables sharded by the hash of their n-gram and joined on it:
 an n-gram of order o meets its context and the n-gram of order o - 1 that it ends in.
 Working on bytes fixes the vocabulary (256), so unseen words need no rule of their own.
-The finished model has at most ``max_entries`` n-grams an order and is broadcast; tasks
-look n-grams up by binary search. Documents are kept up to a quantile of the perplexities
-of trusted documents of their language that the model was not trained on.
+No n-gram is left out. Texts are scored by joins too: of each block of documents the
+different n-grams meet the model order by order, and their probabilities come back to the
+block. Documents are kept up to a quantile of the perplexities of trusted documents of
+their language that the model was not trained on.
 
 N-grams are packed in a long, eight bits a byte, the last byte lowest. Bytes before a
 text's start are 0.
@@ -28,9 +29,6 @@ from .common import settled
 from .scan import offsets, slices, texts
 
 ORDER = 5
-#: Bound of each order's table; if more n-grams are seen, the rarest are left out of the
-#: counts, all up to the smallest count that makes the rest fit.
-MAX_ENTRIES = 4_000_000
 QUANTILE = 0.99
 #: One trusted document in so many is kept from training, for the thresholds.
 HOLD_OUT = 5
@@ -120,30 +118,42 @@ def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == key
 
 
-def train(docs: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> Model:
-    """A model of the texts. Null and empty texts teach nothing; without any, every byte
-    has the probability 1 / 256."""
-    counts = {order: settled(_fitting(settled(ngram_counts(docs, order)), max_entries))}
+def tables(docs: DataFrame, order: int = ORDER, max_entries: int | None = None) -> list[tuple[DataFrame, DataFrame]]:
+    """By order from 1: the probabilities (g, p) of the n-grams and the weights (h, w) that
+    contexts give the order below. Null and empty texts teach nothing."""
+    counts = {order: settled(ngram_counts(docs, order))}
+    if max_entries is not None:
+        counts[order] = settled(_fitting(counts[order], max_entries))
     for o in range(order - 1, 0, -1):
         # continuation counts: how many different bytes stand before
-        counts[o] = settled(counts[o + 1].groupBy(F.col("g").bitwiseAND((1 << (8 * o)) - 1).alias("g")).agg(F.count("*").alias("c")))
-    below = None
-    model = Model([], [], [], [], -math.log(SYMBOLS))
+        counts[o] = settled(counts[o + 1].groupBy(_ending("g", o).alias("g")).agg(F.count("*").alias("c")))
+    out: list[tuple[DataFrame, DataFrame]] = []
     for o in range(1, order + 1):
         each = {r.k: r.n for r in counts[o].where("c <= 4").groupBy(F.col("c").alias("k")).agg(F.count("*").alias("n")).collect()}
         d = discounts([each.get(k, 0) for k in (1, 2, 3, 4)])
         off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        rows = counts[o].select("g", "c", off.alias("d"), F.shiftright("g", 8).alias("h"), F.col("g").bitwiseAND((1 << (8 * (o - 1))) - 1).alias("s"))
+        rows = counts[o].select("g", "c", off.alias("d"), F.shiftright("g", 8).alias("h"), _ending("g", o - 1).alias("s"))
         context = rows.groupBy("h").agg(F.sum("c").alias("t"), F.sum("d").alias("m")).withColumn("w", F.col("m") / F.col("t"))
         joined = rows.join(context, "h")
-        if below is None:
+        if not out:
             p = (F.col("c") - F.col("d")) / F.col("t") + F.col("w") / SYMBOLS
         else:
-            joined = joined.join(below.select(F.col("g").alias("s"), F.col("p").alias("q")), "s")
+            joined = joined.join(out[-1][0].select(F.col("g").alias("s"), F.col("p").alias("q")), "s")
             p = (F.col("c") - F.col("d")) / F.col("t") + F.col("w") * F.col("q")
-        below = settled(joined.select("g", p.alias("p")))
-        for table, keys, values, sql in ((below, model.grams, model.logp, "g AS k, ln(p) AS v"), (context, model.contexts, model.weight, "h AS k, ln(w) AS v")):
-            # at most max_entries rows
+        out.append((settled(joined.select("g", p.alias("p"))), context.select("h", "w")))
+    return out
+
+
+def _ending(g: str, order: int):
+    return F.col(g).bitwiseAND((1 << (8 * order)) - 1)
+
+
+def train(docs: DataFrame, order: int = ORDER, max_entries: int | None = None) -> Model:
+    """A model of the texts, on the driver; for small texts, or with the rarest n-grams left
+    out down to ``max_entries``. Without any text every byte has the probability 1 / 256."""
+    model = Model([], [], [], [], -math.log(SYMBOLS))
+    for grams, contexts in tables(docs, order, max_entries):
+        for table, keys, values, sql in ((grams, model.grams, model.logp, "g AS k, ln(p) AS v"), (contexts, model.contexts, model.weight, "h AS k, ln(w) AS v")):
             got = table.selectExpr(*sql.split(", ")).toArrow()
             k, v = np.asarray(got["k"]), np.asarray(got["v"])
             by = np.argsort(k)
@@ -152,31 +162,80 @@ def train(docs: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -
     return model
 
 
-def perplexities(docs: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
-    """The ``keep`` columns, ``n_bytes`` and ``bits`` (mean bits a byte; null without any)."""
+def probabilities(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(g, q): the probability of the last byte of each of the distinct n-grams ``grams`` (g).
+
+    From the lowest order up; an n-gram of order o shares its ending, or its context, with
+    255 others at most, so no key of a join is hot.
+    """
+    wanted = {len(model): grams.select("g")}
+    for o in range(len(model) - 1, 0, -1):
+        wanted[o] = wanted[o + 1].select(_ending("g", o).alias("g")).distinct()
+    below = None
+    for o, (seen, contexts) in enumerate(model, 1):
+        rows = wanted[o].join(seen, "g", "left").withColumn("h", F.shiftright("g", 8)).join(contexts, "h", "left")
+        low = F.lit(1 / SYMBOLS)
+        if below is not None:
+            rows = rows.withColumn("s", _ending("g", o - 1)).join(below.select(F.col("g").alias("s"), F.col("q").alias("low")), "s")
+            low = F.col("low")
+        below = settled(rows.select("g", F.coalesce(F.col("p"), F.coalesce("w", F.lit(1.0)) * low).alias("q")))
+    return below
+
+
+def _blocks(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """(block, rows): some megabytes of documents each, as a compressed Arrow stream."""
     src = docs.select(*keep, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.select(*keep).schema) + ", n_bytes long, bits double"
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        order = max(1, len(own.grams))
         for batch in batches:
-            column = texts(batch, "_text")
-            for lo, hi in slices(column):
-                g, offs = codes(column.slice(lo, hi - lo), order)
-                # each different n-gram is looked up once
-                distinct, where = np.unique(g, return_inverse=True)
-                logp = np.concatenate([[0], np.cumsum(own.score(distinct)[where])])
+            for lo, hi in slices(texts(batch, "_text")):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(batch.slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["rows"])
+
+    return settled(src.mapInArrow(run, "rows binary").withColumn("block", F.monotonically_increasing_id()))
+
+
+def _documents(rows: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(rows.as_buffer()).read_next_batch()
+
+
+def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], keep: tuple[str, ...]) -> DataFrame:
+    """The ``keep`` columns, ``n_bytes`` and ``bits`` (mean bits a byte; null without any)."""
+    order = len(model)
+    blocks = _blocks(docs, keep)
+
+    def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                g = np.unique(codes(texts(_documents(rows), "_text"), order)[0])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block)), pa.array(g)], ["block", "g"])
+
+    need = blocks.select("block", "rows").mapInArrow(grams_of, "block long, g long")
+    found = probabilities(need.select("g").distinct(), model)
+    back = need.join(found, "g").groupBy("block").agg(F.collect_list("g").alias("g"), F.collect_list("q").alias("q"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", n_bytes long, bits double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                part = _documents(batch.column(0)[i])
+                g, offs = codes(texts(part, "_text"), order)
                 n = np.diff(offs)
+                logp = np.zeros(len(g) + 1)
+                if len(g):
+                    # no text in the block: no n-grams came back
+                    known, q = (np.asarray(batch.column(c)[i].values) for c in (1, 2))
+                    by = np.argsort(known)
+                    logp[1:] = np.cumsum(np.log(q[by])[np.searchsorted(known[by], g)])
                 bits = -np.diff(logp[offs]) / np.where(n > 0, n, 1) / math.log(2)
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], pa.array(n), pa.array(bits, mask=n == 0)], [*keep, "n_bytes", "bits"])
+                yield pa.RecordBatch.from_arrays([*[part.column(j) for j in range(len(keep))], pa.array(n), pa.array(bits, mask=n == 0)], [*keep, "n_bytes", "bits"])
 
-    return src.mapInArrow(run, schema)
+    return blocks.join(back, "block", "left").select("rows", "g", "q").mapInArrow(run, schema)
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER) -> DataFrame:
     """One row per document: doc_id, lang, n_bytes, perplexity (a byte), threshold, kept.
 
     ``docs``: doc_id, text, lang; ``labels``: doc_id, quality. Trusted are documents all of
@@ -190,7 +249,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUA
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(HOLD_OUT)) == 0
     # the same join at every size: labels grow with the documents
     learn = docs.where(~fold).select("doc_id", "text").join(trusted.where(~fold).select("doc_id").hint("merge"), "doc_id", "left_semi")
-    scored = settled(perplexities(docs, train(learn, order, max_entries), ("doc_id", "lang")))
+    scored = settled(perplexities(docs, tables(learn, order), ("doc_id", "lang")))
     held = scored.where(fold & F.col("bits").isNotNull()).join(trusted.where(fold).select("doc_id"), "doc_id", "left_semi")
     steps = held.select(F.explode(F.array(F.struct("lang", F.lit(False).alias("any")), F.struct(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("any")))).alias("s"), F.ceil(F.col("bits") * 1000).alias("bin"))
     counts = steps.groupBy("s.lang", "s.any", "bin").agg(F.count("*").alias("n"))

@@ -405,6 +405,29 @@ def test_kneser_ney_bound_drops_the_rarest(spark):
     assert model.score(np.array([ord("a") << 8 | ord("b")]))[0] > model.score(np.array([ord("e") << 8 | ord("f")]))[0]
 
 
+def test_scores_by_joins_equal_brute_force(spark, none):
+    texts = [t for t in TEXTS if t]
+    p = kneser_ney(texts[:30], 3)
+    rows = K.perplexities(docs_of(spark, [*texts, "", None]), K.tables(docs_of(spark, texts[:30]), 3), ("doc_id", "lang")).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(got) == len(texts) + 2 and got[len(texts)].bits is None and got[len(texts) + 1].n_bytes == 0
+    for i, t in enumerate(texts):
+        b = bytes(2) + t.encode()
+        assert got[i].bits == pytest.approx(-sum(math.log2(p(b[j : j + 3])) for j in range(len(b) - 2)) / (len(b) - 2), abs=1e-9)
+
+
+def test_no_ngram_is_left_out(spark):
+    """Over four million different 5-grams, most of them seen once."""
+    rng = np.random.default_rng(5)
+    docs = docs_of(spark, [rng.integers(33, 127, 60_000).astype(np.uint8).tobytes().decode() for _ in range(96)]).repartition(8)
+    labels = spark.range(96).selectExpr("id AS doc_id", "1 AS quality")
+    learned = F.pmod(F.xxhash64("doc_id"), F.lit(K.HOLD_OUT)) != 0
+    got = K.quality_classifier(docs, labels).groupBy(learned.alias("learned")).agg(F.max("perplexity").alias("p"), F.sum("n_bytes").alias("n")).collect()
+    got = {r.learned: r for r in got}
+    assert got[True].n > 4_200_000
+    assert got[True].p < 20 < 80 < got[False].p
+
+
 def test_quality_classifier(spark, odd, none):
     good = random_texts(80, seed=1, words=["the", "cat", "sat", "on", "mat"])
     bad = random_texts(20, seed=2, words=["#$%", "zq&&x", "@@", "99*7"])
