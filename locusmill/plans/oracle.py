@@ -135,8 +135,8 @@ def _kw_union(words, text, cols, where="type = 'CDS'", src="features"):
 KEYWORDS = ["widget", "Ring-Brand", "resistance", "absent term"]
 
 
-#: Permutations of the registered test; the operator's default is 1,000.
-PERMUTATIONS = 40
+#: Permutations of the registered test, as many as the operator's default.
+PERMUTATIONS = 1000
 
 
 def annotation_sql() -> dict[str, str]:

@@ -1,6 +1,7 @@
 """K-mers, homologs, redundancy and EM against straightforward computations."""
 
 import hashlib
+import inspect
 import itertools
 import math
 import random
@@ -17,6 +18,7 @@ from locusmill.operators import homologs as ho
 from locusmill.operators import kmers as km
 from locusmill.operators import promoters as pm
 from locusmill.operators import redundancy as rd
+from locusmill.plans.oracle import PERMUTATIONS
 
 COMP = str.maketrans("ACGT", "TGCA")
 
@@ -102,6 +104,10 @@ def test_permutations_replay(spark):
     assert all(got[w]["l2fc"] == pytest.approx(obs[w]) for w in words)
 
 
+def test_registered_permutations_are_the_default():
+    assert PERMUTATIONS == inspect.signature(km.permutation_pvalues).parameters["n_permutations"].default
+
+
 # Homologs -----------------------------------------------------------------------
 
 
