@@ -194,6 +194,17 @@ def test_known_languages_keep_columns(odd, none):
     assert L.known_languages(none).columns == none.columns
 
 
+def test_untaught_scripts_and_letters_are_turned_down(spark):
+    words = {"en": "the cat and a dog sat on my mat", "de": "der Hund und die Katze liegen hier", "fr": "le chat est dans une maison", "es": "los perros comen mucho pan"}
+    short = [(" ".join(w.split()[i : i + 3]), lang) for lang, w in words.items() for i in range(5)]
+    greek = random_texts(60, seed=1, words=["καλημέρα", "κόσμε", "θάλασσα", "ουρανός", "βιβλίο", "δρόμος"])
+    junk = random_texts(60, seed=2, words=["zqxj", "xzkqv", "wqzzj", "qjxxv", "vkqwz"])
+    bad = [t for t in greek + junk if any(c.isalpha() for c in t)]
+    docs = docs_of(spark, [t for t, _ in short] * 2 + bad, langs=[x for _, x in short] + [None] * (len(short) + len(bad)))
+    kept = {r.doc_id: r.lang for r in L.known_languages(docs).collect()}
+    assert kept == {i: short[i % len(short)][1] for i in range(2 * len(short))}
+
+
 # 4 -------------------------------------------------------------------------------
 
 
