@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, kneser_ney, language_id, quality_rules, sentence_pieces, simhash, suffix_dedup, token_counts, url_filter
+from . import chat_format, decontaminate, kneser_ney, language_id, merkle, quality_rules, sentence_pieces, simhash, suffix_dedup, token_counts, url_filter
 from .common import table
 
 
@@ -64,6 +64,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering: n_chars is one more where 7 divides the crc32 of the doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    changed = merkle.leaf(*[F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, changed)
+    found = merkle.manifest(docs, fields, carry={"tampered": tampered})
+    now = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    found = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), now.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -75,7 +87,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op13_manifest": op13_manifest,
 }
+#: crc32 in SQL: the table of a byte, and the sum over a list of bytes.
+_CRC_TABLE = """crc AS MATERIALIZED (
+          SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab
+          FROM range(256) r(i))"""
+
+
+def _crc(data: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _field(c: str) -> str:
+    return f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')"
+
+
 SQL: dict[str, str] = {
     "op4_chat_format": r"""
         WITH turns AS (
@@ -118,4 +145,41 @@ SQL: dict[str, str] = {
           coalesce(b.says, CASE WHEN bad.canonical_url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
           c.canonical_url, bad.canonical_url IS NOT NULL AS listed
         FROM canon c LEFT JOIN best b ON c.host = b.host AND c.path = b.path LEFT JOIN bad ON c.canonical_url = bad.canonical_url""",
+    "op13_manifest": rf"""
+        WITH RECURSIVE {_CRC_TABLE},
+        docs AS (
+          SELECT *, coalesce('=' || lang, '') AS g,
+            sha256({_field('doc_id')} || {_field('source')} || {_field('lang')} || {_field('n_chars')} || {_field('text')}) AS leaf,
+            sha256({_field('doc_id')} || {_field('source')} || {_field('lang')} || {_field('(n_chars + 1)')} || {_field('text')}) AS changed,
+            {_crc("list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)")} AS h
+          FROM documents, crc),
+        leaves AS (
+          SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM docs),
+        nodes AS (
+          SELECT g, i, n, 0 AS lvl, leaf AS h FROM leaves
+          UNION ALL
+          SELECT g, i // 2, any_value((n + 1) // 2), lvl + 1, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY g, i // 2, lvl),
+        subs AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        ups AS (
+          SELECT i, n, 0 AS lvl, subroot AS h FROM subs
+          UNION ALL
+          SELECT i // 2, any_value((n + 1) // 2), lvl + 1, sha256(string_agg(h, '' ORDER BY i)) FROM ups WHERE n > 1 GROUP BY i // 2, lvl),
+        steps AS (
+          SELECT l.g, l.i, own.lvl, (own.i % 2)::VARCHAR || coalesce(sib.h, '') AS s
+          FROM leaves l JOIN nodes own ON own.g = l.g AND own.i = l.i >> own.lvl AND own.n > 1
+          LEFT JOIN nodes sib ON sib.g = own.g AND sib.lvl = own.lvl AND sib.i = xor(own.i, 1)),
+        up_steps AS (
+          SELECT p.g, own.lvl, (own.i % 2)::VARCHAR || coalesce(sib.h, '') AS s
+          FROM subs p JOIN ups own ON own.i = p.i >> own.lvl AND own.n > 1 LEFT JOIN ups sib ON sib.lvl = own.lvl AND sib.i = xor(own.i, 1)),
+        paths AS (SELECT g, i, list(s ORDER BY lvl) AS a FROM steps GROUP BY g, i),
+        up_paths AS (SELECT g, list(s ORDER BY lvl) AS b FROM up_steps GROUP BY g),
+        proofs AS (
+          SELECT l.doc_id, l.leaf, p.subroot, (SELECT h FROM ups WHERE n = 1) AS root, coalesce(a, []) || coalesce(b, []) AS path,
+            CASE WHEN l.h % 7 = 0 THEN changed ELSE leaf END AS now
+          FROM leaves l JOIN subs p ON l.g = p.g LEFT JOIN paths ON paths.g = l.g AND paths.i = l.i LEFT JOIN up_paths u ON u.g = l.g),
+        ends AS (
+          SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: substr(s, 2)), '')) AS proof_sha256,
+            list_reduce(list_prepend(now, path), lambda h, s: sha256(CASE WHEN s[1] = '1' THEN substr(s, 2) || h ELSE h || substr(s, 2) END)) AS folded_root
+          FROM proofs)
+        SELECT *, folded_root = root AS verified FROM ends""",
 }
