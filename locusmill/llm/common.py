@@ -9,6 +9,8 @@ from ..session import cut_lineage
 
 #: Rows of long texts in an Arrow batch: keeps a Python task's memory in tens of megabytes.
 BATCH_ROWS = "1000"
+#: The same in bytes, for very long texts.
+BATCH_BYTES = str(32 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def arrow_settings(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
 
 

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, kneser_ney, language_id, merkle, quality_rules, sentence_pieces, simhash, suffix_dedup, token_counts, url_filter
+from . import (
+    chat_format, decontaminate, hyperminhash, kneser_ney, language_id, merkle, quality_rules, sentence_pieces, simhash, spelling, suffix_dedup,
+    token_counts, url_filter,
+)
 from .common import table
 
 
@@ -64,6 +67,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"), every=31)
+    return spelling.spelling_variants(words)
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tampering: n_chars is one more where 7 divides the crc32 of the doc_id."""
     docs = table(spark, sf_dir, "documents")
@@ -87,6 +99,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op11_spelling": op11_spelling,
+    "op12_minhash": op12_minhash,
     "op13_manifest": op13_manifest,
 }
 #: crc32 in SQL: the table of a byte, and the sum over a list of bytes.
@@ -145,6 +159,48 @@ SQL: dict[str, str] = {
           coalesce(b.says, CASE WHEN bad.canonical_url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
           c.canonical_url, bad.canonical_url IS NOT NULL AS listed
         FROM canon c LEFT JOIN best b ON c.host = b.host AND c.path = b.path LEFT JOIN bad ON c.canonical_url = bad.canonical_url""",
+    "op11_spelling": rf"""
+        WITH RECURSIVE {_CRC_TABLE},
+        runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+        held AS (SELECT doc_id, w, count(*) AS c FROM runs WHERE length(w) >= 7 GROUP BY doc_id, w),
+        hashed AS (
+          SELECT w, c, {_crc("flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [(192 + (ord(x) >> 6))::BIGINT, (128 + (ord(x) & 63))::BIGINT] END))")} AS h
+          FROM held, crc),
+        typed AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM hashed),
+        words AS (SELECT word, sum(c)::BIGINT AS n FROM typed WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+        holes AS (SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+        near AS (
+          SELECT x.word, y.word AS other, y.n FROM holes x JOIN holes y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+          UNION SELECT x.word, w.word, w.n FROM holes x JOIN words w ON x.a || x.b = w.word
+          UNION SELECT w.word, x.word, x.n FROM holes x JOIN words w ON x.a || x.b = w.word),
+        best AS (
+          SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS form, max(n) AS form_n FROM near GROUP BY word),
+        judged AS (
+          SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n
+          FROM words w LEFT JOIN best USING (word)),
+        chain AS (
+          SELECT word, form AS root, 1 AS d FROM judged WHERE form IS NOT NULL
+          UNION ALL SELECT c.word, j.form, d + 1 FROM chain c JOIN judged j ON j.word = c.root WHERE j.form IS NOT NULL),
+        ends AS (SELECT word, arg_max(root, d) AS root FROM chain GROUP BY word)
+        SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM judged LEFT JOIN ends USING (word)""",
+    "op12_minhash": r"""
+        WITH RECURSIVE split AS (
+          SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
+        sets AS (
+          SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] ELSE
+            list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM split),
+        items AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS g FROM sets),
+        -- sets that share 85 hundredths of their union share one of their rarest shingles
+        freq AS (SELECT g, count(*) AS f FROM items GROUP BY g),
+        ranked AS (SELECT doc_id, n, g, row_number() OVER (PARTITION BY doc_id ORDER BY f, g) AS k FROM items JOIN freq USING (g)),
+        rare AS (SELECT * FROM ranked WHERE k <= n - (85 * n + 99) // 100 + 1),
+        near AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM rare a JOIN rare b ON a.g = b.g AND a.doc_id <> b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n),
+        met AS (SELECT x, y, len(a.s) + len(b.s) AS n_all, len(list_intersect(a.s, b.s)) AS n_both FROM near JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y),
+        links AS (SELECT x, y FROM met WHERE 100 * n_both >= 85 * (n_all - n_both)),
+        reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT x, r FROM reach JOIN links ON y = d),
+        named AS (SELECT d AS doc_id, min(r) AS component_id FROM reach GROUP BY d)
+        SELECT s.doc_id, len(s)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM sets s JOIN named USING (doc_id)""",
     "op13_manifest": rf"""
         WITH RECURSIVE {_CRC_TABLE},
         docs AS (
