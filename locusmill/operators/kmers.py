@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import permute
 from ..functions import seq as S
 from ..plans.ordered import global_row_number
 from ..session import cut_lineage, spread
@@ -97,51 +100,47 @@ def top_by_change(table: DataFrame, n: int = 20) -> DataFrame:
 # Permutation test ---------------------------------------------------------------
 
 
-def _shuffled(seq: Column, key: Column) -> Column:
-    """The letters of ``seq`` in the order of the digests of ``key`` and their places."""
-    places = F.transform(
-        F.sequence(F.lit(1), F.length(seq)), lambda i: F.struct(F.md5(F.concat_ws("|", key, i.cast("string"))).alias("d"), i.alias("i"))
-    )
-    return F.array_join(F.transform(F.array_sort(places), lambda x: F.substring(seq, x.i, F.lit(1))), "")
-
-
 def permutation_pvalues(
     pairs: DataFrame, k: int, n_permutations: int = 1000, seed: int = 0, min_entropy: float = 0.0
 ) -> DataFrame:
     """Two-sided permutation p-value of every k-mer of each (target, regulator) pair.
 
-    ``pairs`` has a unique pair_id, target_seq and regulator_seq. Permutation number n of a
-    sequence puts its letters in the order of md5(pair|side|n|seed|place), so it hangs on
-    nothing but the pair, and every permutation is a row of its own. p is the share of
-    valid permutations (both sides have a window left) at least as extreme as what is
-    seen, without a plus-one; log ratios are compared to nine places. Pairs without a
-    window on one side give nothing; without a valid permutation p is 1.
+    ``pairs`` has pair_id, target_seq and regulator_seq. All permutations of a pair are
+    made and counted in its row, as arrays of k-mer codes; they hang on the pair, the side
+    and the seed only. Pairs are spread over all slots, as the work of a row is heavy. p is
+    the share of valid permutations (both sides have a window left) at least as extreme as
+    what is seen, without a plus-one; log ratios are compared to nine places. Pairs with a
+    null sequence or without a window on one side give nothing; without a valid
+    permutation p is 1.
     """
     _check(k, min_entropy)
-    sides = pairs.select(
-        F.col("pair_id").cast("string").alias("pair_id"),
-        F.inline(F.array(*[F.struct(F.lit(m).alias("side"), F.upper(c).alias("seq")) for m, c in (("t", "target_seq"), ("r", "regulator_seq"))])),
-    )
-    # permutation 0 is the sequence itself; heavy work per row, so spread the rows
-    each = spread(sides.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_permutations))).alias("perm")), "pair_id", "side", "perm")
-    key = F.concat_ws("|", "pair_id", "side", F.col("perm").cast("string"), F.lit(str(seed)))
-    shown = F.when(F.col("perm") == 0, F.col("seq")).otherwise(_shuffled(F.col("seq"), key))
-    words = each.select("pair_id", "perm", "side", F.explode(S.windows(shown, k)).alias("word"))
-    raw = words.groupBy("pair_id", "perm", "side", "word").agg(F.count("*").alias("n")).where(_valid(F.col("word"), min_entropy))
-    count = lambda m: F.coalesce(F.sum(F.when(F.col("side") == m, F.col("n"))), F.lit(0))
-    cells = raw.groupBy("pair_id", "perm", S.canonical_kmer("word").alias("kmer")).agg(count("t").alias("t"), count("r").alias("r"))
-    totals = cells.groupBy("pair_id", "perm").agg(F.sum("t").alias("tw"), F.sum("r").alias("rw")).where("tw > 0 AND rw > 0")
-
-    def ratio(t, r):
-        return F.log2(((t + F.lit(0.5)) / (F.col("tw") + 1)) / ((r + F.lit(0.5)) / (F.col("rw") + 1)))
-
-    seen = cells.where("perm = 0").join(totals.where("perm = 0"), ["pair_id", "perm"]).select("pair_id", "kmer", ratio(F.col("t"), F.col("r")).alias("l2fc"))
-    # the words of a pair in each of its permutations, found or not
-    null = seen.join(totals.where("perm > 0"), "pair_id").join(cells.where("perm > 0"), ["pair_id", "perm", "kmer"], "left")
-    value = ratio(F.coalesce("t", F.lit(0)), F.coalesce("r", F.lit(0)))
-    extreme = F.round(F.abs(value), 9) >= F.round(F.abs("l2fc"), 9)
-    share = null.groupBy("pair_id", "kmer").agg((F.count_if(extreme) / F.count("*")).alias("p"))
-    return seen.join(share, ["pair_id", "kmer"], "left").select("pair_id", "kmer", "l2fc", F.coalesce("p", F.lit(1.0)).alias("p_value"))
+    if k > 31:
+        raise ValueError("k must be at most 31")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for pair, target, regulator in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys = tuple(permute.key_of(pair, side, seed) for side in "tr")
+                found = permute.exceedances(target, regulator, k, min_entropy, keys, n_permutations)
+                if found:
+                    words, ratio, over, valid = found
+                    share = over / valid if valid else np.ones(len(words))
+                    out.append((pair, [permute.word_of(int(w), k) for w in words], ratio, share))
+            pair, word, ratio, share = zip(*out, strict=True) if out else ((),) * 4
+            sizes = [len(w) for w in word]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([p for p, n in zip(pair, sizes, strict=True) for _ in range(n)], pa.string()),
+                    pa.array([w for ws in word for w in ws], pa.string()),
+                    *[pa.array(np.concatenate([np.zeros(0), *x]), pa.float64()) for x in (ratio, share)],
+                ],
+                ["pair_id", "kmer", "l2fc", "p_value"],
+            )
+
+    rows = pairs.select(F.col("pair_id").cast("string").alias("pair_id"), "target_seq", "regulator_seq")
+    rows = rows.where(F.col("target_seq").isNotNull() & F.col("regulator_seq").isNotNull())
+    return spread(rows, "pair_id", "target_seq").mapInArrow(run, "pair_id string, kmer string, l2fc double, p_value double")
 
 
 # Clustering ---------------------------------------------------------------------

@@ -26,7 +26,7 @@ from ..operators import upstream as up
 from ..session import tune
 from ..sources import tables as tb
 from . import bioviews as V
-from .oracle import KEYWORDS, PERMUTATIONS
+from .oracle import KEYWORDS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -406,11 +406,12 @@ def _(spark, sf):
         "genome", "record_id", "feat_ord", "contig_length", "start0", "end", "strand"
     )
     ups = up.add_upstream(g, V.contigs(spark, sf), 150).where(F.col("actual") >= 20)
-    pairs = ups.groupBy(F.col("record_id").alias("pair_id")).agg(
-        F.min_by("upstream", "feat_ord").alias("target_seq"),
-        F.max_by("upstream", "feat_ord").alias("regulator_seq"),
+    # the first window of a record is the regulator's, all others are targets
+    first = ups.groupBy("genome", "record_id").agg(F.min_by("upstream", "feat_ord").alias("regulator_seq"), F.min("feat_ord").alias("first"))
+    pairs = ups.join(first, ["genome", "record_id"]).where("feat_ord > first").select(
+        F.concat_ws("/", "record_id", F.col("feat_ord").cast("string")).alias("pair_id"), F.col("upstream").alias("target_seq"), "regulator_seq",
     )
-    return km.permutation_pvalues(pairs, k=3, n_permutations=PERMUTATIONS, seed=7)
+    return km.permutation_pvalues(pairs, k=3, seed=7)
 
 
 # Scalars and profiles -----------------------------------------------------------

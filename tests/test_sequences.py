@@ -1,7 +1,6 @@
 """K-mers, homologs, redundancy and EM against straightforward computations."""
 
 import hashlib
-import inspect
 import itertools
 import math
 import random
@@ -12,13 +11,13 @@ from conftest import contig_rows, feature_rows
 from pyspark.sql import functions as F
 
 from locusmill.functions import align as L
+from locusmill.functions import permute
 from locusmill.operators import em
 from locusmill.operators import exact as ex
 from locusmill.operators import homologs as ho
 from locusmill.operators import kmers as km
 from locusmill.operators import promoters as pm
 from locusmill.operators import redundancy as rd
-from locusmill.plans.oracle import PERMUTATIONS
 
 COMP = str.maketrans("ACGT", "TGCA")
 
@@ -90,9 +89,19 @@ def test_permutations_replay(spark):
     obs = {w: ratio(a0, b0, w) for w in words}
     hits = dict.fromkeys(words, 0)
 
+    def mixed(x):
+        x = x * 0x9E3779B97F4A7C15 % 2**64
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return ((x ^ x >> 31) >> 11) / 2**53
+
     def shuffled(side, seq, perm):
-        order = sorted(range(1, len(seq) + 1), key=lambda i: hashlib.md5(f"x|{side}|{perm}|3|{i}".encode()).hexdigest())
-        return [seq[i - 1] for i in order]
+        key = int.from_bytes(hashlib.blake2b(f"x|{side}|3".encode(), digest_size=8).digest(), "big")
+        out = list(seq)
+        for i in range(len(out) - 1, 0, -1):
+            j = int(mixed((key + perm * len(seq) + i) % 2**64) * (i + 1))
+            out[i], out[j] = out[j], out[i]
+        return out
 
     for perm in range(1, n + 1):
         a, b = count(shuffled("t", t, perm)), count(shuffled("r", r, perm))
@@ -104,8 +113,30 @@ def test_permutations_replay(spark):
     assert all(got[w]["l2fc"] == pytest.approx(obs[w]) for w in words)
 
 
-def test_registered_permutations_are_the_default():
-    assert PERMUTATIONS == inspect.signature(km.permutation_pvalues).parameters["n_permutations"].default
+def test_permutations_with_entropy_and_odd_rows(spark):
+    """Letters are kept, words below the entropy are not counted, rows without a window give nothing."""
+    p = permute.shuffles(permute.codes("ACGTNNAACC"), 5, 1, 300)
+    assert all(sorted(p[:, i]) == sorted(permute.codes("ACGTNNAACC")) for i in range(300))
+    assert len({tuple(p[:, i]) for i in range(300)}) > 250
+    # each letter is as likely in every place
+    assert np.allclose((permute.shuffles(np.arange(4, dtype=np.uint8), 9, 1, 40000) == 0).mean(axis=1), 0.25, atol=0.01)
+    rows = [("a", "AAAAAACGT", "acgtacgt"), ("b", "NNNN", "ACGT"), ("c", None, "ACGT"), ("d", "AC", "ACGT"), ("e", "AAAAAAAA", "ACGTTT"), ("f", "", "ACG")]
+    df = spark.createDataFrame(rows, "pair_id string, target_seq string, regulator_seq string")
+    got = km.permutation_pvalues(df, 3, 200, min_entropy=1.0).collect()
+    assert {r["pair_id"] for r in got} == {"a"} and all(S_entropy(r["kmer"]) >= 1.0 and 0 <= r["p_value"] <= 1 for r in got)
+    assert km.permutation_pvalues(df.limit(0), 3).count() == 0
+    # long sequences are worked through in blocks of permutations, with the same result
+    one = permute.exceedances("ACGT" * 40, "AACCGGTT" * 20, 4, 0.0, (1, 2), 50)
+    permute_block, permute.BLOCK_LETTERS = permute.BLOCK_LETTERS, 500
+    try:
+        two = permute.exceedances("ACGT" * 40, "AACCGGTT" * 20, 4, 0.0, (1, 2), 50)
+    finally:
+        permute.BLOCK_LETTERS = permute_block
+    assert all(np.array_equal(x, y) for x, y in zip(one, two, strict=True))
+
+
+def S_entropy(w):
+    return -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w))
 
 
 # Homologs -----------------------------------------------------------------------
