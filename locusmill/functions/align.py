@@ -80,139 +80,175 @@ class Alignment(NamedTuple):
 
 
 _LOW = np.int32(-(10**8))
+_NEVER = np.int32(-(10**6))  # score of a padded letter
+#: Cells of a batch that are worked on at once (a row of all its pairs).
+ROW_CELLS = 1 << 15
+# What a cell of the table says about the way back.
+_ZERO, _PAIR, _GAP_B, _OPEN_B, _OPEN_A = 1, 2, 4, 8, 16
+
+
+class LocalAlignments:
+    """Best local alignments of many pairs of like lengths, all in one table.
+
+    The table has a row for each letter of the shorter sequences and, side by side, the
+    columns of all pairs; short sequences are padded with a letter that never pays. Among
+    equal scores the alignment that ends first (in the shorter sequence, then in the other)
+    is taken, and the way back prefers a pair over a gap in the longer over a gap in the
+    shorter. Every sqrt(m)-th row is kept on the way down; the rows between are worked out
+    again on the way back, as bits, and all pairs go back in step, so memory grows with
+    n * sqrt(m) a pair.
+    """
 
-
-class _Rows:
-    """Row-by-row dynamic programming: rows over ``a``, whole rows of ``b`` at a time."""
-
-    def __init__(self, a, b, scheme: Scheme):
-        self.a, self.n = a, len(b)
-        self.profile = scheme.matrix[:, b]
-        self.open, self.ext = scheme.gap_open, scheme.gap_extend
-        steps = np.arange(self.n, dtype=np.int32) * np.int32(self.ext)
-        self.lift, self.drop = -steps, steps + np.int32(self.open - self.ext)
-
-    def start(self):
-        return np.zeros(self.n + 1, np.int32), np.full(self.n, _LOW, np.int32)
-
-    def next(self, i, h_prev, f_prev):
+    def __init__(self, a: list[np.ndarray], b: list[np.ndarray], scheme: Scheme):
+        self.swapped = np.array([len(x) > len(y) for x, y in zip(a, b, strict=True)])
+        short = [y if s else x for x, y, s in zip(a, b, self.swapped, strict=True)]
+        long = [x if s else y for x, y, s in zip(a, b, self.swapped, strict=True)]
+        size = len(scheme.matrix)
+        matrix = np.full((size + 1, size + 1), _NEVER, np.int32)
+        matrix[:size, :size] = scheme.matrix
+        self.flat, self.width = matrix.reshape(-1), size + 1
+        self.a, self.b = _padded(short, size), _padded(long, size)
+        self.m, self.n = self.a.shape[1], self.b.shape[1]
+        self.open, self.ext = np.int32(scheme.gap_open), np.int32(scheme.gap_extend)
+        steps = np.arange(self.n, dtype=np.int32) * self.ext
+        self.lift, self.drop = -steps, steps + (self.open - self.ext)
+        self.score = np.zeros(len(a), np.int32)
+        self.end = np.full((2, len(a)), -1)
+        self.step, self.kept = max(1, math.isqrt(self.m)), []
+        h, f = np.zeros((len(a), self.n + 1), np.int32), np.full((len(a), self.n), _LOW)
+        for i in range(self.m):
+            if i % self.step == 0:
+                self.kept.append((h, f))
+            h, _, f = self._next(i, h, f)
+            top = h.max(axis=1)
+            more = np.flatnonzero(top > self.score)
+            if len(more):
+                self.score[more] = top[more]
+                self.end[0, more] = i
+                self.end[1, more] = h[more].argmax(axis=1) - 1
+
+    def _pairs(self, i: int, which=slice(None)) -> np.ndarray:
+        return self.flat.take(self.a[which, i, None] * self.width + self.b[which])
+
+    def _next(self, i, h_prev, f_prev, which=slice(None)):
         """h (with a leading 0), e and f of row i.
 
         A horizontal gap never pays off right after another one, so its best origin is
         a running maximum over the row without horizontal gaps.
         """
-        f = np.maximum(h_prev[1:] + self.open, f_prev + self.ext)
-        h = np.empty(self.n + 1, np.int32)
-        h[0] = 0
-        body = h[1:]
-        np.add(h_prev[:-1], self.profile[self.a[i]], out=body)
+        f = np.maximum(h_prev[:, 1:] + self.open, f_prev + self.ext)
+        h = np.zeros_like(h_prev)
+        body = h[:, 1:]
+        np.add(h_prev[:, :-1], self._pairs(i, which), out=body)
         np.maximum(body, f, out=body)
         np.maximum(body, 0, out=body)
-        best = np.maximum.accumulate(body + self.lift)
-        e = np.full(self.n, _LOW, np.int32)
-        e[1:] = best[:-1] + self.drop[1:]
+        best = np.maximum.accumulate(body + self.lift, axis=1)
+        e = np.full_like(f, _LOW)
+        e[:, 1:] = best[:, :-1] + self.drop[1:]
         np.maximum(body, e, out=body)
         return h, e, f
 
+    def _bits(self, base: int, which: np.ndarray) -> np.ndarray:
+        """(rows, pairs, columns) of the rows from a kept one on."""
+        h, f = (x[which] for x in self.kept[base // self.step])
+        out = []
+        for i in range(base, min(base + self.step, self.m)):
+            h_prev = h
+            h, e, f = self._next(i, h_prev, f, which)
+            body = h[:, 1:]
+            bits = (body == 0) * np.uint8(_ZERO)
+            bits |= (body == h_prev[:, :-1] + self._pairs(i, which)) * np.uint8(_PAIR)
+            bits |= (body == f) * np.uint8(_GAP_B)
+            bits |= (f == h_prev[:, 1:] + self.open) * np.uint8(_OPEN_B)
+            bits |= (e == h[:, :-1] + self.open) * np.uint8(_OPEN_A)
+            out.append(bits)
+        return np.stack(out)
+
+    def trace(self, which: np.ndarray) -> list[Alignment | None]:
+        """Counts along the alignments of the pairs asked for; None where nothing scores above zero."""
+        which = np.asarray(which, np.int64)
+        i, j = self.end[0][which].copy(), self.end[1][which].copy()
+        same, other, gap_a, gap_b = np.zeros((4, len(which)), np.int64)
+        state = np.zeros(len(which), np.int8)  # 0: pair, 1: gap in b, 2: gap in a
+        live = i >= 0
+        for base in range((self.m - 1) // self.step * self.step, -1, -self.step):
+            at = np.flatnonzero(live & (i >= base))
+            if not len(at):
+                continue
+            bits, held = self._bits(base, which[at]), at
+            while len(at):
+                cell = bits[i[at] - base, np.searchsorted(held, at), j[at]]
+                now = state[at]
+                pairing = now == 0
+                stop = pairing & (cell & _ZERO > 0)
+                pair = pairing & ~stop & (cell & _PAIR > 0)
+                turn = pairing & ~stop & ~pair
+                state[at[turn]] = np.where(cell[turn] & _GAP_B, 1, 2)
+                live[at[stop]] = False
+                p = at[pair]
+                equal = self.a[which[p], i[p]] == self.b[which[p], j[p]]
+                same[p] += equal
+                other[p] += ~equal
+                i[p] -= 1
+                j[p] -= 1
+                live[p[(i[p] < 0) | (j[p] < 0)]] = False
+                for s, place, gaps, opened in ((1, i, gap_b, _OPEN_B), (2, j, gap_a, _OPEN_A)):
+                    g = at[now == s]
+                    place[g] -= 1
+                    gaps[g] += 1
+                    state[g[cell[now == s] & opened > 0]] = 0
+                at = at[live[at] & (i[at] >= base)]
+        out = []
+        for k, w in enumerate(which):
+            pairs = int(same[k] + other[k])
+            used = (pairs + int(gap_b[k]), pairs + int(gap_a[k]))
+            used = used[::-1] if self.swapped[w] else used
+            found = Alignment(int(self.score[w]), pairs + int(gap_a[k] + gap_b[k]), int(same[k]), int(other[k]), *used)
+            out.append(found if self.score[w] > 0 else None)
+        return out
+
+
+def _padded(rows: list[np.ndarray], code: int) -> np.ndarray:
+    out = np.full((len(rows), max((len(r) for r in rows), default=0)), code, np.int64)
+    for k, r in enumerate(rows):
+        out[k, : len(r)] = r
+    return out
+
+
+def batches(a: list[np.ndarray], b: list[np.ndarray]):
+    """Index arrays of pairs of like lengths, of some ROW_CELLS columns each."""
+    size = np.array([sorted((len(x), len(y))) for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    order, lo = np.lexsort((size[:, 0], size[:, 1])), 0
+    while lo < len(order):
+        hi = lo + 1
+        # as wide as the last one, and no more than half of a row padding
+        while hi < len(order) and (hi + 1 - lo) * size[order[hi], 1] <= ROW_CELLS and size[order[hi], 1] <= 2 * size[order[lo], 1] + 16:
+            hi += 1
+        yield order[lo:hi]
+        lo = hi
+
+
+def local_scores(a: list[np.ndarray], b: list[np.ndarray], scheme: Scheme) -> np.ndarray:
+    out = np.zeros(len(a), np.int64)
+    for at in batches(a, b):
+        out[at] = LocalAlignments([a[k] for k in at], [b[k] for k in at], scheme).score
+    return out
+
+
+def local_alignments(a: list[np.ndarray], b: list[np.ndarray], scheme: Scheme, least: np.ndarray | None = None) -> list[Alignment | None]:
+    """Alignments of the pairs (a[k], b[k]); None where the score is not above zero, or below ``least``."""
+    out: list[Alignment | None] = [None] * len(a)
+    for at in batches(a, b):
+        table = LocalAlignments([a[k] for k in at], [b[k] for k in at], scheme)
+        enough = table.score > 0 if least is None else (table.score > 0) & (table.score >= least[at])
+        for k, found in zip(at[enough], table.trace(np.flatnonzero(enough)), strict=True):
+            out[k] = found
+    return out
 
-def local_score(a, b, scheme: Scheme) -> int:
-    if not len(a) or not len(b):
-        return 0
-    if len(a) > len(b):
-        a, b = b, a
-    rows = _Rows(a, b, scheme)
-    h, f = rows.start()
-    best = 0
-    for i in range(len(a)):
-        h, _, f = rows.next(i, h, f)
-        best = max(best, int(h.max()))
-    return best
-
-
-class LocalAlignment:
-    """Best local alignment of two sequences: the score first, the way back on demand.
-
-    Among equal scores the alignment that ends first (in the shorter sequence, then in
-    the other) is taken, and the way back prefers a pair over a gap in the longer over
-    a gap in the shorter. Every sqrt(m)-th row is kept on the way down and the rows
-    between are worked out again on the way back, so memory grows with n * sqrt(m).
-    """
 
-    def __init__(self, a, b, scheme: Scheme):
-        self.swapped = len(a) > len(b)
-        self.a, self.b = (b, a) if self.swapped else (a, b)
-        self.score, self.end = 0, None
-        if not len(self.a):
-            return
-        self.rows = _Rows(self.a, self.b, scheme)
-        self.step = max(1, math.isqrt(len(self.a)))
-        self.kept, self.block = {}, {}
-        h, f = self.rows.start()
-        for i in range(len(self.a)):
-            if i % self.step == 0:
-                self.kept[i] = (h, f)
-            h, _, f = self.rows.next(i, h, f)
-            top = int(h.max())
-            if top > self.score:
-                self.score, self.end = top, (i, int(h.argmax()) - 1)
-
-    def _row(self, i):
-        """(h, e, f) of a row; row -1 is the empty start."""
-        if i < 0:
-            h0, f0 = self.rows.start()
-            return h0, f0, f0
-        if i not in self.block:
-            base = i - i % self.step
-            self.block.clear()
-            h, f = self.kept[base]
-            for r in range(base, min(base + self.step, len(self.a))):
-                h, e, f = self.rows.next(r, h, f)
-                self.block[r] = (h, e, f)
-        return self.block[i]
-
-    def trace(self) -> Alignment | None:
-        """Counts along the alignment; None when nothing scores above zero."""
-        if self.end is None:
-            return None
-        a, b, rows = self.a, self.b, self.rows
-        (i, j), state = self.end, "H"
-        identical = mismatches = a_gap = b_gap = 0
-        cur = self._row(i)
-        while True:
-            if state == "H":
-                value = int(cur[0][j + 1])
-                if value == 0:
-                    break
-                if value == int(self._row(i - 1)[0][j]) + int(rows.profile[a[i], j]):
-                    if a[i] == b[j]:
-                        identical += 1
-                    else:
-                        mismatches += 1
-                    i, j = i - 1, j - 1
-                    if i < 0 or j < 0:
-                        break
-                    cur = self._row(i)
-                else:
-                    state = "F" if value == int(cur[2][j]) else "E"
-            elif state == "F":
-                value = int(cur[2][j])
-                b_gap += 1
-                i -= 1
-                cur = self._row(i)
-                if value == int(cur[0][j + 1]) + rows.open:
-                    state = "H"
-            else:
-                value = int(cur[1][j])
-                a_gap += 1
-                j -= 1
-                if value == int(cur[0][j + 1]) + rows.open:
-                    state = "H"
-        pairs = identical + mismatches
-        used = (pairs + b_gap, pairs + a_gap)
-        if self.swapped:
-            used = used[::-1]
-        return Alignment(self.score, pairs + a_gap + b_gap, identical, mismatches, *used)
+def local_score(a, b, scheme: Scheme) -> int:
+    return int(local_scores([a], [b], scheme)[0])
 
 
 def local_alignment(a, b, scheme: Scheme) -> Alignment | None:
-    return LocalAlignment(a, b, scheme).trace()
+    return local_alignments([a], [b], scheme)[0]

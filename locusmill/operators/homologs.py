@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from ..functions import align
 from ..functions import annot as A
 from ..functions import seq as S
 from ..plans.ordered import running_count
-from ..session import spread
+from ..session import cut_lineage, spread
 
 K = 4  # k-mer length of the prefilter
 SCORE_SHARE = 0.40  # share of the identity-scaled self score a pair must reach
@@ -101,23 +102,43 @@ def _residue_links(seqs: DataFrame, side: str, widen: bool) -> DataFrame:
     return res.select(f"{side}_key", F.explode(partners).alias("r")).distinct()
 
 
+def _prefixes(words: DataFrame, df: DataFrame, side: str, floor: float) -> DataFrame:
+    """key, size, word, n: the words of every sequence but its most frequent ones.
+
+    A pair at the floor shares at least floor x size words of either set. So with all words
+    in one order, rare ones first, two sets that leave out their last ceil(floor x size) - 1
+    words still share one."""
+    ranked = words.join(df, "word").groupBy(f"{side}_key", f"{side}_size").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))
+    kept = F.col(f"{side}_size") - F.ceil(F.col(f"{side}_size") * floor - 1e-9) + 1
+    return ranked.select(f"{side}_key", f"{side}_size", F.inline(F.slice("w", F.lit(1), F.greatest(kept, F.lit(1)).cast("int"))))
+
+
+#: Holders of a word that one join key keeps together; a word with more is dealt to several keys.
+HOT_WORD = 1 << 14
+
+
 def word_pairs(q: DataFrame, r: DataFrame, min_identity: float) -> DataFrame:
     """(q_key, r_key) pairs whose k-mer sets reach the Jaccard floor.
 
-    Sequences sharing no word have Jaccard 0 and fail any positive floor, so an
-    equi-join on words loses nothing; shared words are counted map-side per pair.
+    Sequences sharing no word have Jaccard 0 and fail any positive floor, so an equi-join on
+    words loses nothing. Only words that are rare enough to matter are joined, and the full
+    sets of what meets are compared. The holders of a hot word are dealt to several keys on
+    the reference side and repeated under each on the query side.
     """
     floor = min_identity**K * JACCARD_SHARE
     if floor <= 0:
         raise ValueError("the minimum identity must be above zero")
-    shared = (
-        _words(q, "q")
-        .join(_words(r, "r"), "word")
-        .groupBy("q_key", "r_key", "q_size", "r_size")
-        .agg(F.count("*").alias("shared"))
-    )
-    n = F.col("shared")
-    return shared.where(n / (F.col("q_size") + F.col("r_size") - n) >= floor).select("q_key", "r_key")
+    qw, rw = _words(q, "q"), _words(r, "r")
+    df = cut_lineage(qw.select("word").unionByName(rw.select("word")).groupBy("word").agg(F.count("*").alias("n")))
+    salts = F.ceil(F.col("n") / HOT_WORD).cast("int")
+    left = _prefixes(qw, df, "q", floor).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    right = _prefixes(rw, df, "r", floor).withColumn("salt", F.pmod(F.xxhash64("r_key"), salts).cast("int")).drop("n")
+    fits = (F.col("q_size") >= F.col("r_size") * floor - 1e-9) & (F.col("r_size") >= F.col("q_size") * floor - 1e-9)
+    met = left.join(right, ["word", "salt"]).where(fits).select("q_key", "r_key").distinct()
+    full = lambda seqs, side: seqs.select(f"{side}_key", S.kmer_set(f"{side}_seq", K).alias(f"{side}_set"))
+    both = met.join(full(q, "q"), "q_key").join(full(r, "r"), "r_key")
+    both = both.select("q_key", "r_key", F.size(F.array_intersect("q_set", "r_set")).alias("n"), (F.size("q_set") + F.size("r_set")).alias("all"))
+    return both.where(F.col("n") / (F.col("all") - F.col("n")) >= floor).select("q_key", "r_key")
 
 
 def short_pairs(q: DataFrame, r: DataFrame) -> DataFrame:
@@ -141,45 +162,29 @@ def candidate_pairs(q: DataFrame, r: DataFrame, min_identity: float) -> DataFram
 
 def _align_pairs(min_identity: float):
     scheme_args = (-11, -1)
+    names = ["q_key", "r_key", "identity", "alignment_length", "mismatches", "q_cov", "r_cov"]
+    kinds = [pa.binary(), pa.binary(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
 
     def run(batches):
         scheme = align.protein_scheme(*scheme_args)
         x = align.RESIDUES.index("X")
-        selfs: dict[str, int] = {}
-
-        def self_score(s, c):
-            got = selfs.get(s)
-            if got is None:
-                got = int(scheme.matrix[c, c].sum()) if not (c == x).any() else align.local_score(c, c, scheme)
-                if len(selfs) > 5000:
-                    selfs.clear()
-                selfs[s] = got
-            return got
-
-        for pdf in batches:
+        for batch in batches:
+            q_key, q_seq, r_key, r_seq = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("q_key", "q_seq", "r_key", "r_seq"))
+            code = {s: scheme.encode(s) for s in {*q_seq, *r_seq}}
+            q, r = [code[s] for s in q_seq], [code[s] for s in r_seq]
+            # a sequence without X scores best along its whole length
+            short = [s if len(s) <= len(t) else t for s, t in zip(q_seq, r_seq, strict=True)]
+            own = {s: int(scheme.matrix[code[s], code[s]].sum()) for s in {*short}}
+            doubtful = [s for s in own if (code[s] == x).any()]
+            own |= dict(zip(doubtful, align.local_scores([code[s] for s in doubtful], [code[s] for s in doubtful], scheme).tolist(), strict=True))
+            top = np.array([own[s] for s in short])
+            least = np.where(top > 0, top * min_identity * SCORE_SHARE, np.inf)
             out = []
-            for t in pdf.itertuples(index=False):
-                a, b = scheme.encode(t.q_seq), scheme.encode(t.r_seq)
-                found = align.LocalAlignment(a, b, scheme)
-                score = found.score
-                if score <= 0:
-                    continue
-                short, c = (t.q_seq, a) if len(a) <= len(b) else (t.r_seq, b)
-                top = self_score(short, c)
-                if top <= 0 or score < top * min_identity * SCORE_SHARE:
-                    continue
-                al = found.trace()
-                identity = al.identical / al.length
-                if identity < min_identity:
-                    continue
-                out.append(
-                    (t.q_key, t.r_key, identity, al.length, al.mismatches,
-                     al.a_nongap / len(a), al.b_nongap / len(b))
-                )
-            yield pd.DataFrame(
-                out,
-                columns=["q_key", "r_key", "identity", "alignment_length", "mismatches", "q_cov", "r_cov"],
-            )
+            for k, al in enumerate(align.local_alignments(q, r, scheme, least)):
+                if al is not None and al.identical / al.length >= min_identity:
+                    out.append((q_key[k], r_key[k], al.identical / al.length, al.length, al.mismatches, al.a_nongap / len(q[k]), al.b_nongap / len(r[k])))
+            columns = zip(*out, strict=True) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
 
     return run
 
@@ -209,7 +214,7 @@ def find_homologs(
     if coverage_mode == "max":
         ratio = F.length("q_seq") / F.greatest(F.length("r_seq"), F.lit(1))
         pairs = pairs.where((ratio >= 0.5) & (ratio <= 2.0))
-    aligned = spread(pairs, "q_key", "r_key").mapInPandas(
+    aligned = spread(pairs, "q_key", "r_key").mapInArrow(
         _align_pairs(min_identity),
         "q_key binary, r_key binary, identity double, alignment_length int, mismatches int,"
         " q_cov double, r_cov double",

@@ -431,3 +431,20 @@ def test_motifs_of_records_with_gaps_in_their_numbers(spark):
     df = spark.createDataFrame(rows, "ord long, id string, seq string")
     got = em.discover_motifs(df, width=6, n_seeds=3, n_refine=2, n_iter=3, quick_iter=2)
     assert sorted(r["ord"] for r in got[0]["instances"].collect()) == [r[0] for r in rows]
+
+
+def test_word_pairs_of_all_identities(spark, monkeypatch):
+    """The rare-first prefixes lose no pair, also where every word is hot and dealt to keys."""
+    monkeypatch.setattr(ho, "HOT_WORD", 2)
+    rng = random.Random(8)
+    base = ["".join(rng.choice("ACDEFGH") for _ in range(60)) for _ in range(6)]
+    made = {b[: rng.randint(20, 60)] + "".join(rng.choice("ACDEFGH") for _ in range(rng.randint(0, 40))) for b in base for _ in range(9)} | {"ACDE", "ACD", "A" * 30}
+    rows = [(f"k{i}", s) for i, s in enumerate(sorted(made))]
+    df = spark.createDataFrame(rows, "key string, s string")
+    side = lambda x: df.select(F.col("key").alias(f"{x}_key"), F.col("s").alias(f"{x}_seq"), F.greatest(F.length("s") - 3, F.lit(0)).alias(f"{x}_n"))
+    sets = {k: {s[i : i + 4] for i in range(len(s) - 3)} for k, s in rows}
+    for identity in (0.3, 0.6, 0.9):
+        floor = identity**4 * 0.5
+        want = {(a, b) for a in sets for b in sets if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= floor}
+        got = ho.word_pairs(side("q"), side("r"), identity).collect()
+        assert len(got) == len(want) and {(x["q_key"], x["r_key"]) for x in got} == want
