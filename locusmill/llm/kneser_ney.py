@@ -33,6 +33,9 @@ QUANTILE = 0.99
 #: One trusted document in so many is kept from training, for the thresholds.
 HOLD_OUT = 5
 SYMBOLS = 256
+#: Bytes of text whose different n-grams travel together: more make fewer rows, and some
+#: 16 bytes an n-gram of a task's memory.
+BLOCK_BYTES = 1 << 25
 
 
 def codes(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,37 +185,55 @@ def probabilities(grams: DataFrame, model: list[tuple[DataFrame, DataFrame]]) ->
     return below
 
 
-def _blocks(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """(block, rows): some megabytes of documents each, as a compressed Arrow stream."""
+def _blocks(docs: DataFrame, keep: tuple[str, ...], block_bytes: int) -> DataFrame:
+    """(block, rows): documents of up to ``block_bytes`` each (a longer one is a block of its
+    own), as a compressed Arrow stream of batches of some megabytes."""
     src = docs.select(*keep, F.col("text").alias("_text"))
 
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for part in held:
+                out.write_batch(part)
+        return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["rows"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for lo, hi in slices(texts(batch, "_text")):
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(batch.slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["rows"])
+            column = texts(batch, "_text")
+            ends = offsets(column)
+            for lo, hi in slices(column):
+                more = int(ends[hi] - ends[lo])
+                if held and size + more > block_bytes:
+                    yield packed(held)
+                    held, size = [], 0
+                held.append(batch.slice(lo, hi - lo))
+                size += more
+        if held:
+            yield packed(held)
 
     return settled(src.mapInArrow(run, "rows binary").withColumn("block", F.monotonically_increasing_id()))
 
 
-def _documents(rows: pa.Scalar) -> pa.RecordBatch:
-    return pa.ipc.open_stream(rows.as_buffer()).read_next_batch()
+def _documents(rows: pa.Scalar) -> Iterator[pa.RecordBatch]:
+    yield from pa.ipc.open_stream(rows.as_buffer())
 
 
-def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], keep: tuple[str, ...]) -> DataFrame:
+def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], keep: tuple[str, ...], block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The ``keep`` columns, ``n_bytes`` and ``bits`` (mean bits a byte; null without any)."""
     order = len(model)
-    blocks = _blocks(docs, keep)
+    blocks = _blocks(docs, keep, block_bytes)
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                g = np.unique(codes(texts(_documents(rows), "_text"), order)[0])
+                g = np.zeros(0, np.int64)
+                for part in _documents(rows):
+                    g = np.union1d(g, codes(texts(part, "_text"), order)[0])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block)), pa.array(g)], ["block", "g"])
 
-    need = blocks.select("block", "rows").mapInArrow(grams_of, "block long, g long")
+    # met twice, by the model and on the way back: made once
+    need = settled(blocks.select("block", "rows").mapInArrow(grams_of, "block long, g long"))
     found = probabilities(need.select("g").distinct(), model)
     back = need.join(found, "g").groupBy("block").agg(F.collect_list("g").alias("g"), F.collect_list("q").alias("q"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", n_bytes long, bits double"
@@ -220,17 +241,18 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                part = _documents(batch.column(0)[i])
-                g, offs = codes(texts(part, "_text"), order)
-                n = np.diff(offs)
-                logp = np.zeros(len(g) + 1)
-                if len(g):
-                    # no text in the block: no n-grams came back
-                    known, q = (np.asarray(batch.column(c)[i].values) for c in (1, 2))
-                    by = np.argsort(known)
-                    logp[1:] = np.cumsum(np.log(q[by])[np.searchsorted(known[by], g)])
-                bits = -np.diff(logp[offs]) / np.where(n > 0, n, 1) / math.log(2)
-                yield pa.RecordBatch.from_arrays([*[part.column(j) for j in range(len(keep))], pa.array(n), pa.array(bits, mask=n == 0)], [*keep, "n_bytes", "bits"])
+                # a block without any text gets no n-grams back
+                known, q = (np.asarray(x) if (x := batch.column(c)[i].values) is not None else np.zeros(0) for c in (1, 2))
+                by = np.argsort(known)
+                known, q = known[by], np.log(q[by])
+                for part in _documents(batch.column(0)[i]):
+                    g, offs = codes(texts(part, "_text"), order)
+                    n = np.diff(offs)
+                    logp = np.zeros(len(g) + 1)
+                    if len(g):
+                        logp[1:] = np.cumsum(q[np.searchsorted(known, g)])
+                    bits = -np.diff(logp[offs]) / np.where(n > 0, n, 1) / math.log(2)
+                    yield pa.RecordBatch.from_arrays([*[part.column(j) for j in range(len(keep))], pa.array(n), pa.array(bits, mask=n == 0)], [*keep, "n_bytes", "bits"])
 
     return blocks.join(back, "block", "left").select("rows", "g", "q").mapInArrow(run, schema)
 

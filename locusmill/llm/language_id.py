@@ -155,7 +155,7 @@ def language_id(
     ``train``: text and ``label``; rows without a label or a letter teach nothing. Only
     the text of ``docs`` decides. A null text, or one without a letter, is ``und`` with
     score 0, as is every text if nothing could be learned. Equal cosines go to the label
-    first in order. Columns of ``docs`` named like the results are replaced. What reaches
+    first in order. Columns of ``docs`` named like the results, in whatever case, are replaced. What reaches
     the driver is ``dims`` numbers per distinct label. ``summed``: the text's vector is not
     made; its trigrams' products with the prototypes are added up and divided by the norm
     of its counts, which is what many dimensions can afford.
@@ -168,7 +168,7 @@ def language_id(
     norm = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = matrix / np.where(norm > 0, norm, 1)
 
-    keep = [c for c in docs.columns if c not in out]
+    keep = [c for c in docs.columns if c.lower() not in {n.lower() for n in out}]
     src = docs.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema) + f", `{out[0]}` string, `{out[1]}` double"
 

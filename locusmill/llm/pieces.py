@@ -20,6 +20,8 @@ UNKNOWN = 10_000
 #: is the longest piece of spaces; longer ones are cut there.
 WORD_PATTERN = f"\n|{SPACE}{{0,16}}[^{SPACE}\n]{{1,240}}|{SPACE}{{1,16}}"
 WORD = re.compile(WORD_PATTERN)
+#: The same without any cut, for what needs none.
+RUN = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
 @dataclass(frozen=True)
@@ -55,3 +57,7 @@ def normalised(text: str) -> str:
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(normalised(text))
+
+
+def runs_of(text: str) -> list[str]:
+    return RUN.findall(normalised(text))

@@ -187,10 +187,13 @@ SQL: dict[str, str] = {
         WITH RECURSIVE split AS (
           SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
 ]+') AS w FROM documents),
-        sets AS (
-          SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] ELSE
-            list_distinct(list_transform(range(1, greatest(len(w) - 1, 2)), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM split),
-        items AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS g FROM sets),
+        words AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM split),
+        threes AS (
+          SELECT doc_id, i, concat_ws(' ', w, lead(w) OVER d, lead(w, 2) OVER d) AS s, count(*) OVER (PARTITION BY doc_id) AS held
+          FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+        full_sets AS (SELECT doc_id, list(DISTINCT hash(s)) AS s FROM threes WHERE i <= greatest(held - 2, 1) GROUP BY doc_id),
+        sets AS (SELECT doc_id, coalesce(s, []) AS s FROM documents LEFT JOIN full_sets USING (doc_id)),
+        items AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
         -- sets that share 85 hundredths of their union share one of their rarest shingles
         freq AS (SELECT g, count(*) AS f FROM items GROUP BY g),
         ranked AS (SELECT doc_id, n, g, row_number() OVER (PARTITION BY doc_id ORDER BY f, g) AS k FROM items JOIN freq USING (g)),

@@ -188,8 +188,9 @@ def _union(groups: list[int], pick: tuple[int, ...]) -> int:
     return out
 
 
-def simhash_groups(docs: DataFrame, radius: int = 3, shingle: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document: the ``keep`` columns, ``fp`` and ``component_id``.
+def simhash_groups(docs: DataFrame, radius: int = 3, shingle: int = 3, keep: tuple[str, ...] = ("doc_id",), root: bool = False) -> DataFrame:
+    """One row per document: the ``keep`` columns, ``fp`` and ``component_id``, with ``root``
+    also the component's smallest fingerprint, which names it even if no document has an id.
 
     Documents are linked if their fingerprints differ in at most ``radius`` bits;
     ``component_id`` is the smallest doc_id that links lead to. Texts that are null, empty
@@ -202,16 +203,31 @@ def simhash_groups(docs: DataFrame, radius: int = 3, shingle: int = 3, keep: tup
     roots = components(links(classes, radius))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     low = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = settled(named.join(low, "root").select("fp", "component_id"))
+    found = settled(named.join(low, "root").select("fp", "component_id", *["root"] * root))
     return fps.join(found, "fp")
 
 
 def first_of_each_group(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The documents that name their component: one doc_id of each group stays.
+    """The first row of each component, by (doc_id, fingerprint, hash of the text), with all columns.
 
-    Rows of one doc_id stay or go together only if their texts do; rows without a doc_id
-    stay. The columns of ``docs`` are kept as they are.
+    Nulls come last among doc_ids. A row is told by its doc_id and text: of rows of one
+    doc_id whose texts lie in different components each component keeps its own, and of
+    equal rows one stays, whatever their other columns hold.
     """
-    groups = simhash_groups(docs.select("doc_id", "text"), radius)
-    gone = groups.where("doc_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # ``keep`` holds the hash of the text besides the doc_id
+    src = docs.select("doc_id", "text").withColumn("t", F.xxhash64("text"))
+    groups = settled(simhash_groups(src, radius, keep=("doc_id", "t"), root=True))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "t")
+    first = groups.groupBy("root").agg(F.min(place).alias("first"))
+    met = groups.join(first, "root").withColumn("stays", place.eqNullSafe(F.col("first")))
+    gone = met.where("NOT stays").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct()
+    again = settled(met.where("stays").groupBy(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).agg(F.count("*").alias("c")).where("c > 1").drop("c"))
+
+    def same(other: DataFrame):
+        return (F.xxhash64(docs["text"]) == other["_t"]) & docs["doc_id"].eqNullSafe(other["_d"])
+
+    left = docs.join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    once = left.join(again, same(again), "left_anti")
+    return once.unionByName(left.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)

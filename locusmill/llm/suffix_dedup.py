@@ -145,14 +145,17 @@ _CLASS = ["gram", "around", "before", "after"]
 
 
 def _classes(suffixes: DataFrame) -> DataFrame:
-    """Classes (first member, number n) that have members to compare or a neighbour with the
-    same gram in the sorted order (``shared``).
+    """Classes (first member, n: 1 or more than 1 member) that have members to compare or a
+    neighbour with the same gram in the sorted order (``shared``).
 
     The order is made by range partitions; inside each a window sees the rows before and
     behind. The first and last row of a partition cannot see theirs and count as shared,
     which only means that they are looked at in full.
     """
-    classes = suffixes.groupBy(*_CLASS).agg(F.min(F.struct("doc_id", "t", "pos")).alias("first"), F.count("*").alias("n"))
+    place = F.struct("doc_id", "t", "pos")
+    classes = suffixes.groupBy(*_CLASS).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    # repeated rows of a document are one place
+    classes = classes.withColumn("n", F.when(F.col("first").eqNullSafe(F.col("last")), 1).otherwise(2).cast("long")).drop("last")
     ordered = classes.repartitionByRange(*_CLASS).withColumn("_part", F.spark_partition_id())
     by = W.partitionBy("_part").orderBy(*_CLASS)
     behind, ahead = F.lag("gram").over(by), F.lead("gram").over(by)
@@ -198,7 +201,8 @@ def _spans(docs: DataFrame, length: int, k: int) -> DataFrame:
     windows = packed.select("doc_id", "t", F.col("start").alias("_s"), "n", F.posexplode("hashes").alias("_i", "hash"))
     windows = windows.select("doc_id", "t", (F.col("_s") + F.col("_i")).alias("start"), "hash", "n")
     place = F.struct("doc_id", "t", "start")
-    equal = settled(windows.groupBy("hash").agg(F.min(place).alias("first"), F.sum("n").alias("all")).where("all > 1").select("hash", "first"))
+    equal = windows.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("n").alias("n"))
+    equal = settled(equal.where("n > 1 OR NOT (first <=> last)").select("hash", "first"))
     found = windows.join(equal, "hash").select("doc_id", "t", "start", (F.col("start") + length).alias("end"), place.eqNullSafe(F.col("first")).alias("original"))
     return _merged(members.unionByName(found))
 

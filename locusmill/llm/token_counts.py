@@ -68,7 +68,7 @@ def counter(table: P.Pieces):
 def token_counts(docs: DataFrame, model: str = P.MODEL, keep: tuple[str, ...] = ("doc_id",), trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """The ``keep`` columns, n_pretokens, n_tokens and cost (in thousandths of a nat) of
     every row's text: the cheapest segmentation into pieces, of equally cheap ones the one
-    with fewest. Null and empty texts have none. Repeated rows are counted each. Other
+    with fewest. A run without a space is taken whole, however long. Null and empty texts have none. Repeated rows are counted each. Other
     columns are not read. The piece table (of the model's fixed size) is broadcast.
     """
     src = docs.select(*keep, docs["text"].alias("_text"))
@@ -84,7 +84,7 @@ def token_counts(docs: DataFrame, model: str = P.MODEL, keep: tuple[str, ...] =
                 place: dict[str, int] = {}
                 where, size = [], np.zeros(hi - lo, np.int64)
                 for i, text in enumerate(column.slice(lo, hi - lo).to_pylist()):
-                    words = P.words_of(text or "")
+                    words = P.runs_of(text or "")
                     size[i] = len(words)
                     where.append(np.fromiter((place.setdefault(w, len(place)) for w in words), np.int32, len(words)))
                 order = sorted(place)

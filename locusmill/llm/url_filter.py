@@ -86,10 +86,11 @@ def url_filter(
     ``listed``: one column ``canonical_url``. The verdict is the rule's, else block for a
     listed URL and allow for any other. A null or odd URL has an empty host and path, no
     rule, and is allowed. Repeated pages are judged one by one, repeated or null entries
-    of the list do not matter. Columns of ``pages`` with one of the new names are replaced.
+    of the list do not matter. Columns of ``pages`` with one of the new names, in whatever case,
+    are replaced.
     """
     new = ["host", "path", "canonical_url", "rule", "listed", "verdict"]
-    keep = [c for c in pages.columns if c not in new]
+    keep = [c for c in pages.columns if c.lower() not in new]
     p = unused(pages)
     judged = pages.select(*keep, host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), canonical(F.col("url")).alias("canonical_url"))
     judged = judged.withColumn(f"{p}rule", matching_rule(F.col("host"), F.col("path"), rules))

@@ -26,14 +26,14 @@ def test_sql(spark, name):
 
 def test_all_are_registered():
     found = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in found if q[:2] == "op" and q[2].isdigit()}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in found if q[:2] == "op" and q[2].isdigit()}
     assert "pipeline" in found
 
 
 def test_rows_of_whole_tables(spark):
     """Operators that judge documents return every one of them once."""
     docs = sorted(r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
-    for name in ("op3_language_id", "op6_simhash", "op7_sentence_pieces", "op8_token_counts", "op9_quality_classifier", "op10_quality_rules"):
+    for name in ("op3_language_id", "op6_simhash", "op7_sentence_pieces", "op8_token_counts", "op9_quality_classifier", "op10_quality_rules", "op12_minhash", "op13_manifest"):
         assert sorted(r.doc_id for r in queries.QUERIES[name](spark, SF).collect()) == docs, name
 
 
