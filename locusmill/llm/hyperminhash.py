@@ -147,7 +147,7 @@ def _bands(classes: DataFrame) -> DataFrame:
             ids, n = batch.column(0), batch.column(1).to_numpy()
             for column, level in ((2, size_class(n)), (3, size_class(n) - 1)):
                 there = np.flatnonzero(batch.column(column).is_valid())
-                regs = _matrix(batch.column(column))[there].astype(U64).reshape(len(there), BANDS, -1)
+                regs = _matrix(batch.column(column))[there].astype(U64).reshape(len(there), BANDS, REGISTERS // BANDS)
                 sig = (level[there, None] * BANDS + np.arange(BANDS) + 1).astype(U64)
                 for k in range(regs.shape[2]):
                     sig = mix(sig * U64(0x9E3779B97F4A7C15) + regs[:, :, k])
