@@ -949,8 +949,34 @@ def record_sql() -> dict[str, str]:
     }
 
 
+def file_sql() -> dict[str, str]:
+    records = sql("proteins", "SELECT locus_tag AS id, locus_tag || ' ' || product AS description, translation AS seq FROM proteins WHERE translation <> ''")
+    genbank = sql(
+        "contigs genes",
+        """SELECT record_id || ':1-' || length AS record_id, -1 AS feat_ord, organism, 'linear' AS topology, md5(seq) AS value, 0 AS start0, length AS "end", 0 AS strand
+           FROM contigs WHERE length > 0
+           UNION ALL
+           SELECT record_id || ':1-' || contig_length, row_number() OVER (PARTITION BY record_id ORDER BY start0, feat_ord) - 1, locus_tag, type,
+             concat_ws('|', coalesce(gene, '-'), coalesce(product, '-'), coalesce(protein_id, '-')), start0, "end", coalesce(strand, 1)
+           FROM genes WHERE "end" > start0""",
+    )
+    words = sql(
+        "contigs",
+        """SELECT word, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(seq) - 2), lambda i: substr(seq, i, 4))) AS word FROM contigs)
+           WHERE regexp_full_match(word, '[ACGT]+') GROUP BY word""",
+    )
+    hits = sql(
+        "contigs", """SELECT id, strand, pos0 + 1 AS start, pos0 + 6 AS "end", text FROM hits""",
+        "\n  fa AS (SELECT record_id AS id, seq AS s FROM contigs)," + _motif_hits("fa", _MOTIF_RE, 6, "id", "length(s)"),
+    )
+    return {
+        "fasta_records": records, "fasta_source": records, "genbank_records": genbank, "genbank_source": genbank,
+        "kmers_lateral": words, "motif_hits_lateral": hits,
+    }
+
+
 def all_sql() -> dict[str, str]:
     return {
         **annotation_sql(), **interval_sql(), **upstream_sql(), **motif_sql(), **kmer_sql(),
-        **protein_sql(), **region_sql(), **search_sql(), **graph_sql(), **loci_sql(), **record_sql(),
+        **protein_sql(), **region_sql(), **search_sql(), **graph_sql(), **loci_sql(), **record_sql(), **file_sql(),
     }

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import annot as A
 from ..functions import seq as S
+from ..functions import tables as ft
 from ..operators import annotation as ann
 from ..operators import em
 from ..operators import exact as ex
@@ -23,7 +24,10 @@ from ..operators import redundancy as rd
 from ..operators import regions as rg
 from ..operators import search as se
 from ..operators import upstream as up
-from ..session import tune
+from ..session import scratch, spread, tune
+from ..sources import datasource as ds
+from ..sources import fasta as fa
+from ..sources import genbank as gb
 from ..sources import tables as tb
 from . import bioviews as V
 from .oracle import KEYWORDS
@@ -606,6 +610,77 @@ def _(spark, sf):
     return rg.gene_dna_records(rows, rg.gene_index(g)).drop("genome")
 
 
+# Files and SQL text -------------------------------------------------------------
+
+
+def _protein_files(spark, sf) -> str:
+    """The proteins as FASTA files, wrapped, in the shared folder."""
+    path = scratch(spark, "fasta")
+    p = V.proteins(spark, sf).withColumn("header", F.concat(F.lit(">"), F.col("locus_tag"), F.lit(" "), F.col("product")))
+    tb.write_text(tb.fasta_text(p, F.col("header"), "translation"), path)
+    return path
+
+
+@query("fasta_records")
+def _(spark, sf):
+    return fa.read_fasta(spark, _protein_files(spark, sf), strict=True).select("id", "description", "seq")
+
+
+@query("fasta_source")
+def _(spark, sf):
+    rows = ds.register(spark).read.format("fasta").option("glob", "*.txt").option("rangebytes", 1 << 20).load(_protein_files(spark, sf))
+    return rows.select("id", "description", "seq")
+
+
+def _record_files(spark, sf) -> str:
+    """Contigs with their genes as GenBank files in the shared folder."""
+    path = scratch(spark, "genbank")
+    c = V.contigs(spark, sf).where("length > 0")
+    regions = c.select(
+        F.col("record_id").alias("region_id"), "record_id", F.lit(1).alias("c1"), F.col("length").alias("c2"), "organism", F.col("seq").alias("sequence"),
+    )
+    inside = V.genes(spark, sf).where("end > start0").select(
+        F.col("record_id").alias("region_id"), "feat_ord", "type", F.col("start0").alias("local_start0"), F.col("end").alias("local_end"), "strand",
+        "locus_tag", "gene", "product", "protein_id",
+    )
+    tb.write_text(gb.region_text(regions, inside), path)
+    return path
+
+
+def _read_back(contigs, features):
+    """Both tables as one: a row a contig, and one a feature."""
+    one = contigs.select("record_id", F.lit(-1).cast("long").alias("feat_ord"), "organism", "topology", F.md5("seq").alias("value"), F.lit(0).alias("start0"), F.col("length").alias("end"), F.lit(0).alias("strand"))
+    two = features.select(
+        "record_id", "feat_ord", F.col("locus_tag").alias("organism"), F.col("type").alias("topology"),
+        F.concat_ws("|", F.coalesce("gene", F.lit("-")), F.coalesce("product", F.lit("-")), F.coalesce("protein_id", F.lit("-"))).alias("value"), "start0", "end", "strand",
+    )
+    return one.unionByName(two)
+
+
+@query("genbank_records")
+def _(spark, sf):
+    records = gb.read_records(spark, _record_files(spark, sf), glob="*.txt")
+    return _read_back(gb.contigs(records), gb.features(records))
+
+
+@query("genbank_source")
+def _(spark, sf):
+    records = ds.register(spark).read.format("genbank").option("glob", "*.txt").option("rangebytes", 1 << 20).load(_record_files(spark, sf))
+    return _read_back(gb.contigs(records), gb.features(records))
+
+
+@query("kmers_lateral")
+def _(spark, sf):
+    text = "SELECT word, count(*) AS n FROM {c}, LATERAL kmers(seq, 4) WHERE word RLIKE '^[ACGT]+$' GROUP BY word"
+    return ft.register(spark).sql(text, c=spread(V.contigs(spark, sf).select("record_id", "seq"), "record_id"))
+
+
+@query("motif_hits_lateral")
+def _(spark, sf):
+    text = f"SELECT record_id AS id, h.strand, h.start + 1 AS start, h.`end`, h.hit AS text FROM {{c}}, LATERAL motif_hits(seq, '{MOTIF}') h"
+    return ft.register(spark).sql(text, c=spread(V.contigs(spark, sf).select("record_id", "seq"), "record_id"))
+
+
 # Search preparation and small tables --------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +65,12 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder, for files that a job hands on."""
+    _ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def slots(spark: SparkSession) -> int:
     """Partitions to aim for when work per row, not bytes, sets the pace."""
     return max(
