@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import settled
 from .scan import offsets, slices, texts
+from .url_filter import possible
 
 ORDER = 5
 QUANTILE = 0.99
@@ -269,8 +270,10 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUA
     """
     trusted = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(HOLD_OUT)) == 0
-    # the same join at every size: labels grow with the documents
-    learn = docs.where(~fold).select("doc_id", "text").join(trusted.where(~fold).select("doc_id").hint("merge"), "doc_id", "left_semi")
+    # the same join at every size, as labels grow with the documents; only texts that may be
+    # trusted travel to it
+    names = settled(trusted.where(~fold).select("doc_id"))
+    learn = possible(docs.where(~fold).select("doc_id", "text"), "doc_id", names).join(names.hint("merge"), "doc_id", "left_semi")
     scored = settled(perplexities(docs, tables(learn, order), ("doc_id", "lang")))
     held = scored.where(fold & F.col("bits").isNotNull()).join(trusted.where(fold).select("doc_id"), "doc_id", "left_semi")
     steps = held.select(F.explode(F.array(F.struct("lang", F.lit(False).alias("any")), F.struct(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("any")))).alias("s"), F.ceil(F.col("bits") * 1000).alias("bin"))

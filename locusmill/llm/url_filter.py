@@ -78,6 +78,24 @@ def bloom_blocks(listed: DataFrame, key: str, blocks: int) -> DataFrame:
     return rows.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(4)])
 
 
+def possible(rows: DataFrame, key: str, listed: DataFrame, max_blocks: int = MAX_BLOCKS) -> DataFrame:
+    """``rows`` whose ``key`` may be in ``listed`` (one column, distinct): all that are, and few others.
+
+    For a join that would else move every row; it still has to decide. The filter has at
+    most ``max_blocks`` rows; a longer list only lets more pass."""
+    p, blocks = unused(rows), 1
+    while blocks < min(listed.count() * BITS_PER_KEY // 256 + 1, max_blocks):
+        blocks *= 2
+    name = listed.columns[0]
+    bloom = bloom_blocks(listed.select(F.col(name).cast(rows.schema[key].dataType).alias(f"{p}key")), f"{p}key", blocks)
+    bloom = F.broadcast(bloom.withColumnsRenamed({c: p + c for c in bloom.columns}))  # at most max_blocks rows
+    block, words = _bits(F.col(key), blocks)
+    hit = F.lit(True)
+    for i, w in enumerate(words):
+        hit = hit & (F.col(f"{p}w{i}").bitwiseAND(w) == w)
+    return rows.join(bloom, (block == F.col(f"{p}block")) & F.col(key).isNotNull()).where(hit).select(*rows.columns)
+
+
 def url_filter(
     pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str]] = RULES, max_blocks: int = MAX_BLOCKS
 ) -> DataFrame:
