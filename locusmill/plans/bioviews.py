@@ -86,6 +86,27 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Letters of the words read as peptides.
+PEPTIDE = 12
+
+
+def peptides(spark: SparkSession, sf_dir: str, of: str = "documents") -> DataFrame:
+    """The long words of ``documents`` (or ``benchmark``) as short proteins, one CDS per word
+    and source, placed where the word comes first."""
+    if of == "documents":
+        src = table(spark, sf_dir, of).select(F.col("source").alias("genome"), F.col("doc_id").alias("n"), "text")
+    else:
+        src = table(spark, sf_dir, of).select(F.lit("bench").alias("genome"), F.col("item_id").alias("n"), "text")
+    words = src.select("genome", "n", F.posexplode(F.split(F.lower("text"), "[^a-z]+")).alias("at", "w")).where(F.length("w") >= PEPTIDE)
+    first = words.groupBy("genome", "w").agg(F.min(F.struct("n", "at")).alias("p"))
+    return first.select(
+        "genome", F.col("p.n").alias("record_ord"), F.concat(F.lit("r"), F.col("p.n").cast("string")).alias("record_id"),
+        F.col("p.at").cast("long").alias("feat_ord"), F.lit("CDS").alias("type"), F.lit(0).alias("start0"), F.length("w").alias("end"), F.lit(1).alias("strand"),
+        F.col("w").alias("locus_tag"), F.concat(F.lit("peptide of "), F.col("genome")).alias("product"), F.lit(None).cast("string").alias("protein_id"),
+        F.translate("w", ALPHABET, TO_PROTEIN).alias("translation"),
+    )
+
+
 def _product() -> Column:
     size = F.col("p_size")
     return F.concat(

@@ -6,7 +6,8 @@ ones it needs through ``sql``.
 
 from __future__ import annotations
 
-from .bioviews import ALPHABET, CONTIG_LENGTH, TO_DNA, TO_PROTEIN
+from ..functions.align import RESIDUES, protein_scheme
+from .bioviews import ALPHABET, CONTIG_LENGTH, PEPTIDE, TO_DNA, TO_PROTEIN
 
 _LETTERS = "regexp_replace(lower(text), '[^a-z]', '', 'g')"
 _DNA = f"translate({_LETTERS}, '{ALPHABET}', '{TO_DNA}')"
@@ -949,6 +950,101 @@ def record_sql() -> dict[str, str]:
     }
 
 
+def alignment_sql() -> dict[str, str]:
+    """Local alignments by recursion: a row of the table a step on the way down, a cell on the way back."""
+    scores = ", ".join(str(int(x)) for x in protein_scheme().matrix.reshape(-1))
+    low = -100000000
+    code = f"list_transform(string_split({{0}}, ''), lambda x: (strpos('{RESIDUES}', x) - 1)::INT)"
+    pair = "(h[j + 1] + mat[ac[i + 2] * 24 + bc[j + 1] + 1])"
+    f = "greatest(h[j + 2] - 11, f[j + 1] - 1)"
+    e = f"(CASE WHEN j = 0 THEN {low} ELSE greatest(s.h[j + 1] - 11, s.e - 1) END)"
+    cell = f"greatest(0, {pair}, {f}, {e})"
+    bits = (
+        f"((({cell}) = 0)::INT + 2 * (({cell}) = {pair})::INT + 4 * (({cell}) = {f})::INT + 8 * ({f} = h[j + 2] - 11)::INT"
+        f" + 16 * ({e} = s.h[j + 1] - 11)::INT)"
+    )
+    word = f"translate(w, '{ALPHABET}', '{TO_PROTEIN}')"
+
+    def peptides(name, source, genome, number):
+        return f"""
+  {name} AS MATERIALIZED (
+    SELECT genome, w AS locus, 'peptide of ' || genome AS product, min((n, pos)) AS ord, {word} AS s
+    FROM (SELECT {genome} AS genome, {number} AS n, unnest(string_split_regex(lower(text), '[^a-z]+')) AS w,
+            generate_subscripts(string_split_regex(lower(text), '[^a-z]+'), 1) AS pos FROM {source})
+    WHERE length(w) >= {PEPTIDE} GROUP BY genome, w)"""
+
+    words = "(SELECT DISTINCT s, unnest(list_transform(range(1, length(s) - 2), lambda i: substr(s, i, 4))) AS k FROM {0})"
+    floor = 0.30**4 * 0.5
+    base = f"""WITH RECURSIVE{peptides("qp", "benchmark", "'bench'", "item_id")},{peptides("rp", "documents", "source", "doc_id")},
+  qk AS {words.format("qp")}, rk AS {words.format("rp")},
+  qn AS (SELECT s, count(*) AS n FROM qk GROUP BY s), rn AS (SELECT s, count(*) AS n FROM rk GROUP BY s),
+  near AS (
+    SELECT q, r FROM (SELECT qk.s AS q, rk.s AS r, count(*) AS n FROM qk JOIN rk USING (k) GROUP BY 1, 2) x
+    JOIN qn ON qn.s = q JOIN rn ON rn.s = r WHERE x.n / (qn.n + rn.n - x.n) >= {floor!r}),
+  -- the shorter of a pair makes the rows, of equal ones the one searched with
+  placed AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY a, b) AS id, a, b, {code.format("a")} AS ac, {code.format("b")} AS bc, [{scores}] AS mat
+    FROM (SELECT DISTINCT a, b FROM (
+      SELECT CASE WHEN length(q) <= length(r) THEN q ELSE r END AS a, CASE WHEN length(q) <= length(r) THEN r ELSE q END AS b FROM near
+      UNION ALL SELECT r, q FROM near WHERE length(q) = length(r)))),
+  filled AS (
+    SELECT id, -1 AS i, list_transform(range(len(bc) + 1), lambda x: 0::INT) AS h, list_transform(range(len(bc)), lambda x: {low}::INT) AS f,
+      0::INT AS best, -1 AS bi, -1 AS bj, []::INT[] AS bits FROM placed
+    UNION ALL
+    SELECT id, i + 1, t.h, t.f, greatest(best, list_max(t.h)), CASE WHEN list_max(t.h) > best THEN i + 1 ELSE bi END,
+      CASE WHEN list_max(t.h) > best THEN list_position(t.h, list_max(t.h)) - 2 ELSE bj END, t.bits
+    FROM (
+      SELECT id, i, best, bi, bj, list_reduce(range(len(bc)), lambda s, j: {{
+          'h': s.h || [{cell}::INT], 'f': s.f || [({f})::INT], 'e': ({e})::INT, 'bits': s.bits || [{bits}::INT]}},
+        {{'h': [0::INT], 'f': []::INT[], 'e': {low}::INT, 'bits': []::INT[]}}) AS t
+      FROM filled JOIN placed USING (id) WHERE i + 1 < len(ac))),
+  tables AS MATERIALIZED (SELECT id, i, bits FROM filled),
+  ends AS MATERIALIZED (SELECT id, best, bi, bj FROM filled JOIN placed USING (id) WHERE i + 1 = len(ac)),
+  walked AS (
+    SELECT id, best, bi AS i, bj AS j, 0 AS st, 0 AS same, 0 AS other, 0 AS ga, 0 AS gb, false AS done FROM ends WHERE best > 0
+    UNION ALL
+    SELECT id, best,
+      CASE WHEN st = 1 OR (st = 0 AND bit & 3 = 2) THEN i - 1 ELSE i END, CASE WHEN st = 2 OR (st = 0 AND bit & 3 = 2) THEN j - 1 ELSE j END,
+      CASE WHEN st = 0 THEN CASE WHEN bit & 3 <> 0 THEN 0 WHEN bit & 4 <> 0 THEN 1 ELSE 2 END
+           WHEN st = 1 THEN CASE WHEN bit & 8 <> 0 THEN 0 ELSE 1 END ELSE CASE WHEN bit & 16 <> 0 THEN 0 ELSE 2 END END,
+      same + (st = 0 AND bit & 3 = 2 AND x = y)::INT, other + (st = 0 AND bit & 3 = 2 AND x <> y)::INT, ga + (st = 2)::INT, gb + (st = 1)::INT,
+      st = 0 AND (bit & 1 = 1 OR (bit & 2 = 2 AND (i = 0 OR j = 0)))
+    FROM (SELECT w.*, t.bits[j + 1] AS bit, ac[w.i + 1] AS x, bc[j + 1] AS y FROM walked w JOIN tables t ON t.id = w.id AND t.i = w.i JOIN placed p ON p.id = w.id WHERE NOT done)),
+  found AS MATERIALIZED (
+    SELECT a, b, best AS score, same + other + ga + gb AS len, same, other AS mismatches, (same + other + gb) / length(a) AS a_cov, (same + other + ga) / length(b) AS b_cov,
+      list_sum(list_transform(ac, lambda x: mat[x * 25 + 1])) AS top
+    FROM walked JOIN placed USING (id) WHERE done),
+  passed AS MATERIALIZED (SELECT *, same / len AS identity FROM found WHERE score >= top * 0.30 * 0.40 AND same / len >= 0.30),
+  -- searched with q or, on the way back, with r
+  forward AS MATERIALIZED (
+    SELECT q, r, identity, len, mismatches, CASE WHEN length(q) <= length(r) THEN a_cov ELSE b_cov END AS q_cov, CASE WHEN length(q) <= length(r) THEN b_cov ELSE a_cov END AS r_cov
+    FROM near JOIN passed ON a = CASE WHEN length(q) <= length(r) THEN q ELSE r END AND b = CASE WHEN length(q) <= length(r) THEN r ELSE q END),
+  backward AS MATERIALIZED (
+    SELECT q, r, identity, a_cov, b_cov FROM near JOIN passed ON a = CASE WHEN length(r) <= length(q) THEN r ELSE q END AND b = CASE WHEN length(r) <= length(q) THEN q ELSE r END),
+  hits AS MATERIALIZED (
+    SELECT qp.locus AS query_locus, qp.product AS query_product, qp.ord AS q_ord, rp.locus AS ref_locus, rp.product AS ref_product, rp.genome AS ref_file, rp.ord AS r_ord,
+      q AS query_sequence, r AS ref_sequence, mismatches, identity, greatest(q_cov, r_cov) AS coverage, least(q_cov, r_cov) AS worse, len AS alignment_length,
+      length(q) AS query_length, length(r) AS ref_length
+    FROM forward JOIN qp ON qp.s = q JOIN rp ON rp.s = r)"""
+    report = (
+        "query_locus, query_product, ref_locus, ref_product, ref_file, query_sequence, ref_sequence, mismatches,"
+        " round(identity * 100, 2) AS identity_pct, round({0} * 100, 2) AS coverage_pct, alignment_length, query_length, ref_length"
+    )
+    best = "SELECT * FROM hits WHERE coverage >= 0.5 QUALIFY row_number() OVER (PARTITION BY query_locus, ref_file ORDER BY identity DESC, r_ord) = 1"
+    back = """SELECT rp.genome AS ref_file, rp.locus AS ref_locus, qp.locus AS query_locus FROM backward JOIN qp ON qp.s = q JOIN rp ON rp.s = r
+              WHERE greatest(a_cov, b_cov) >= 0.5 QUALIFY row_number() OVER (PARTITION BY rp.genome, rp.locus ORDER BY identity DESC, qp.ord) = 1"""
+    return {
+        "peptide_homologs": f"{base} SELECT {report.format('coverage')} FROM hits WHERE coverage >= 0.5",
+        "peptide_homologs_max": f"{base} SELECT {report.format('worse')} FROM hits WHERE worse >= 0.5 AND query_length / ref_length BETWEEN 0.5 AND 2.0",
+        "peptide_best_hits": f"{base} SELECT query_locus, ref_file, ref_locus, round(identity, 6) AS identity, alignment_length, mismatches, round(coverage, 6) AS coverage FROM ({best})",
+        "peptide_rbh": f"{base} SELECT {report.format('coverage')} FROM ({best}) JOIN ({back}) USING (ref_file, ref_locus, query_locus)",
+        "peptide_summary": f"""{base} SELECT (SELECT count(*) FROM qp) AS queries, (SELECT min(length(s)) FROM qp) AS min_length, (SELECT max(length(s)) FROM qp) AS max_length,
+            count(*) AS hits, count(DISTINCT query_locus) AS queries_with_hits, round(count(DISTINCT query_locus) / (SELECT count(*) FROM qp) * 100, 6) AS pct_with_hits,
+            round(min(identity), 6) AS min_identity, round(max(identity), 6) AS max_identity, round(min(coverage), 6) AS min_coverage, round(max(coverage), 6) AS max_coverage
+            FROM hits WHERE coverage >= 0.5""",
+    }
+
+
 def file_sql() -> dict[str, str]:
     records = sql("proteins", "SELECT locus_tag AS id, locus_tag || ' ' || product AS description, translation AS seq FROM proteins WHERE translation <> ''")
     genbank = sql(
@@ -978,5 +1074,5 @@ def file_sql() -> dict[str, str]:
 def all_sql() -> dict[str, str]:
     return {
         **annotation_sql(), **interval_sql(), **upstream_sql(), **motif_sql(), **kmer_sql(),
-        **protein_sql(), **region_sql(), **search_sql(), **graph_sql(), **loci_sql(), **record_sql(), **file_sql(),
+        **protein_sql(), **region_sql(), **search_sql(), **graph_sql(), **loci_sql(), **record_sql(), **file_sql(), **alignment_sql(),
     }

@@ -512,6 +512,40 @@ def _(spark, sf):
     return ho.hit_report(hits)
 
 
+# Default thresholds on proteins short enough for SQL to align.
+
+
+def _peptide_hits(spark, sf, mode="min"):
+    return ho.find_homologs(ho.protein_table(V.peptides(spark, sf, "benchmark"), min_length=10), ho.protein_table(V.peptides(spark, sf)), coverage_mode=mode)
+
+
+@query("peptide_homologs")
+def _(spark, sf):
+    return ho.hit_report(_peptide_hits(spark, sf))
+
+
+@query("peptide_homologs_max")
+def _(spark, sf):
+    return ho.hit_report(_peptide_hits(spark, sf, "max"))
+
+
+@query("peptide_best_hits")
+def _(spark, sf):
+    best = ho.best_hits(_peptide_hits(spark, sf))
+    return best.select("query_locus", "ref_file", "ref_locus", "identity", "alignment_length", "mismatches", "coverage")
+
+
+@query("peptide_rbh")
+def _(spark, sf):
+    return ho.hit_report(ho.reciprocal_best_hits(V.peptides(spark, sf, "benchmark"), V.peptides(spark, sf)))
+
+
+@query("peptide_summary")
+def _(spark, sf):
+    q = ho.protein_table(V.peptides(spark, sf, "benchmark"), min_length=10)
+    return ho.search_summary(q, ho.find_homologs(q, ho.protein_table(V.peptides(spark, sf))))
+
+
 @query("exact_match")
 def _(spark, sf):
     p = V.probes(spark, sf).select(
