@@ -273,7 +273,8 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUA
     # the same join at every size, as labels grow with the documents; only texts that may be
     # trusted travel to it
     names = settled(trusted.where(~fold).select("doc_id"))
-    learn = possible(docs.where(~fold).select("doc_id", "text"), "doc_id", names).join(names.hint("merge"), "doc_id", "left_semi")
+    # (an inner join with distinct names: a semi-join would be pushed below the filter)
+    learn = possible(docs.where(~fold).select("doc_id", "text"), "doc_id", names).join(names.hint("merge"), "doc_id").select("text")
     scored = settled(perplexities(docs, tables(learn, order), ("doc_id", "lang")))
     held = scored.where(fold & F.col("bits").isNotNull()).join(trusted.where(fold).select("doc_id"), "doc_id", "left_semi")
     steps = held.select(F.explode(F.array(F.struct("lang", F.lit(False).alias("any")), F.struct(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("any")))).alias("s"), F.ceil(F.col("bits") * 1000).alias("bin"))
