@@ -11,7 +11,7 @@ from ..functions import annot as A
 from ..functions import seq as S
 from ..plans.ordered import running_count
 from ..session import spread
-from .kmers import windows_of
+from .kmers import TILE
 
 ANCHOR = 8
 
@@ -40,16 +40,15 @@ def containing(subjects: DataFrame, probes: DataFrame, key: Sequence[str]) -> Da
     """
     anchored = probes.select(
         "probe_ord", "probe", "core",
-        F.substring("core", 1, ANCHOR).alias("word"),
+        F.upper(F.substring("core", 1, ANCHOR)).alias("word"),
     )
-    found = None
-    for n in sorted(r[0] for r in anchored.select(F.length("word")).distinct().collect()):
-        words = windows_of(subjects.select(*key, F.upper("seq").alias("seq")), n, list(key))
-        anchors = anchored.where(F.length("word") == n).withColumn("word", F.upper("word"))
-        pairs = words.join(anchors, "word").drop("word").distinct()
-        found = pairs if found is None else found.unionByName(pairs)
-    if found is None:
+    lengths = sorted(r[0] for r in anchored.select(F.length("word")).distinct().collect())  # 1 to ANCHOR
+    if not lengths:
         raise ValueError("no valid probe")
+    # words of every anchor length from one pass over tiles that overlap by the longest
+    tiles = subjects.select(*key, F.explode(S.tiles(F.upper("seq"), TILE, lengths[-1] - 1)).alias("_tile"))
+    words = tiles.select(*key, F.explode(F.array_distinct(F.concat(*[S.windows("_tile", n) for n in lengths]))).alias("word"))
+    found = words.join(anchored, "word").drop("word").distinct()
     return (
         found.join(subjects.select(*key, "seq"), list(key))
         .where(F.contains("seq", F.col("core")))

@@ -7,6 +7,7 @@ ones it needs through ``sql``.
 from __future__ import annotations
 
 from ..functions.align import RESIDUES, protein_scheme
+from ..operators.annotation import PREVIEW
 from .bioviews import ALPHABET, CONTIG_LENGTH, PEPTIDE, TO_DNA, TO_PROTEIN
 
 _LETTERS = "regexp_replace(lower(text), '[^a-z]', '', 'g')"
@@ -475,6 +476,8 @@ def _motif_hits(src, regex, width, idcols, n):
     SELECT * FROM {tried("+", 0, "s", "i")} UNION ALL SELECT * FROM {tried("-", 1, rc, f"len - i - {width}")}))"""
 
 
+#: Far more frequent in the mapped texts than its letters make likely.
+REPEATED_MOTIF = "TAGCGCAC"
 _MOTIF_RE = "T[GT][GC]AC[AG]"
 
 
@@ -489,32 +492,34 @@ _P = "T * (G + T) * (C + G) * A * C * (A + G)"
 
 def motif_sql() -> dict[str, str]:
     out = {}
-    scan = (
+    scan_of = lambda regex, width, p: (
         "\n  src AS (SELECT * FROM genes WHERE type = 'CDS'),"
         + _up("src", 150)
         + """,
   u AS (SELECT *, upper(upstream) AS s, coalesce(locus_tag, 'UNANNOTATED_' || record_id || '_' || start0 || '_' || "end") AS lt FROM ups),"""
-        + _motif_hits("u", _MOTIF_RE, 6, "genome, record_id, feat_ord, lt, product, strand AS gstrand, ws, we", "actual")
+        + _motif_hits("u", regex, width, "genome, record_id, feat_ord, lt, product, strand AS gstrand, ws, we", "actual")
         + ","
         + _bg("u")
         + f""",
-  tot AS (SELECT sum(greatest(actual - 6 + 1, 0) * 2) AS windows FROM u),
-  st AS (SELECT {_P} AS p_value, windows, (SELECT count(*) FROM hits) AS hits,
+  tot AS (SELECT sum(greatest(actual - {width} + 1, 0) * 2) AS windows FROM u),
+  st AS (SELECT {p} AS p_value, windows, (SELECT count(*) FROM hits) AS hits,
            (SELECT count(DISTINCT feat_ord) FROM hits) AS genes FROM bg, tot)"""
     )
+    scan = scan_of(_MOTIF_RE, 6, _P)
     agg = "string_agg({0}, ',' ORDER BY rel_pos, so, pos0)"
-    out["motif_scan"] = sql(
-        "contigs genes",
+    table = lambda width: (
         f"""SELECT genome, lt AS "Locus_Tag", record_id AS "Contig", {_strand('gstrand')} AS "Gene_Strand",
               count(*) AS "Motif_Count", {agg.format("rel_pos || '(' || strand || ')'")} AS "Positions_Relative_to_TSS",
-              {agg.format("CAST(CASE WHEN gstrand = 1 THEN ws + pos0 + 1 ELSE we - pos0 - 6 + 1 END AS VARCHAR)")} AS "Genomic_Start",
-              {agg.format("CAST(CASE WHEN gstrand = 1 THEN ws + pos0 + 6 ELSE we - pos0 END AS VARCHAR)")} AS "Genomic_End",
+              {agg.format(f"CAST(CASE WHEN gstrand = 1 THEN ws + pos0 + 1 ELSE we - pos0 - {width} + 1 END AS VARCHAR)")} AS "Genomic_Start",
+              {agg.format(f"CAST(CASE WHEN gstrand = 1 THEN ws + pos0 + {width} ELSE we - pos0 END AS VARCHAR)")} AS "Genomic_End",
               round(any_value(p_value), 6) AS "P_Value",
               round(any_value(least(p_value * windows / st.hits, 1.0)), 6) AS "Q_Value",
               {agg.format("text")} AS "Matched_Sequences", coalesce(product, 'hypothetical protein') AS "Product"
-            FROM hits, st GROUP BY genome, lt, record_id, feat_ord, gstrand, product""",
-        scan,
+            FROM hits, st GROUP BY genome, lt, record_id, feat_ord, gstrand, product"""
     )
+    out["motif_scan"] = sql("contigs genes", table(6), scan)
+    letters = "T * A * G * C * G * C * A * C"
+    out["regulon_alpha"] = sql("contigs genes", f'SELECT * FROM ({table(8)}) WHERE "Q_Value" <= 0.05', scan_of(REPEATED_MOTIF, 8, letters))
     out["scan_stats"] = sql(
         "contigs genes",
         f"""SELECT {", ".join(f"round(bg.{b}, 6) AS {b}" for b in "ACGT")}, CAST(windows AS BIGINT) AS windows, hits, genes,
@@ -1045,6 +1050,82 @@ def alignment_sql() -> dict[str, str]:
     }
 
 
+def plain_sql() -> dict[str, str]:
+    """Modes of operators whose main mode is registered elsewhere."""
+    out = {}
+    rc = REVCOMP.format("fwd")
+    out["spliced_parts"] = sql(
+        "contigs genes",
+        f"""SELECT record_id, feat_ord, CASE WHEN strand = -1 THEN {rc} ELSE fwd END AS dna
+            FROM (SELECT g.record_id, g.feat_ord, g.strand,
+                    CASE g.feat_ord % 3
+                      WHEN 0 THEN substr(seq, start0 + 1, n // 3) || substr(seq, "end" - n // 3 + 1, n // 3)
+                      WHEN 1 THEN substr(seq, start0 + 1, n // 5) || substr(seq, start0 + 2 * (n // 5) + 1, n // 5) || substr(seq, "end" - n // 5 + 1, n // 5)
+                      ELSE substr(seq, start0 + 1, n) END AS fwd
+                  FROM (SELECT *, "end" - start0 AS n FROM genes WHERE type = 'CDS' AND "end" - start0 >= 5) g
+                  JOIN contigs c ON c.genome = g.genome AND c.record_id = g.record_id)""",
+    )
+    out["first_record"] = sql(
+        "features", "SELECT genome, gene AS locus_tag, arg_min(record_id, record_ord) AS record_id FROM features WHERE gene IS NOT NULL GROUP BY 1, 2"
+    )
+    out["picked_contig"] = sql("contigs", "SELECT genome, record_id, length FROM contigs WHERE contains(record_id, 'doc0')")
+    mature = kmer_sql()["mature_core"].replace(CTE["proteins"], CTE["probes"]).replace("FROM proteins)", "FROM probes)")
+    shown = """CASE WHEN n > 3 THEN array_to_string(thrice[1:3], ',') || ',_and_' || (n - 3) || '_more' ELSE array_to_string(thrice[1:n], ',') END"""
+    head = "'>' || display_locus || ' | ' || seq_id || ' | ' || product || ' | [Homolog_of_' || targets || ']'"
+    out["exact_match_mature"] = sql(
+        "proteins probes",
+        f"""SELECT genome, display_locus, seq_id, product, n AS n_targets, targets, {head} AS header
+            FROM (SELECT genome, locus_tag AS display_locus, record_id AS seq_id, product, n, {shown} AS targets
+              FROM (SELECT p.genome, p.locus_tag, p.record_id, p.product, count(*) AS n, list(q.locus_tag ORDER BY q.record_ord) AS thrice
+                    FROM proteins p JOIN (SELECT c.locus_tag, c.core, q.record_ord FROM cores c JOIN probes q USING (locus_tag) WHERE core <> '') q
+                      ON contains(p.translation, q.core) GROUP BY 1, 2, 3, 4))""",
+        f"\n  cores AS ({mature})",
+    )
+    out["exact_variants"] = sql(
+        "proteins probes",
+        f"""SELECT genome, display_locus, seq_id, product, n AS n_targets, targets, {head} AS header
+            FROM (SELECT genome, CASE WHEN variants = 1 THEN locus ELSE locus || '_isoform' || number END AS display_locus, seq_id, product, n, {shown} AS targets
+              FROM (SELECT *, len(names) * copies AS n, names || names || names AS thrice, count(*) OVER (PARTITION BY genome, locus) AS variants,
+                      row_number() OVER (PARTITION BY genome, locus ORDER BY place) AS number
+                    FROM (SELECT genome, 'L' || (record_ord % 7) AS locus, s, min(record_ord) AS place, arg_min(record_id, record_ord) AS seq_id,
+                            arg_min(product, record_ord) AS product, count(*) AS copies, any_value(names) AS names
+                          FROM proteins JOIN held ON translation = s GROUP BY 1, 2, 3)))""",
+        """
+  held AS (SELECT p.s, list(q.locus_tag ORDER BY q.record_ord) AS names FROM (SELECT DISTINCT translation AS s FROM proteins) p
+    JOIN probes q ON contains(p.s, q.translation) AND q.translation <> '' GROUP BY 1)""",
+    )
+    out["upstream_any_type"] = sql(
+        "contigs genes",
+        'SELECT genome, record_id, locus, type, start0, "end", strand, other_coords, actual, upstream FROM ups',
+        """
+  wanted AS (SELECT DISTINCT locus_tag FROM genes WHERE contains(product, 'gear') AND locus_tag IS NOT NULL),
+  cand AS (SELECT *, locus_tag AS locus FROM genes SEMI JOIN wanted USING (locus_tag)),
+  oth AS (SELECT genome, locus, record_ord, count(DISTINCT (record_id, type, start0, "end", coalesce(strand, 0))) - 1 AS other_coords FROM cand GROUP BY 1, 2, 3),
+  best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY genome, locus ORDER BY record_ord, feat_ord) = 1),
+  src AS (SELECT b.*, o.other_coords FROM best b JOIN oth o ON b.genome = o.genome AND b.locus = o.locus AND b.record_ord = o.record_ord WHERE strand IN (1, -1)),"""
+        + _up("src", 100),
+    )
+    folded = annotation_sql()["isoform_collapse"]
+    out["locus_listing"] = folded[: folded.rindex("SELECT genome, record_ord, feat_ord")] + (
+        "SELECT *, count(*) OVER () AS total_loci, CAST(sum(collapsed) OVER () AS BIGINT) AS total_folded FROM ("
+        + folded[folded.rindex("SELECT genome, record_ord, feat_ord") :] + f") ORDER BY genome, record_ord, feat_ord LIMIT {PREVIEW}"
+    )
+    out["tsv_sink"] = annotation_sql()["product_counts"]
+    out["ani_file"] = search_sql()["species_match"]
+    out["locus_files"] = sql(
+        "genes",
+        """SELECT 'list' AS file, locus_tag AS locus FROM (SELECT DISTINCT locus_tag FROM genes WHERE locus_tag IS NOT NULL)
+           UNION ALL SELECT 'done', locus_tag FROM (SELECT DISTINCT locus_tag FROM genes WHERE locus_tag IS NOT NULL AND feat_ord % 2 = 0)""",
+    )
+    slices = region_sql()["region_slice"]
+    wrapped = "array_to_string(list_transform(range(0, (length(sequence) + 59) // 60), lambda i: substr(sequence, i * 60 + 1, 60)), chr(10))"
+    out["region_fasta"] = slices[: slices.rindex("SELECT record_id, c1, c2")] + (
+        f"""SELECT s.record_id AS region_id, '>' || s.record_id || ':' || label || ' ' || format('{{:,}}', length(sequence)) || ' bp ' || organism || ' genomic region' || chr(10) || {wrapped} AS value
+            FROM ({slices[slices.rindex("SELECT record_id, c1, c2") :]}) s JOIN contigs c ON c.record_id = s.record_id"""
+    )
+    return out
+
+
 def file_sql() -> dict[str, str]:
     records = sql("proteins", "SELECT locus_tag AS id, locus_tag || ' ' || product AS description, translation AS seq FROM proteins WHERE translation <> ''")
     genbank = sql(
@@ -1074,5 +1155,5 @@ def file_sql() -> dict[str, str]:
 def all_sql() -> dict[str, str]:
     return {
         **annotation_sql(), **interval_sql(), **upstream_sql(), **motif_sql(), **kmer_sql(),
-        **protein_sql(), **region_sql(), **search_sql(), **graph_sql(), **loci_sql(), **record_sql(), **file_sql(), **alignment_sql(),
+        **protein_sql(), **region_sql(), **search_sql(), **graph_sql(), **loci_sql(), **record_sql(), **file_sql(), **alignment_sql(), **plain_sql(),
     }

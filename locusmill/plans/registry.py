@@ -30,7 +30,7 @@ from ..sources import fasta as fa
 from ..sources import genbank as gb
 from ..sources import tables as tb
 from . import bioviews as V
-from .oracle import KEYWORDS
+from .oracle import KEYWORDS, REPEATED_MOTIF
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -644,6 +644,98 @@ def _(spark, sf):
     return rg.gene_dna_records(rows, rg.gene_index(g)).drop("genome")
 
 
+# Further modes ------------------------------------------------------------------
+
+
+@query("regulon_alpha")
+def _(spark, sf):
+    return mo.regulon(V.genes(spark, sf), V.contigs(spark, sf), REPEATED_MOTIF, 150, alpha=0.05)
+
+
+@query("spliced_parts")
+def _(spark, sf):
+    g = V.genes(spark, sf).where((F.col("type") == "CDS") & (F.col("end") - F.col("start0") >= 5))
+    n, s, e = F.col("end") - F.col("start0"), F.col("start0"), F.col("end")
+    third, fifth = F.floor(n / 3).cast("int"), F.floor(n / 5).cast("int")
+    part = lambda a, b: F.struct(a.cast("int").alias("start0"), b.cast("int").alias("end"), F.col("strand").alias("strand"))
+    two, three = F.array(part(s, s + third), part(e - third, e)), F.array(part(s, s + fifth), part(s + 2 * fifth, s + 3 * fifth), part(e - fifth, e))
+    # in reading order; one feature in three is in one part
+    read = lambda ps: F.when(F.col("strand") == -1, F.reverse(ps)).otherwise(ps)
+    parts = F.when(F.col("feat_ord") % 3 == 0, read(two)).when(F.col("feat_ord") % 3 == 1, read(three))
+    got = rg.spliced(g.withColumn("parts", parts), V.contigs(spark, sf), ["genome", "record_id", "feat_ord"])
+    return got.select("record_id", "feat_ord", "dna")
+
+
+@query("first_record")
+def _(spark, sf):
+    g = V.features(spark, sf).where("gene IS NOT NULL").withColumn("locus_tag", F.col("gene"))
+    return rg.first_record_with(g, g.select("locus_tag"))
+
+
+@query("picked_contig")
+def _(spark, sf):
+    return rg.pick_contig(V.contigs(spark, sf), "doc0").select("genome", "record_id", "length")
+
+
+def _probe_fasta(spark, sf):
+    return V.probes(spark, sf).select(F.col("record_ord").alias("rec_ord"), F.col("locus_tag").alias("id"), F.col("translation").alias("seq"))
+
+
+@query("exact_match_mature")
+def _(spark, sf):
+    return ex.exact_homologs(V.proteins(spark, sf), ex.load_probes(_probe_fasta(spark, sf))).drop("protein")
+
+
+@query("exact_variants")
+def _(spark, sf):
+    p = V.proteins(spark, sf).withColumn("locus_tag", F.concat(F.lit("L"), (F.col("record_ord") % 7).cast("string")))
+    return ex.exact_homologs(p, ex.load_probes(_probe_fasta(spark, sf), raw=True)).drop("protein")
+
+
+@query("upstream_any_type")
+def _(spark, sf):
+    g = V.genes(spark, sf)
+    loci = g.where(F.contains(F.col("product"), F.lit("gear"))).select(F.col("locus_tag").alias("locus"))
+    return up.upstream_of_locus(g, V.contigs(spark, sf), loci.where("locus is not null"), 100, any_type=True)
+
+
+@query("locus_listing")
+def _(spark, sf):
+    return ann.preview(V.genes(spark, sf))
+
+
+@query("tsv_sink")
+def _(spark, sf):
+    path = scratch(spark, "tsv")
+    tb.write_tsv(ann.product_counts(V.features(spark, sf), min_count=3), path)
+    return spark.read.csv(path, sep="\t", header=True, schema="Product string, Count long")
+
+
+@query("ani_file")
+def _(spark, sf):
+    path = scratch(spark, "ani")
+    tb.write_text(_ani_lines(spark, sf), path)
+    return tb.read_ani(spark, path)
+
+
+@query("locus_files")
+def _(spark, sf):
+    """A locus list with a comment in each file, and a list of what is done."""
+    paths, tags = [scratch(spark, "loci") for _ in range(2)], V.genes(spark, sf).where("locus_tag IS NOT NULL")
+    listed = tags.select(F.explode(F.array(F.col("locus_tag"), F.lit("# note"), F.concat(F.lit("  "), "locus_tag"))).alias("value"))
+    tb.write_text(listed, paths[0])
+    tb.write_text(tags.where("feat_ord % 2 = 0").select(F.col("locus_tag").alias("value")), paths[1])
+    one, two = tb.read_locus_list(spark, paths[0]).select("locus"), tb.read_progress(spark, paths[1]).select(F.col("id").alias("locus"))
+    return one.select(F.lit("list").alias("file"), "locus").unionByName(two.select(F.lit("done").alias("file"), "locus"))
+
+
+@query("region_fasta")
+def _(spark, sf):
+    _, c, r = _ranges(spark, sf)
+    got = rg.region_sequences(r, c).join(c.select("genome", "record_id", "organism"), ["genome", "record_id"])
+    return rg.region_fasta(got)
+
+
 # Files and SQL text -------------------------------------------------------------
 
 
@@ -780,13 +872,17 @@ def _(spark, sf):
 
 @query("species_match")
 def _(spark, sf):
+    return tb.parse_ani(_ani_lines(spark, sf))
+
+
+def _ani_lines(spark, sf):
     li = V.table(spark, sf, "lineitem")
     line = F.format_string(
         "q/genome_%d.fna\tref/set/genome_%d.fna\t%.2f\t%d\t%d",
         F.col("l_suppkey"), F.col("l_partkey"), 90 + F.col("l_discount") * 100,
         F.col("l_quantity").cast("long"), (F.col("l_linenumber") * 9 - 9).cast("long"),
     )
-    return tb.parse_ani(li.select(line.alias("value")))
+    return li.select(line.alias("value"))
 
 
 @query("locus_map")
