@@ -1050,6 +1050,70 @@ def alignment_sql() -> dict[str, str]:
     }
 
 
+def em_sql() -> dict[str, str]:
+    """Motif discovery step by step: words scored, weighed and added up in SQL."""
+    word, out = "TATAAT", {}
+    rc = REVCOMP.format("word")
+    letter = lambda b: f"CASE {b} WHEN 'A' THEN bg.A WHEN 'C' THEN bg.C WHEN 'G' THEN bg.G ELSE bg.T END"
+
+    def base(w):
+        return f"""
+  u AS MATERIALIZED (SELECT record_ord AS ord, record_id AS id, seq AS s FROM contigs WHERE length >= {w}),{_bg("u")},
+  win AS (
+    SELECT ord, i, word FROM (
+      SELECT ord, unnest(range(1, length(s) - {w} + 2)) AS i, unnest(list_transform(range(1, length(s) - {w} + 2), lambda i: substr(s, i, {w}))) AS word FROM u)
+    WHERE regexp_full_match(word, '[ACGT]+')),
+  ws AS MATERIALIZED (SELECT ord, word, count(*) AS n FROM win GROUP BY 1, 2),
+  words AS MATERIALIZED (SELECT word, {rc} AS rc, n FROM (SELECT word, sum(n) AS n FROM ws GROUP BY 1))"""
+
+    def scores(k, w):
+        one = f"(SELECT x.word, sum(ln(p / ({letter('base')}))) AS f FROM (SELECT word, {{0}} AS t, unnest(range(1, {w + 1})) AS k FROM words) x JOIN pwm{k} ON position = k AND base = t[k], bg GROUP BY 1)"
+        return f"""
+  sc{k} AS MATERIALIZED (SELECT a.word, a.f, b.f AS r, greatest(a.f, b.f) AS best FROM {one.format("word")} a JOIN {one.format("rc")} b ON a.word = b.word),
+  tot{k} AS MATERIALIZED (SELECT ord, sum(n * exp(best)) AS total FROM ws JOIN sc{k} USING (word) GROUP BY 1 HAVING max(best) > 0)"""
+
+    seed = f"SELECT unnest(range(1, 7)) AS position, base, unnest(list_transform(range(1, 7), lambda k: CASE WHEN substr('{word}', k, 1) = base THEN 1.1::DOUBLE ELSE 0.1 END / 1.4)) AS p FROM (VALUES ('A'), ('C'), ('G'), ('T')) v(base)"
+    first = base(6) + f",\n  pwm0 AS MATERIALIZED ({seed})," + scores(0, 6)
+    match = " + ".join(f"ln((CASE WHEN {{0}}[{k}] = z.word[{k}] THEN 1.1::DOUBLE ELSE 0.1 END / 1.4) / ({letter(f'{{0}}[{k}]')}))" for k in (1, 2, 3))
+    out["em_seeds"] = sql(
+        "contigs",
+        f"""SELECT seed AS word, round(sum(CASE WHEN top > 0 THEN ln(total) ELSE 0 END), 3) AS score
+            FROM (SELECT seed, ord, max(best) AS top, sum(n * exp(best)) AS total
+                  FROM ws JOIN (SELECT z.word AS seed, y.word, greatest({match.format("y.word")}, {match.format("y.rc")}) AS best FROM words z, words y, bg) USING (word)
+                  GROUP BY 1, 2) GROUP BY 1""",
+        base(3),
+    )
+    out["em_step"] = sql(
+        "contigs",
+        "SELECT position, base, round(p, 6) AS p, (SELECT round(sum(ln(total)), 3) FROM tot1) AS log_likelihood FROM pwm1",
+        first + """,
+  share AS (SELECT word, sum(n * exp(best) / total) AS x FROM ws JOIN sc0 USING (word) JOIN tot0 USING (ord) GROUP BY 1),
+  read AS (SELECT x, CASE WHEN r > f + 1e-9 THEN rc ELSE word END AS w FROM share JOIN sc0 USING (word) JOIN words USING (word)),
+  grown AS (
+    SELECT position, base, 0.1 + coalesce(c, 0) AS c FROM (SELECT position, base FROM pwm0)
+    LEFT JOIN (SELECT k AS position, w[k] AS base, sum(x) AS c FROM (SELECT *, unnest(range(1, 7)) AS k FROM read) GROUP BY 1, 2) USING (position, base)),
+  pwm1 AS MATERIALIZED (SELECT position, base, c / sum(c) OVER (PARTITION BY position) AS p FROM grown),""" + scores(1, 6),
+    )
+    instance = first + """,
+  spots AS (SELECT ord, i, word, f, r, best FROM win JOIN sc0 USING (word)),
+  inst AS MATERIALIZED (
+    SELECT a.ord, min(i) AS i FROM spots a JOIN (SELECT ord, max(best) AS m FROM spots GROUP BY 1) x ON a.ord = x.ord AND best >= m - 1e-9 GROUP BY 1),
+  chosen AS MATERIALIZED (SELECT spots.* FROM spots JOIN inst USING (ord, i))"""
+    out["em_instances"] = sql(
+        "contigs",
+        """SELECT ord, id, i AS position, CASE WHEN r > f + 1e-9 THEN '-' ELSE '+' END AS strand, word AS sequence, round(best, 6) AS score, best <= 0 AS low_confidence
+           FROM chosen JOIN u USING (ord)""",
+        instance,
+    )
+    out["em_mask"] = sql(
+        "contigs",
+        """SELECT id, md5(CASE WHEN best > 0 THEN substr(s, 1, i - 1) || repeat('N', 6) || substr(s, i + 6) ELSE s END) AS masked
+           FROM u LEFT JOIN chosen USING (ord)""",
+        instance,
+    )
+    return out
+
+
 def plain_sql() -> dict[str, str]:
     """Modes of operators whose main mode is registered elsewhere."""
     out = {}
@@ -1155,5 +1219,5 @@ def file_sql() -> dict[str, str]:
 def all_sql() -> dict[str, str]:
     return {
         **annotation_sql(), **interval_sql(), **upstream_sql(), **motif_sql(), **kmer_sql(),
-        **protein_sql(), **region_sql(), **search_sql(), **graph_sql(), **loci_sql(), **record_sql(), **file_sql(), **alignment_sql(), **plain_sql(),
+        **protein_sql(), **region_sql(), **search_sql(), **graph_sql(), **loci_sql(), **record_sql(), **file_sql(), **alignment_sql(), **plain_sql(), **em_sql(),
     }

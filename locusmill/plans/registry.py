@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -590,6 +591,51 @@ def _(spark, sf):
     return out.drop("score")
 
 
+# The steps of motif discovery, each over all contigs
+
+EM_WORD = "TATAAT"
+
+
+def _em_input(spark, sf, width):
+    seqs = em.prepare(
+        V.contigs(spark, sf).where(F.col("length") >= width).select(F.col("record_ord").alias("ord"), F.col("record_id").alias("id"), "seq"), width
+    )
+    row = mo.background(seqs).first()["bg"]
+    return seqs, np.array([row[b] for b in em.BASES])
+
+
+@query("em_seeds")
+def _(spark, sf):
+    seqs, bg = _em_input(spark, sf, 3)
+    return em.seed_scores(seqs, 3, bg, 0.1, 0.0).select("word", F.round("score", 3).alias("score"))
+
+
+@query("em_step")
+def _(spark, sf):
+    """The PWM after one step from a word, and its log-likelihood."""
+    seqs, bg = _em_input(spark, sf, len(EM_WORD))
+    pwm, ll = em.run_em(seqs, em.seed_pwm(EM_WORD, 0.1)[None], bg, 1, 1e-6, 0.1, 0.0)
+    rows = [(k + 1, b, float(pwm[0, i, k]), round(float(ll[0]), 3)) for i, b in enumerate(em.BASES) for k in range(len(EM_WORD))]
+    return spark.createDataFrame(rows, "position int, base string, p double, log_likelihood double")
+
+
+def _em_instances(spark, sf):
+    seqs, bg = _em_input(spark, sf, len(EM_WORD))
+    return seqs, em.best_instances(seqs, em.seed_pwm(EM_WORD, 0.1), bg)
+
+
+@query("em_instances")
+def _(spark, sf):
+    _, got = _em_instances(spark, sf)
+    return got.where(F.col("score") > F.lit(float("-inf"))).withColumn("low_confidence", F.col("score") <= 0.0)
+
+
+@query("em_mask")
+def _(spark, sf):
+    seqs, got = _em_instances(spark, sf)
+    return em.mask(seqs, got, len(EM_WORD), 0.0).select("id", F.md5("seq").alias("masked"))
+
+
 # Regions ------------------------------------------------------------------------
 
 
