@@ -955,19 +955,48 @@ def record_sql() -> dict[str, str]:
     }
 
 
-def alignment_sql() -> dict[str, str]:
-    """Local alignments by recursion: a row of the table a step on the way down, a cell on the way back."""
-    scores = ", ".join(str(int(x)) for x in protein_scheme().matrix.reshape(-1))
+def _local_alignments(score: str, gap_open: int, gap_more: int) -> str:
+    """Tables of the pairs ``placed`` (id, a, b and their letters ac, bc), filled a row a step, and
+    the ways back, walked a cell a step: ``ends`` and ``walked``. ``score``: of letters i + 1 and j."""
     low = -100000000
-    code = f"list_transform(string_split({{0}}, ''), lambda x: (strpos('{RESIDUES}', x) - 1)::INT)"
-    pair = "(h[j + 1] + mat[ac[i + 2] * 24 + bc[j + 1] + 1])"
-    f = "greatest(h[j + 2] - 11, f[j + 1] - 1)"
-    e = f"(CASE WHEN j = 0 THEN {low} ELSE greatest(s.h[j + 1] - 11, s.e - 1) END)"
+    pair = f"(h[j + 1] + {score})"
+    f = f"greatest(h[j + 2] + {gap_open}, f[j + 1] + {gap_more})"
+    e = f"(CASE WHEN j = 0 THEN {low} ELSE greatest(s.h[j + 1] + {gap_open}, s.e + {gap_more}) END)"
     cell = f"greatest(0, {pair}, {f}, {e})"
     bits = (
-        f"((({cell}) = 0)::INT + 2 * (({cell}) = {pair})::INT + 4 * (({cell}) = {f})::INT + 8 * ({f} = h[j + 2] - 11)::INT"
-        f" + 16 * ({e} = s.h[j + 1] - 11)::INT)"
+        f"((({cell}) = 0)::INT + 2 * (({cell}) = {pair})::INT + 4 * (({cell}) = {f})::INT + 8 * ({f} = h[j + 2] + {gap_open})::INT"
+        f" + 16 * ({e} = s.h[j + 1] + {gap_open})::INT)"
     )
+    return f"""
+  filled AS (
+    SELECT id, -1 AS i, list_transform(range(len(bc) + 1), lambda x: 0::INT) AS h, list_transform(range(len(bc)), lambda x: {low}::INT) AS f,
+      0::INT AS best, -1 AS bi, -1 AS bj, []::INT[] AS bits FROM placed
+    UNION ALL
+    SELECT id, i + 1, t.h, t.f, greatest(best, list_max(t.h)), CASE WHEN list_max(t.h) > best THEN i + 1 ELSE bi END,
+      CASE WHEN list_max(t.h) > best THEN list_position(t.h, list_max(t.h)) - 2 ELSE bj END, t.bits
+    FROM (
+      SELECT id, i, best, bi, bj, list_reduce(range(len(bc)), lambda s, j: {{
+          'h': s.h || [{cell}::INT], 'f': s.f || [({f})::INT], 'e': ({e})::INT, 'bits': s.bits || [{bits}::INT]}},
+        {{'h': [0::INT], 'f': []::INT[], 'e': {low}::INT, 'bits': []::INT[]}}) AS t
+      FROM filled JOIN placed USING (id) WHERE i + 1 < len(ac))),
+  tables AS MATERIALIZED (SELECT id, i, bits FROM filled),
+  ends AS MATERIALIZED (SELECT id, best, bi, bj FROM filled JOIN placed USING (id) WHERE i + 1 = len(ac)),
+  walked AS (
+    SELECT id, best, bi AS i, bj AS j, 0 AS st, 0 AS same, 0 AS other, 0 AS ga, 0 AS gb, false AS done FROM ends WHERE best > 0
+    UNION ALL
+    SELECT id, best,
+      CASE WHEN st = 1 OR (st = 0 AND bit & 3 = 2) THEN i - 1 ELSE i END, CASE WHEN st = 2 OR (st = 0 AND bit & 3 = 2) THEN j - 1 ELSE j END,
+      CASE WHEN st = 0 THEN CASE WHEN bit & 3 <> 0 THEN 0 WHEN bit & 4 <> 0 THEN 1 ELSE 2 END
+           WHEN st = 1 THEN CASE WHEN bit & 8 <> 0 THEN 0 ELSE 1 END ELSE CASE WHEN bit & 16 <> 0 THEN 0 ELSE 2 END END,
+      same + (st = 0 AND bit & 3 = 2 AND x = y)::INT, other + (st = 0 AND bit & 3 = 2 AND x <> y)::INT, ga + (st = 2)::INT, gb + (st = 1)::INT,
+      st = 0 AND (bit & 1 = 1 OR (bit & 2 = 2 AND (i = 0 OR j = 0)))
+    FROM (SELECT w.*, t.bits[j + 1] AS bit, ac[w.i + 1] AS x, bc[j + 1] AS y FROM walked w JOIN tables t ON t.id = w.id AND t.i = w.i JOIN placed p ON p.id = w.id WHERE NOT done))"""
+
+
+def alignment_sql() -> dict[str, str]:
+    """Local alignments of short proteins at the default thresholds."""
+    scores = ", ".join(str(int(x)) for x in protein_scheme().matrix.reshape(-1))
+    code = f"list_transform(string_split({{0}}, ''), lambda x: (strpos('{RESIDUES}', x) - 1)::INT)"
     word = f"translate(w, '{ALPHABET}', '{TO_PROTEIN}')"
 
     def peptides(name, source, genome, number):
@@ -992,29 +1021,7 @@ def alignment_sql() -> dict[str, str]:
     FROM (SELECT DISTINCT a, b FROM (
       SELECT CASE WHEN length(q) <= length(r) THEN q ELSE r END AS a, CASE WHEN length(q) <= length(r) THEN r ELSE q END AS b FROM near
       UNION ALL SELECT r, q FROM near WHERE length(q) = length(r)))),
-  filled AS (
-    SELECT id, -1 AS i, list_transform(range(len(bc) + 1), lambda x: 0::INT) AS h, list_transform(range(len(bc)), lambda x: {low}::INT) AS f,
-      0::INT AS best, -1 AS bi, -1 AS bj, []::INT[] AS bits FROM placed
-    UNION ALL
-    SELECT id, i + 1, t.h, t.f, greatest(best, list_max(t.h)), CASE WHEN list_max(t.h) > best THEN i + 1 ELSE bi END,
-      CASE WHEN list_max(t.h) > best THEN list_position(t.h, list_max(t.h)) - 2 ELSE bj END, t.bits
-    FROM (
-      SELECT id, i, best, bi, bj, list_reduce(range(len(bc)), lambda s, j: {{
-          'h': s.h || [{cell}::INT], 'f': s.f || [({f})::INT], 'e': ({e})::INT, 'bits': s.bits || [{bits}::INT]}},
-        {{'h': [0::INT], 'f': []::INT[], 'e': {low}::INT, 'bits': []::INT[]}}) AS t
-      FROM filled JOIN placed USING (id) WHERE i + 1 < len(ac))),
-  tables AS MATERIALIZED (SELECT id, i, bits FROM filled),
-  ends AS MATERIALIZED (SELECT id, best, bi, bj FROM filled JOIN placed USING (id) WHERE i + 1 = len(ac)),
-  walked AS (
-    SELECT id, best, bi AS i, bj AS j, 0 AS st, 0 AS same, 0 AS other, 0 AS ga, 0 AS gb, false AS done FROM ends WHERE best > 0
-    UNION ALL
-    SELECT id, best,
-      CASE WHEN st = 1 OR (st = 0 AND bit & 3 = 2) THEN i - 1 ELSE i END, CASE WHEN st = 2 OR (st = 0 AND bit & 3 = 2) THEN j - 1 ELSE j END,
-      CASE WHEN st = 0 THEN CASE WHEN bit & 3 <> 0 THEN 0 WHEN bit & 4 <> 0 THEN 1 ELSE 2 END
-           WHEN st = 1 THEN CASE WHEN bit & 8 <> 0 THEN 0 ELSE 1 END ELSE CASE WHEN bit & 16 <> 0 THEN 0 ELSE 2 END END,
-      same + (st = 0 AND bit & 3 = 2 AND x = y)::INT, other + (st = 0 AND bit & 3 = 2 AND x <> y)::INT, ga + (st = 2)::INT, gb + (st = 1)::INT,
-      st = 0 AND (bit & 1 = 1 OR (bit & 2 = 2 AND (i = 0 OR j = 0)))
-    FROM (SELECT w.*, t.bits[j + 1] AS bit, ac[w.i + 1] AS x, bc[j + 1] AS y FROM walked w JOIN tables t ON t.id = w.id AND t.i = w.i JOIN placed p ON p.id = w.id WHERE NOT done)),
+  {_local_alignments("mat[ac[i + 2] * 24 + bc[j + 1] + 1]", -11, -1).strip()},
   found AS MATERIALIZED (
     SELECT a, b, best AS score, same + other + ga + gb AS len, same, other AS mismatches, (same + other + gb) / length(a) AS a_cov, (same + other + ga) / length(b) AS b_cov,
       list_sum(list_transform(ac, lambda x: mat[x * 25 + 1])) AS top
@@ -1114,6 +1121,42 @@ def em_sql() -> dict[str, str]:
     return out
 
 
+def redundancy_sql() -> dict[str, str]:
+    """Complete linkage, a region a step: the first cluster all of whose members are alike."""
+    near = _local_alignments("CASE WHEN ac[i + 2] = bc[j + 1] THEN 1 ELSE -1 END", -2, -1).strip()
+    body = """SELECT genome, record_id, feat_ord, own AS representative,
+                CASE WHEN own <> feat_ord THEN round(CASE WHEN first = own THEN 1.0 ELSE identity END, 6) END AS identity,
+                CASE WHEN own <> feat_ord THEN round(CASE WHEN first = own THEN 1.0 ELSE coverage END, 6) END AS coverage
+              FROM (SELECT g.*, first, coalesce(rep, first) AS own FROM rows g JOIN firsts USING (s) LEFT JOIN reps ON node = first) x
+              LEFT JOIN alike ON lo = own AND hi = first"""
+    # 18 letters or more, of which one in twenty may be in error: ten in a row are shared
+    extra = "\n  src AS (SELECT * FROM genes WHERE type = 'CDS')," + _up("src", 30) + f""",
+  rows AS MATERIALIZED (SELECT genome, record_id, feat_ord, upstream AS s FROM ups WHERE actual >= 20),
+  firsts AS MATERIALIZED (SELECT s, min(feat_ord) AS first FROM rows GROUP BY s),
+  tens AS (SELECT DISTINCT first, s, unnest(list_transform(range(1, length(s) - 8), lambda i: substr(s, i, 10))) AS k FROM firsts),
+  placed AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY lo, hi) AS id, *, string_split(a, '') AS ac, string_split(b, '') AS bc
+    FROM (SELECT DISTINCT x.first AS lo, y.first AS hi, CASE WHEN length(x.s) <= length(y.s) THEN x.s ELSE y.s END AS a, CASE WHEN length(x.s) <= length(y.s) THEN y.s ELSE x.s END AS b
+          FROM tens x JOIN tens y ON x.k = y.k AND x.first < y.first)),
+  {near},
+  alike AS MATERIALIZED (
+    SELECT lo, hi, same / (same + other + ga + gb) AS identity, least((same + other + gb) / length(a), (same + other + ga) / length(b)) AS coverage
+    FROM walked JOIN placed USING (id) WHERE done AND same / (same + other + ga + gb) >= 0.95 AND least((same + other + gb) / length(a), (same + other + ga) / length(b)) >= 0.90),
+  nodes AS MATERIALIZED (
+    SELECT node, row_number() OVER (ORDER BY node) AS k, coalesce(near, []) AS near
+    FROM (SELECT lo AS node FROM alike UNION SELECT hi FROM alike) LEFT JOIN (SELECT hi AS node, list(lo) AS near FROM alike GROUP BY hi) USING (node)),
+  grown AS (
+    SELECT 0::BIGINT AS k, []::STRUCT(rep BIGINT, members BIGINT[])[] AS c
+    UNION ALL
+    SELECT k, CASE WHEN fit = 0 THEN c || [{{'rep': node, 'members': [node]}}]
+                   ELSE list_transform(c, lambda x, i: CASE WHEN i = fit THEN {{'rep': x.rep, 'members': x.members || [node]}} ELSE x END) END
+    FROM (SELECT n.k, c, node, coalesce(list_position(list_transform(c, lambda x: list_has_all(near, x.members)), true), 0) AS fit
+          FROM grown g JOIN nodes n ON n.k = g.k + 1)),
+  reps AS MATERIALIZED (
+    SELECT unnest(x.members) AS node, x.rep FROM (SELECT unnest(c) AS x FROM grown WHERE k = (SELECT count(*) FROM nodes)))"""
+    return {"promoter_dedup_short": sql("contigs genes", body, extra).replace("WITH ", "WITH RECURSIVE ", 1)}
+
+
 def plain_sql() -> dict[str, str]:
     """Modes of operators whose main mode is registered elsewhere."""
     out = {}
@@ -1219,5 +1262,5 @@ def file_sql() -> dict[str, str]:
 def all_sql() -> dict[str, str]:
     return {
         **annotation_sql(), **interval_sql(), **upstream_sql(), **motif_sql(), **kmer_sql(),
-        **protein_sql(), **region_sql(), **search_sql(), **graph_sql(), **loci_sql(), **record_sql(), **file_sql(), **alignment_sql(), **plain_sql(), **em_sql(),
+        **protein_sql(), **region_sql(), **search_sql(), **graph_sql(), **loci_sql(), **record_sql(), **file_sql(), **alignment_sql(), **plain_sql(), **em_sql(), **redundancy_sql(),
     }

@@ -579,6 +579,13 @@ def _(spark, sf):
     return rd.deduplicate(ups, "feat_ord", "upstream", 0.95, 0.90).drop("upstream")
 
 
+@query("promoter_dedup_short")
+def _(spark, sf):
+    g = V.genes(spark, sf).where(F.col("type") == "CDS")
+    ups = up.add_upstream(g, V.contigs(spark, sf), 30).where(F.col("actual") >= 20).select("genome", "record_id", "feat_ord", "upstream")
+    return rd.deduplicate(ups, "feat_ord", "upstream", 0.95, 0.90).drop("upstream")
+
+
 @query("em_motifs")
 def _(spark, sf):
     seqs = V.contigs(spark, sf).where(F.col("length") >= 6).select(
