@@ -448,3 +448,30 @@ def test_word_pairs_of_all_identities(spark, monkeypatch):
         want = {(a, b) for a in sets for b in sets if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= floor}
         got = ho.word_pairs(side("q"), side("r"), identity).collect()
         assert len(got) == len(want) and {(x["q_key"], x["r_key"]) for x in got} == want
+
+
+def test_long_records_in_tiles_of_words(monkeypatch):
+    """A record is weighed tile by tile with the result of the whole table."""
+    rng = random.Random(12)
+    seqs = ["".join(rng.choice("ACGTN" if i else "ACGT") for _ in range(n)) for i, n in enumerate((3000, 0, 5, 40, 700))]
+    bg = np.array([0.3, 0.2, 0.2, 0.3])
+    odds = em.log_odds(np.stack([em.seed_pwm(w, 0.1) for w in ("TATAAT", "GGGCCC", "ACGTAC")]), bg)
+    whole = em.weigh(seqs, odds, 2.0, True)
+    monkeypatch.setattr(em, "WORD_TILE", 7)
+    tiled = em.weigh(seqs, odds, 2.0, True)
+    assert np.allclose(whole[0], tiled[0]) and np.allclose(whole[1], tiled[1]) and np.abs(whole[1]).sum() > 0
+
+
+def test_seeds_within_the_top(spark):
+    rng = random.Random(4)
+    words = sorted({"".join(rng.choice("ACGT") for _ in range(5)) for _ in range(400)})
+    rows = [(w, rng.choice([1.0, 2.0, 2.0000000001, 3.0, rng.random() * 4])) for w in words]
+    ordered = sorted(rows, key=lambda r: (-round(r[1], 6), [-ord(c) for c in r[0]]))
+    df = spark.createDataFrame(rows, "word string, score double").repartition(7)
+    for n_seeds, apart in ((6, 3), (1, 1), (30, 2), (10, 6)):
+        kept = []
+        for w, _ in ordered:
+            if len(kept) < n_seeds and all(sum(x != y for x, y in zip(w, k)) >= apart for k in kept):
+                kept.append(w)
+        assert em.diverse_seeds(df, n_seeds, apart) == kept
+    assert em.diverse_seeds(df.limit(0), 5, 3) == []
