@@ -263,6 +263,42 @@ def has_variable_width(regex: str) -> bool:
     return re.search(r"[{}()*+?|]", re.sub(r"\[.*?\]", "", regex)) is not None
 
 
+def motif_reach(regex: str) -> int | None:
+    """Letters of the longest match, for a match that hangs on its own letters only; None
+    where there is no longest one, or anchors, lookarounds or references look elsewhere."""
+    if not has_variable_width(regex):
+        return motif_length(regex)
+    if re.search(r"\(\?|[\\^$]|[*+?}][+]", re.sub(r"\[.*?\]", "X", regex)):
+        return None
+    # one letter for each class; counted and alternative parts as they stand
+    return _longest(re.findall(r"\{[^}]*\}|.", re.sub(r"\[.*?\]", "X", regex)))[0]
+
+
+def _longest(tokens: list[str], at: int = 0) -> tuple[int | None, int]:
+    """(length of the longest match, place behind it) of the alternatives from ``at`` on."""
+    best, total, last = 0, 0, 0
+    while at < len(tokens) and tokens[at] != ")":
+        token = tokens[at]
+        if token == "|":
+            best, total, last = max(best, total + last), 0, 0
+        elif token == "(":
+            inner, at = _longest(tokens, at + 1)
+            if inner is None:
+                return None, len(tokens)
+            total, last = total + last, inner
+        elif token in "*+":
+            return None, len(tokens)
+        elif token.startswith("{"):
+            most = token[1:-1].split(",")[-1].strip()
+            if not most.isdigit():
+                return None, len(tokens)
+            last *= int(most)
+        elif token != "?":
+            total, last = total + last, 1
+        at += 1
+    return max(best, total + last), at
+
+
 _MARK = "\x01"
 
 

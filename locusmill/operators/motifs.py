@@ -186,25 +186,26 @@ TILE = 512
 def sites(fasta: DataFrame, motif: str, id_cols: tuple[str, ...] = ("id",), tile: int = TILE) -> DataFrame:
     """Motif hits on both strands of whole sequences, one row per hit.
 
-    A motif of fixed width is scanned in overlapping tiles, so the work of one long
-    record spreads over rows of bounded size; a hit belongs to the tile it starts in.
-    A motif of variable width is scanned record by record.
+    A motif whose matches have a longest length is scanned in tiles that overlap by it on
+    both sides, so the work of one long record spreads over rows of bounded size; a hit
+    belongs to the tile in which its reading starts (on the minus strand, its right end).
+    A motif without one is scanned record by record.
     """
     regex = S.iupac_to_regex(motif)
-    seq = F.upper("seq")
-    if S.has_variable_width(regex):
+    seq, reach = F.upper("seq"), S.motif_reach(regex)
+    if reach is None:
         cut = fasta.select(*id_cols, F.length("seq").alias("seq_len"), F.lit(0).alias("base"), seq.alias("part"))
-        own = F.lit(2**31 - 1)
+        own = F.lit(True)
     else:
-        tile = max(tile, S.motif_length(regex))
+        edge, tile = reach - 1, max(tile, reach, 2 * (reach - 1))
         cut = fasta.select(
-            *id_cols, F.length("seq").alias("seq_len"),
-            F.posexplode(S.tiles(seq, tile, S.motif_length(regex) - 1)).alias("tile_no", "part"),
+            *id_cols, F.length("seq").alias("seq_len"), F.posexplode(S.tiles(seq, tile, 2 * edge)).alias("tile_no", "part"),
         ).withColumn("base", F.col("tile_no") * tile)
-        own = F.lit(tile)
+        first = F.when(F.col("strand") == "+", F.col("pos0")).otherwise(F.col("pos0") + F.col("width") - 1)
+        own = (first < tile + edge) & ((F.col("base") == 0) | (first >= edge))
     found = cut.select(
         *id_cols, "seq_len", "base", F.inline(S.motif_hits("part", F.length("part"), regex))
-    ).where(F.col("pos0") < own)
+    ).where(own)
     start = F.col("base") + F.col("pos0")
     return found.select(
         *id_cols, "seq_len",

@@ -26,6 +26,11 @@ def test_iupac():
     assert S.iupac_to_regex(r"A\dW{2}") == r"A\d[AT]{2}"
     assert S.motif_length("TATA[AT]A[AT]") == 7
     assert S.has_variable_width("TA{2}") and not S.has_variable_width("TA[AT]")
+    for regex, reach in (
+        ("TATA[AT]A[AT]", 7), ("TA{2}", 3), ("TA{1,4}T", 6), ("T(AC|GGG[AT]){0,3}T?", 14), ("A|CG|TTT", 3), ("(A(C|GT){2}){2,3}", 15),
+        ("TA*T", None), ("TA+", None), ("TA{2,}T", None), ("^TA{1,2}", None), ("T(?=A)", None), ("(A)\\1?", None), ("((A+)T)?", None), ("A??C", 2),
+    ):
+        assert S.motif_reach(regex) == reach, regex
 
 
 def test_revcomp_keeps_case_and_unknown(spark):

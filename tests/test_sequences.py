@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 
 from locusmill.functions import align as L
 from locusmill.functions import permute
+from locusmill.functions import seq as S
 from locusmill.operators import em
 from locusmill.operators import exact as ex
 from locusmill.operators import homologs as ho
 from locusmill.operators import kmers as km
+from locusmill.operators import motifs as mo
 from locusmill.operators import promoters as pm
 from locusmill.operators import redundancy as rd
 
@@ -475,3 +478,18 @@ def test_seeds_within_the_top(spark):
                 kept.append(w)
         assert em.diverse_seeds(df, n_seeds, apart) == kept
     assert em.diverse_seeds(df.limit(0), 5, 3) == []
+
+
+@pytest.mark.parametrize("motif", ["TA{1,4}T", "(AC|GGR){1,2}", "TATAWAW", "A{0,3}CT?", "TA*T"])
+def test_tiles_find_what_whole_records_have(spark, motif):
+    rng = random.Random(9)
+    rows = [(f"s{i}", "".join(rng.choice("AATTCGN") for _ in range(n))) for i, n in enumerate((0, 3, 40, 41, 300, 1000))]
+    df = spark.createDataFrame(rows, "id string, seq string")
+    find = re.compile(f"(?=({S.iupac_to_regex(motif)}))")
+    want = set()
+    for i, s in rows:
+        want |= {(i, "+", m.start() + 1, m.start() + len(m[1]), m[1]) for m in find.finditer(s) if m[1]}
+        want |= {(i, "-", len(s) - m.start() - len(m[1]) + 1, len(s) - m.start(), m[1]) for m in find.finditer(rc(s)) if m[1]}
+    for tile in (1, 7, 64):
+        got = [(r["id"], r["strand"], r["start"], r["end"], r["text"]) for r in mo.sites(df, motif, tile=tile).collect() if r["text"]]
+        assert len(got) == len(set(got)) and set(got) == want
