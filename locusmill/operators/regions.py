@@ -56,6 +56,25 @@ def locus_ranges(df: DataFrame, contigs: DataFrame, ranges: DataFrame, circular:
     )
 
 
+def gene_regions(df: DataFrame, contigs: DataFrame, tags: DataFrame) -> DataFrame:
+    """One region for each gene asked for by its locus tag, with ``place`` in the list.
+
+    ``tags``: locus and ord, as ``tables.read_locus_list`` gives them; a tag named twice
+    counts where it comes first. A gene is its last CDS in the first record of each genome
+    that has the tag. A tag that no genome has, or under which there is no CDS, makes the
+    query fail. Region ids are record and tag; coordinates are 1-based (c1, c2).
+    """
+    asked = tags.groupBy(F.col("locus").alias("locus_tag")).agg(F.min("ord").alias("place"))
+    home = asked.join(first_record_with(df, asked), "locus_tag", "left")
+    index = gene_index(df).select(*KEYS, "locus_tag", (F.col("start0") + 1).alias("_c1"), F.col("end").alias("c2"), "strand")
+    rows = home.join(index, [*KEYS, "locus_tag"], "left")
+    lost = F.when(F.col("_c1").isNull(), F.raise_error(F.concat(F.lit("locus tag not found: "), F.col("locus_tag"))))
+    rows = rows.withColumn("c1", F.coalesce(lost.cast("int"), F.col("_c1"))).drop("_c1")
+    # a tag without a record stays in the rows until it is reported
+    rows = rows.join(contigs.select(*KEYS, "length", "organism"), list(KEYS), "left")
+    return rows.withColumn("region_id", F.concat_ws(":", "record_id", "locus_tag"))
+
+
 def checked(regions: DataFrame) -> DataFrame:
     """Fail on coordinates outside the contig."""
     bad = F.when(

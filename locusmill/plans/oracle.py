@@ -1224,6 +1224,19 @@ def plain_sql() -> dict[str, str]:
         """SELECT 'list' AS file, locus_tag AS locus FROM (SELECT DISTINCT locus_tag FROM genes WHERE locus_tag IS NOT NULL)
            UNION ALL SELECT 'done', locus_tag FROM (SELECT DISTINCT locus_tag FROM genes WHERE locus_tag IS NOT NULL AND feat_ord % 2 = 0)""",
     )
+    out["gene_mode"] = sql(
+        "contigs genes",
+        """SELECT r.genome, r.record_id || ':' || tag AS region_id, c1, c2,
+             count(*) FILTER (f.type = 'CDS') AS cds, count(*) AS features, md5(any_value(substr(seq, c1, c2 - c1 + 1))) AS sequence
+           FROM reg r JOIN contigs c ON c.genome = r.genome AND c.record_id = r.record_id
+           JOIN genes f ON f.genome = r.genome AND f.record_id = r.record_id AND f.start0 + 1 >= c1 AND f."end" <= c2 GROUP BY 1, 2, 3, 4""",
+        """
+  wanted AS (SELECT DISTINCT locus_tag AS tag FROM genes WHERE type = 'CDS' AND contains(product, 'gear') AND locus_tag IS NOT NULL),
+  home AS (SELECT genome, locus_tag AS tag, arg_min(record_id, record_ord) AS record_id FROM genes JOIN wanted ON locus_tag = tag GROUP BY 1, 2),
+  reg AS MATERIALIZED (
+    SELECT h.genome, h.record_id, tag, arg_max(start0, feat_ord) + 1 AS c1, arg_max("end", feat_ord) AS c2
+    FROM home h JOIN genes g ON g.genome = h.genome AND g.record_id = h.record_id AND g.locus_tag = tag AND type = 'CDS' GROUP BY 1, 2, 3)""",
+    )
     slices = region_sql()["region_slice"]
     wrapped = "array_to_string(list_transform(range(0, (length(sequence) + 59) // 60), lambda i: substr(sequence, i * 60 + 1, 60)), chr(10))"
     out["region_fasta"] = slices[: slices.rindex("SELECT record_id, c1, c2")] + (

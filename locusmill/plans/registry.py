@@ -782,6 +782,19 @@ def _(spark, sf):
     return one.select(F.lit("list").alias("file"), "locus").unionByName(two.select(F.lit("done").alias("file"), "locus"))
 
 
+@query("gene_mode")
+def _(spark, sf):
+    """Genes named in a file, cut out one by one."""
+    g, c = V.genes(spark, sf), V.contigs(spark, sf)
+    path = scratch(spark, "tags")
+    gear = g.where((F.col("type") == "CDS") & F.contains(F.col("product"), F.lit("gear")) & F.col("locus_tag").isNotNull())
+    tb.write_text(gear.select(F.col("locus_tag").alias("value")), path)
+    r = rg.gene_regions(g, c, tb.read_locus_list(spark, path))
+    inside = rg.region_features(g, r.select("genome", "record_id", "region_id", "c1", "c2", "length"))
+    n = inside.groupBy("region_id").agg(F.count_if(F.col("type") == "CDS").alias("cds"), F.count("*").alias("features"))
+    return rg.region_sequences(r, c).join(n, "region_id").select("genome", "region_id", "c1", "c2", "cds", "features", F.md5("sequence").alias("sequence"))
+
+
 @query("region_fasta")
 def _(spark, sf):
     _, c, r = _ranges(spark, sf)

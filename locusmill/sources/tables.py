@@ -126,6 +126,11 @@ def write_text(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select("value").write.mode(mode).text(path)
 
 
+def write_text_by(df: DataFrame, path: str, key: str, mode: str = "overwrite") -> None:
+    """A folder ``key=value`` with the rows of each value, as one gene's record goes to one place."""
+    df.select(key, "value").repartition(key).write.mode(mode).partitionBy(key).text(path)
+
+
 def fasta_text(df: DataFrame, header: Column, seq: str, wrap: bool = True) -> DataFrame:
     """One FASTA record per row in ``value``; rows without sequence are left out."""
     body = S.wrap_fasta(seq) if wrap else F.col(seq)

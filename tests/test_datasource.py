@@ -105,3 +105,30 @@ def test_table_functions(session):
     assert sorted(r.start for r in overlapping) == [0, 1, 2]
     with pytest.raises(Exception, match="k must be at least 1"):
         session.sql("SELECT * FROM kmers('ACGT', 0)").collect()
+
+
+def test_genes_one_by_one(session, tmp_path):
+    """Tags of a list in its order, the last CDS of a tag, a record to each gene's folder, lost tags an error."""
+    from conftest import contig_rows, feature_rows
+
+    from locusmill.operators import regions as rg
+    from locusmill.sources import tables as tb
+
+    g = feature_rows(session, [
+        {"record_id": "a", "locus_tag": "x", "start0": 0, "end": 4}, {"record_id": "a", "locus_tag": "x", "start0": 2, "end": 8},
+        {"record_id": "a", "locus_tag": "y", "start0": 3, "end": 6, "strand": -1}, {"record_id": "a", "locus_tag": "z", "type": "tRNA"},
+    ])
+    c = contig_rows(session, [{"record_id": "a", "seq": "ACGTACGTAC", "organism": "o"}])
+    tags = session.createDataFrame([("y", 0), ("x", 1), ("y", 2)], "locus string, ord long")
+    r = rg.gene_regions(g, c, tags)
+    got = {(x.region_id, x.place, x.c1, x.c2, x.sequence) for x in rg.region_sequences(r, c).collect()}
+    assert got == {("a:y", 0, 4, 6, "TAC"), ("a:x", 1, 3, 8, "GTACGT")}
+    inside = rg.region_features(g, r.select("genome", "record_id", "region_id", "c1", "c2", "length"))
+    text = genbank.region_text(rg.region_sequences(r, c), inside)
+    tb.write_text_by(text, str(tmp_path / "genes"), "region_id")
+    back = genbank.read_records(session, str(tmp_path / "genes"), recursive=True, glob="*.txt").collect()
+    assert {(x.record_id, x.seq, len(x.features)) for x in back} == {("a:4-6", "TAC", 1), ("a:3-8", "GTACGT", 2)} and len({x.rel for x in back}) == 2
+    for lost in ("z", "nowhere"):
+        bad = session.createDataFrame([(lost, 0)], "locus string, ord long")
+        with pytest.raises(Exception, match=f"locus tag not found: {lost}"):
+            rg.gene_regions(g, c, bad).collect()
