@@ -188,6 +188,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta
 
     Null or empty texts have no words and fail the base rules. Repeated rows are judged
     alike. Extra columns of either table are not read.
+
+    ``alpha`` holds for each rate: with three rates at most three times as many of a stratum's
+    good documents are turned down, all tests together with confidence 1 - ``delta``.
     """
     feats = settled(features(docs))
     return judge(feats, thresholds(feats, labels, alpha, delta))
