@@ -76,11 +76,10 @@ def gene_regions(df: DataFrame, contigs: DataFrame, tags: DataFrame) -> DataFram
 
 
 def checked(regions: DataFrame) -> DataFrame:
-    """Fail on coordinates outside the contig."""
-    bad = F.when(
-        (F.least("c1", "c2") < 1) | (F.greatest("c1", "c2") > F.col("length")),
-        F.raise_error("region outside the contig"),
-    )
+    """Fail on coordinates outside the contig; on an empty contig 1 to 0 is all of it."""
+    empty = (F.col("length") == 0) & (F.col("c1") == 1) & (F.col("c2") == 0)
+    outside = (F.least("c1", "c2") < 1) | (F.greatest("c1", "c2") > F.col("length"))
+    bad = F.when(outside & ~empty, F.raise_error("region outside the contig"))
     return regions.withColumn("c1", F.coalesce(bad.cast("int"), F.col("c1")))
 
 
@@ -120,10 +119,11 @@ def region_features(df: DataFrame, regions: DataFrame) -> DataFrame:
     """Features lying inside each region, with coordinates of the region.
 
     Features that cross an edge are left out; behind the origin of a circular region
-    coordinates go on where the tail ends.
+    coordinates go on where the tail ends. An empty contig is one region, 1 to 0, with its
+    empty features inside.
     """
     c1, c2, n = F.col("c1"), F.col("c2"), F.col("length")
-    wraps = c1 > c2
+    wraps = (c1 > c2) & ~n.eqNullSafe(F.lit(0))
     pieces = regions.select(
         *KEYS, "region_id", "c1", "c2", "length",
         F.explode(
@@ -136,13 +136,15 @@ def region_features(df: DataFrame, regions: DataFrame) -> DataFrame:
             ).otherwise(F.array(F.struct(c1.alias("p1"), c2.alias("p2"), F.lit(0).alias("shift"))))
         ).alias("p"),
     ).select(*KEYS, "region_id", "p.*")
-    rows = df.withColumn("_s1", F.col("start0") + 1)
-    hits = overlap_join(rows, pieces, ("_s1", "end"), ("p1", "p2"))
+    # what is empty, on an empty contig, meets at place 1
+    at_least_1 = lambda c: F.when(F.col(c) == 0, 1).otherwise(F.col(c))
+    rows = df.withColumn("_s1", F.col("start0") + 1).withColumn("_e1", at_least_1("end"))
+    hits = overlap_join(rows, pieces.withColumn("_p2", at_least_1("p2")), ("_s1", "_e1"), ("p1", "_p2"))
     inside = hits.where((F.col("_s1") >= F.col("p1")) & (F.col("end") <= F.col("p2")))
     move = F.col("shift") - F.col("p1") + 1
     return inside.select(
         "*", (F.col("start0") + move).alias("local_start0"), (F.col("end") + move).alias("local_end")
-    ).drop("_s1", "p1", "p2", "shift")
+    ).drop("_s1", "_e1", "p1", "p2", "_p2", "shift")
 
 
 def spliced(df: DataFrame, contigs: DataFrame, key: list[str]) -> DataFrame:

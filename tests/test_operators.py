@@ -320,6 +320,12 @@ def test_regions(spark):
         rg.locus_ranges(df, c, bad).collect()
     with pytest.raises(Exception, match="outside the contig"):
         rg.checked(whole.withColumn("c2", F.lit(99))).collect()
+    # an empty contig: its empty features, all of it as a region
+    none = contig_rows(spark, [{"seq": ""}])
+    flat = feature_rows(spark, [{"locus_tag": "a", "start0": 0, "end": 0}, {"locus_tag": "b", "start0": 0, "end": 0, "type": "mRNA"}])
+    span = rg.locus_ranges(flat, none, ranges.withColumn("last_tag", F.lit("a"))).withColumn("region_id", F.lit("r"))
+    assert [(r.c1, r.c2, r.sequence) for r in rg.region_sequences(span, none).collect()] == [(1, 0, "")]
+    assert sorted(r.locus_tag for r in rg.region_features(flat, span).collect()) == ["a", "b"]
     three = contig_rows(spark, [{"record_id": r, "seq": "A"} for r in ("contig_2", "contig_20", "contig_21")])
     with pytest.raises(Exception, match="ambiguous"):
         rg.pick_contig(three, "contig_2").collect()
