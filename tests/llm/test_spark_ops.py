@@ -357,6 +357,17 @@ def test_encode_and_decode(spark, none):
     assert SP.encode(none).count() == SP.encode_documents(none).count() == T.token_counts(none).count() == 0
 
 
+def test_long_runs_are_encoded_whole(spark):
+    """No cut at counted places: a run of any length is one word, in time that grows with it."""
+    texts = ["ab" * 30_000, "x" * 241 + " y", " " * 40 + "z", "中" * 700 + "of the"]
+    got = {r.doc_id: r for r in SP.encode_documents(docs_of(spark, texts)).collect()}
+    want = {r.doc_id: r for r in T.token_counts(docs_of(spark, texts)).collect()}
+    assert [(got[i].n_words, got[i].n_pieces, got[i].cost, got[i].round_trip) for i in range(4)] == [
+        (want[i].n_pretokens, want[i].n_tokens, want[i].cost, True) for i in range(4)
+    ]
+    assert [got[i].n_words for i in range(4)] == [1, 2, 1, 2]
+
+
 def test_digest_hangs_on_the_order_of_words(spark):
     rows = SP.encode_documents(docs_of(spark, ["a b c", "c b a", "a b c"])).collect()
     digest = {r.doc_id: r.ids_digest for r in rows}
