@@ -493,3 +493,21 @@ def test_tiles_find_what_whole_records_have(spark, motif):
     for tile in (1, 7, 64):
         got = [(r["id"], r["strand"], r["start"], r["end"], r["text"]) for r in mo.sites(df, motif, tile=tile).collect() if r["text"]]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_words_are_counted_as_they_are_read(spark):
+    """Words of two groups, over tile edges, and no row per window."""
+    from collections import Counter
+
+    seqs = [("a", "ACGTNACGTT" * 40), ("b", "ttga"), ("a", "AC"), (None, "GGGGGG"), ("b", None), ("b", "é" + "ACG" * 9)]
+    df = spark.createDataFrame(seqs, "g string, seq string").coalesce(1)
+    for k in (3, 12, 33):
+        want = Counter()
+        for g, seq in seqs:
+            up = (seq or "").upper()
+            want.update((g, up[i : i + k]) for i in range(len(up) - k + 1) if set(up[i : i + k]) <= set("ACGT"))
+        rows = km.word_counts(df, k, ["g"], tile=16).collect()
+        got = Counter()
+        for r in rows:
+            got[r.g, r.word] += r.n
+        assert got == want and len(rows) == len(want)
