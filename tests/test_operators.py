@@ -260,6 +260,13 @@ def test_bh(spark):
     assert all(r["q_value"] == pytest.approx(want[r["p"]]) for r in got)
 
 
+def test_bh_frames_start_with_their_block(spark):
+    """A frame from its row to the end of the block takes time with the square of the block."""
+    plan = bh_qvalues(spark.createDataFrame([(0.1,), (0.2,), (None,)], "p double"), "p", F.lit(3.0))._jdf.queryExecution().optimizedPlan().toString()
+    frames = [ln for ln in plan.splitlines() if ln.strip(" :+-").startswith("Window [") and "_p#" in ln.rsplit("], [", 1)[-1]]
+    assert frames and not any("unboundedfollowing" in ln for ln in frames)
+
+
 # Ordered helpers ----------------------------------------------------------------
 
 
