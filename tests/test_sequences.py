@@ -116,6 +116,24 @@ def test_permutations_replay(spark):
     assert all(got[w]["l2fc"] == pytest.approx(obs[w]) for w in words)
 
 
+def test_permutations_are_counted_by_table(monkeypatch):
+    """Words of shuffled sequences are looked up, not worked out; the counts are the same."""
+    worked = []
+    plain = permute.kmer_codes
+    monkeypatch.setattr(permute, "kmer_codes", lambda letters, *a: worked.append(letters.shape[1]) or plain(letters, *a))
+    t, r = "ACGTTGCAACGNTTACGATCG" * 4, "GGATCCATTTACGACGTACGATTT"
+    for k, least in ((2, 0.0), (3, 1.0), (6, 0.0)):
+        made = permute.shuffles(permute.codes(t), 7, 1, 64)
+        words = np.unique(np.concatenate([c[ok] for c, ok in (plain(permute.codes(s)[:, None], k, least) for s in (t, r))]))
+        found, ok = plain(made, k, least)
+        n, total = permute.counted(made, k, least, words)
+        assert np.array_equal(n, np.stack([[(found[ok[:, c], c] == w).sum() for w in words] for c in range(64)]))
+        assert np.array_equal(total, ok.sum(axis=0))
+    worked.clear()
+    permute.exceedances(t, r, 3, 0.0, (1, 2), 1000)
+    assert 1000 not in worked
+
+
 def test_permutations_with_entropy_and_odd_rows(spark):
     """Letters are kept, words below the entropy are not counted, rows without a window give nothing."""
     p = permute.shuffles(permute.codes("ACGTNNAACC"), 5, 1, 300)
