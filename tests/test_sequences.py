@@ -72,6 +72,23 @@ def test_clusters_are_the_greedy_ones(spark, d):
     assert {r["kmer"]: r["cluster_id"] for r in got} == want
 
 
+def test_word_rule_holds_and_is_selective(spark):
+    """Errors spread evenly spoil the most words; what the rule asks for is always left."""
+    for idn, cov in ((0.95, 0.9), (0.8, 0.8), (0.9, 0.7), (1.0, 0.5)):
+        for length in range(1, 200):
+            k, s = rd.word_rule(length, idn, cov)
+            for n in range(max(1, math.ceil(cov * length - 1e-9)), 3 * length + 3):
+                e = math.floor((1 - idn) * n + 1e-9)
+                runs = [(n - e + i) // (e + 1) for i in range(e + 1)]
+                assert s > 1 or k == 1 or max(runs) >= k, (length, idn, cov, n)
+                assert s == 1 or sum(max(0, r - k + 1) for r in runs) >= s, (length, idn, cov, n)
+    # regions of 30 letters are joined on words of nine letters (six before), which are rare
+    sizes = spark.range(1, 3000).select(F.col("id"), rd._class_of(F.col("id")).alias("c")).collect()
+    assert all(rd._class_start(r["c"]) <= r["id"] < max(rd._class_start(r["c"] + 1), rd._class_start(r["c"] + 2)) for r in sizes)
+    of_30 = next(r["c"] for r in sizes if r["id"] == 30)
+    assert rd._class_start(of_30) == 24 and rd.word_rule(24, 0.95, 0.9)[0] == 9
+
+
 def test_permutations_replay(spark):
     t, r, k, n = "ACGTTGCAACGNTTACGATCG", "GGATCCATTTACGACGTACGATTT", 3, 40
 
