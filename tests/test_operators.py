@@ -246,6 +246,25 @@ def test_merged_homopolymer_is_one_hit(spark):
     assert [r["merged"] for r in mo.merge_sites(mo.sites(fasta, "AAAAAA")).collect()] == [8]
 
 
+def test_merged_sites_carry_what_they_keep(spark):
+    """Runs by a walk over the hits; the hits meet only the summary of their blocks."""
+    rng = random.Random(5)
+    rows = [(f"s{i % 7}", "".join(rng.choice("ACGTN") for _ in range(rng.choice((3, 40, 900))))) for i in range(9)] + [(None, "AATTAA")]
+    hits = mo.sites(spark.createDataFrame(rows, "id string, seq string"), "A{1,3}[ACG]?")
+    merged = mo.merge_sites(hits)
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    walked, kept = {}, [h for h in hits.collect() if h["id"] is not None]
+    for h in sorted(kept, key=lambda h: (h["id"], h["strand"], h["start"], h["end"])):
+        runs = walked.setdefault((h["id"], h["strand"]), [])
+        # copies of a start count as one, with the last end
+        if runs and (h["start"] == runs[-1][1] or h["start"] <= runs[-1][2]):
+            runs[-1][1:] = [h["start"], h["end"], runs[-1][3] + 1, min(runs[-1][4], h["rel_pos"])]
+        else:
+            runs.append([h["start"], h["start"], h["end"], 1, h["rel_pos"]])
+    want = {(*k, i, r[0], r[3], r[4]) for k, runs in walked.items() for i, r in enumerate(runs)}
+    assert {(r["id"], r["strand"], r["cluster"], r["start"], r["merged"], r["rel_pos"]) for r in merged.collect()} == want
+
+
 def test_bh(spark):
     rows = spark.createDataFrame([(0.001,)] * 3, "p double")
     assert {round(r["q_value"], 4) for r in bh_qvalues(rows, "p", F.lit(1000.0)).collect()} == {0.3333}
