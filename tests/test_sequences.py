@@ -500,6 +500,24 @@ def test_long_records_in_tiles_of_words(monkeypatch):
     assert np.allclose(whole[0], tiled[0]) and np.allclose(whole[1], tiled[1]) and np.abs(whole[1]).sum() > 0
 
 
+def test_words_of_both_strands_are_scored_once():
+    """Seeds are scored on a word or its reverse complement, not on both, with the result of all windows."""
+    rng = random.Random(13)
+    seqs = ["".join(rng.choice("ACGT" * 9 + "N") for _ in range(n)) for n in (4000, 0, 3, 60)]
+    words, table = em._word_table(seqs, 4, fold=True)
+    assert len(words) == (4**4 + 4**2) // 2 and table.sum(axis=1).tolist() == [len(em.encode_windows(s, 4)[1]) for s in seqs]
+    bg = np.array([0.3, 0.2, 0.15, 0.35])
+    odds = em.log_odds(np.stack([em.seed_pwm(w, 0.1) for w in ("TATA", "GGCA")]), bg)
+    for threshold in (0.0, 4.0):
+        want = np.zeros(2)
+        for s in seqs:
+            if len(s) >= 4:
+                best = np.maximum(*em._strand_scores(em.encode_windows(s, 4)[0], odds))
+                want += np.where(best.max(axis=0) > threshold, np.log(np.exp(best).sum(axis=0)), 0.0)
+        assert np.allclose(em.weigh(seqs, odds, threshold, False)[0], want)
+        assert np.allclose(em.weigh(seqs, odds, threshold, True)[0], want)
+
+
 def test_seeds_within_the_top(spark):
     rng = random.Random(4)
     words = sorted({"".join(rng.choice("ACGT") for _ in range(5)) for _ in range(400)})
