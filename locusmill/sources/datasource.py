@@ -113,21 +113,17 @@ def fasta_row(part: Range, at: int, raw: bytes) -> tuple | None:
     return part.rel, at, head.split()[0] if head else "", head, re.sub(r"\s", "", body)
 
 
-def genbank_row(part: Range, at: int, raw: bytes) -> tuple | None:
+def genbank_row(part: Range, at: int, raw: bytes) -> tuple[int, dict] | None:
+    """Letters and row of a record, or None for blank text."""
     text = raw.decode("utf-8", "replace")
     if not text.strip():
         return None
-    row = dict.fromkeys(genbank.RECORDS.fieldNames())
-    row.update(path=part.path, rel=part.rel, record_ord=at)
-    try:
-        row.update(genbank.parse_record(text))
-    except (ValueError, IndexError) as e:
-        row["error"] = str(e)
-    return tuple(row.values())
+    return len(text), genbank.parsed(text, path=part.path, rel=part.rel, record_ord=at)
 
 
 class _Source(DataSource):
-    glob, separator, row = "*", b"", None
+    #: ``pack`` makes Arrow batches of the rows; without it they leave as tuples.
+    glob, separator, row, pack = "*", b"", None, None
 
     def _args(self) -> dict:
         o = self.options
@@ -135,7 +131,7 @@ class _Source(DataSource):
             raise ValueError("no input path")
         return {
             "path": o["path"], "recursive": str(o.get("recursive", "false")).lower() == "true", "glob": o.get("glob", self.glob),
-            "size": int(o.get("rangebytes", RANGE_BYTES)), "separator": self.separator, "row": type(self).row,
+            "size": int(o.get("rangebytes", RANGE_BYTES)), "separator": self.separator, "row": type(self).row, "pack": type(self).pack,
         }
 
     def reader(self, schema) -> DataSourceReader:
@@ -158,6 +154,7 @@ class FastaSource(_Source):
 
 class GenbankSource(_Source):
     glob, separator, row = "*.{%s}" % ",".join(genbank.EXTENSIONS), b"\n//", staticmethod(genbank_row)
+    pack = staticmethod(genbank.record_batches)
 
     @classmethod
     def name(cls) -> str:
@@ -174,18 +171,17 @@ class _Rows:
     def _files(self) -> list[tuple[str, str, int, int]]:
         return listing(self.args["path"], self.args["recursive"], self.args["glob"])
 
-    def read(self, part: Range) -> Iterator[tuple]:
-        for at, raw in records(part, self.args["separator"]):
-            found = self.args["row"](part, at, raw)
-            if found is not None:
-                yield found
+    def read(self, part: Range) -> Iterator:
+        rows = (self.args["row"](part, at, raw) for at, raw in records(part, self.args["separator"]))
+        rows = (found for found in rows if found is not None)
+        return self.args["pack"](rows) if self.args["pack"] else rows
 
 
 class _Reader(_Rows, DataSourceReader):
     def partitions(self) -> list[Range]:
         return ranges(self._files(), self.args["size"]) or [Range(self.args["path"], "", 0, 0)]
 
-    def read(self, part: Range) -> Iterator[tuple]:
+    def read(self, part: Range) -> Iterator:
         return super().read(part) if part.end else iter(())
 
 

@@ -7,11 +7,13 @@ cut like any other splittable text; each record is then parsed on its own.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.annot import flatten
 from ..model import FEATURES
@@ -47,17 +49,25 @@ def _arguments(text: str) -> list[str]:
     return [*out, text[last:]]
 
 
+_SPAN = re.compile(r"[<>]?(\d+)(?:(\.\.|\^|\.)[<>]?(\d+))?")
+_CALL = re.compile(r"(complement|join|order|bond|one-of)\((.*)\)", re.S)
+_QUALIFIER = re.compile(r"/([^=\s]+)(?:=(.*))?$")
+_SECTION = re.compile(r"([A-Z]+)(?=\s|$)")
+#: ASCII but letters, as a table that deletes.
+_NO_LETTER = {i: None for i in range(128) if not chr(i).isalpha()}
+
+
 def parse_location(text: str) -> list[tuple[int, int, int]]:
     """Parts (start0, end, strand) of a location in reading order."""
     text = text.strip()
-    call = re.fullmatch(r"(complement|join|order|bond|one-of)\((.*)\)", text, re.S)
+    span = _SPAN.fullmatch(text)
+    call = None if span else _CALL.fullmatch(text)
     if call:
         if call[1] == "complement":
             return [(s, e, -x) for s, e, x in reversed(parse_location(call[2]))]
         return [p for arg in _arguments(call[2]) for p in parse_location(arg)]
     if ":" in text:
         raise ValueError(f"location on another record: {text}")
-    span = re.fullmatch(r"[<>]?(\d+)(?:(\.\.|\^|\.)[<>]?(\d+))?", text)
     if not span:
         raise ValueError(f"cannot read location {text!r}")
     a = int(span[1])
@@ -71,7 +81,7 @@ def _qualifiers(lines: list[str]) -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}
     i = 0
     while i < len(lines):
-        m = re.match(r"/([^=\s]+)(?:=(.*))?$", lines[i])
+        m = _QUALIFIER.match(lines[i])
         i += 1
         if not m:
             continue
@@ -139,8 +149,7 @@ def parse_record(text: str) -> dict:
     sections: dict[str, list[str]] = {}
     name = ""
     for line in text.replace("\r", "").split("\n"):
-        head = re.match(r"([A-Z]+)(?=\s|$)", line)
-        if head:
+        if "A" <= line[:1] <= "Z" and (head := _SECTION.match(line)):
             name = head[1]
         if name:
             sections.setdefault(name, []).append(line)
@@ -155,7 +164,8 @@ def parse_record(text: str) -> dict:
         m = re.match(r"\s+ORGANISM\s+(.*)", line)
         if m:
             organism = m[1].strip()
-    seq = re.sub(r"[^A-Za-z]", "", "".join(sections.get("ORIGIN", [])[1:])).upper()
+    seq = "".join(sections.get("ORIGIN", [])[1:]).translate(_NO_LETTER)
+    seq = (seq if seq.isascii() else re.sub(r"[^A-Za-z]", "", seq)).upper()
     table, bad = _feature_table(sections.get("FEATURES", [])[1:])
     stated = next((int(a) for a, b in zip(locus, locus[1:]) if b in ("bp", "aa") and a.isdigit()), 0)
     return {
@@ -169,18 +179,43 @@ def parse_record(text: str) -> dict:
     }
 
 
+#: Letters of the records that leave a task at once.
+BATCH_LETTERS = 1 << 22
+
+
+def parsed(text: str, **place) -> dict:
+    """A row of ``RECORDS``; one that cannot be read carries ``error``."""
+    row = {**dict.fromkeys(RECORDS.fieldNames()), **place}
+    try:
+        row.update(parse_record(text))
+    except (ValueError, IndexError) as e:
+        row["error"] = str(e)
+    return row
+
+
+def record_batches(rows: Iterable[tuple[int, dict]]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``RECORDS``, each with the letters it was made from, as Arrow batches."""
+    schema, held, size = to_arrow_schema(RECORDS), [], 0
+    for letters, row in rows:
+        for f in row["features"] or ():
+            # a map is a list of its entries to Arrow
+            f["qualifiers"] = list(f["qualifiers"].items())
+        held.append(row)
+        size += letters
+        if size >= BATCH_LETTERS:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
 def _parse(batches):
-    for pdf in batches:
-        rows = []
-        for t in pdf.itertuples(index=False):
-            row = dict.fromkeys(RECORDS.fieldNames())
-            row.update(path=t.path, rel=t.rel, record_ord=t.record_ord)
-            try:
-                row.update(parse_record(t.value))
-            except (ValueError, IndexError) as e:
-                row["error"] = str(e)
-            rows.append(row)
-        yield pd.DataFrame(rows, columns=RECORDS.fieldNames(), dtype=object)
+    def rows():
+        for batch in batches:
+            for path, rel, at, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield len(text), parsed(text, path=path, rel=rel, record_ord=at)
+
+    return record_batches(rows())
 
 
 def below(spark: SparkSession, root: str, path: Column) -> Column:
@@ -217,7 +252,7 @@ def read_records(spark: SparkSession, path: str, recursive: bool = False, glob:
     if glob is None:
         glob = "*.{%s}" % ",".join(EXTENSIONS)
     text = _chunks(spark, path, "\n//", recursive, glob)
-    return text.where(F.trim(F.regexp_replace("value", r"[\s]+", "")) != "").mapInPandas(_parse, RECORDS)
+    return text.where(F.trim(F.regexp_replace("value", r"[\s]+", "")) != "").mapInArrow(_parse, RECORDS)
 
 
 def _genome(by: str):
@@ -241,6 +276,19 @@ def features(records: DataFrame, genome: str = "rel") -> DataFrame:
     return flatten(rows)
 
 
+def contigs_and_features(records: DataFrame, genome: str = "rel") -> DataFrame:
+    """Contigs and flattened features from one reading of the files: the row of a contig has
+    ``contig`` (organism, topology, length, seq) and no feature, the others have it null."""
+    contig = F.struct("organism", "topology", "length", "seq")
+    first = F.struct(contig.alias("contig"), F.lit(None).cast(_FEATURE).alias("f"))
+    none = F.lit(None).cast("struct<organism: string, topology: string, length: int, seq: string>")
+    each = F.transform("features", lambda f: F.struct(none.alias("contig"), f.alias("f")))
+    rows = records.where("error is null").select(
+        _genome(genome).alias("genome"), "record_ord", "record_id", F.explode(F.concat(F.array(first), each)).alias("x")
+    )
+    return flatten(rows.select("genome", "record_ord", "record_id", "x.contig", "x.f.*"))
+
+
 def errors(records: DataFrame, genome: str = "rel") -> DataFrame:
     """Records that cannot be read, and features that have no place on their record."""
     each = F.when(F.col("error").isNotNull(), F.array("error")).otherwise(F.col("feature_errors"))

@@ -107,6 +107,30 @@ def test_table_functions(session):
         session.sql("SELECT * FROM kmers('ACGT', 0)").collect()
 
 
+def test_contigs_and_features_of_one_reading(session, tmp_path):
+    """Both readers give the same rows, and the files are read once for contigs and features."""
+    text = "\n".join([
+        "LOCUS       r1 12 bp DNA circular", "VERSION     r1.1", "SOURCE      x", "  ORGANISM  Some thing", "FEATURES             Location/Qualifiers",
+        "     source          1..12", '                     /organism="Other"', "     CDS             complement(2..7)", '                     /locus_tag="t1"',
+        '                     /note="a ""quoted"" note', '                     of two lines"', "                     /pseudo", "     CDS             nowhere", "ORIGIN", "        1 acgtnACG-- t 12 \u00e9acg", "//", "",
+    ])
+    (tmp_path / "a.gb").write_text(text + "LOCUS       r2 0 bp\n//\nno record\n//\n")
+    source = session.read.format("genbank").load(str(tmp_path))
+    for records in (genbank.read_records(session, str(tmp_path)), source):
+        both = genbank.contigs_and_features(records)
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") + plan.count("BatchScan") == 1
+        rows = both.collect()
+        contigs = {(x.record_id, x.contig.organism, x.contig.topology, x.contig.length, x.contig.seq) for x in rows if x.contig}
+        assert contigs == {("r1.1", "Some thing", "circular", 12, "ACGTNACGTACG"), ("r2", "", "linear", 0, "")}
+        assert contigs == {(x.record_id, x.organism, x.topology, x.length, x.seq) for x in genbank.contigs(records).collect()}
+        features = [x.asDict() for x in rows if not x.contig]
+        want = [x.asDict() for x in genbank.features(records).collect()]
+        assert [{k: v for k, v in x.items() if k != "contig"} for x in features] == want and len(want) == 2
+        assert want[1]["note"] == 'a "quoted" note of two lines' and want[1]["strand"] == -1
+        assert sorted(x.error for x in genbank.errors(records).collect())[0].startswith("feature 2 (CDS)")
+
+
 def test_genes_one_by_one(session, tmp_path):
     """Tags of a list in its order, the last CDS of a tag, a record to each gene's folder, lost tags an error."""
     from conftest import contig_rows, feature_rows
