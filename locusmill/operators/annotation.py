@@ -358,13 +358,16 @@ def keyword_conservation(
 def keyword_conservation_rows(
     df: DataFrame, keywords: Sequence[str], min_genomes: int = 2, exact: bool = False
 ) -> DataFrame:
-    kept = keyword_conservation(df, keywords, min_genomes, exact).where("conserved")
+    # one entry per keyword asked for: rows look theirs up, as a join would send all rows of a
+    # keyword to one task
+    kept = keyword_conservation(df, keywords, min_genomes, exact).where("conserved").agg(F.collect_list(F.struct("keyword", "genomes"))).scalar()
+    rows = _keyword_cds(df, keywords)
     return (
-        _keyword_cds(df, keywords)
-        .join(kept.select("keyword", "genomes"), "keyword")
+        rows.withColumn("_all", kept)
+        .withColumn("_kept", F.explode(F.filter("_all", lambda k: k["keyword"] == F.col("keyword"))))
         .select(
             F.col("keyword").alias("Keyword"),
-            F.col("genomes").alias("Genomes_Found"),
+            F.col("_kept.genomes").alias("Genomes_Found"),
             F.col("genome").alias("Genome_File"),
             F.col("record_id").alias("Locus"),
             F.col("locus").alias("Locus_Tag"),

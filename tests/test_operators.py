@@ -356,3 +356,15 @@ def test_regions(spark):
     with pytest.raises(Exception, match="ambiguous"):
         rg.pick_contig(three, "contig_2").collect()
     assert rg.pick_contig(three, "contig_20").count() == 1
+
+
+def test_rows_of_a_keyword_stay_where_they_are(spark):
+    """No join brings the rows of a keyword together; a keyword below the bar has none."""
+    rows = [{"genome": f"g{i % 3}", "record_id": "c", "locus_tag": f"t{i}", "product": "efflux pump" if i % 2 else "Ligase", "translation": "MA"} for i in range(40)]
+    rows.append({"genome": "g0", "locus_tag": "x", "product": "lonely", "translation": "MA"})
+    df = feature_rows(spark, rows)
+    got = ann.keyword_conservation_rows(df, ["pump", "ligase", "lonely", "nothing"])
+    assert got._jdf.queryExecution().executedPlan().toString().count("Join [keyword") <= 1
+    assert sorted((r.Keyword, r.Genomes_Found, r.Genome_File, r.Locus_Tag) for r in got.collect()) == sorted(
+        ("pump" if i % 2 else "ligase", 3, f"g{i % 3}", f"t{i}") for i in range(40)
+    )
