@@ -64,3 +64,22 @@ def test_shared_block_has_high_identity_and_low_coverage():
     al = L.local_alignment(sc.encode(a), sc.encode(b), sc)
     assert al.identical / al.length > 0.9
     assert min(al.a_nongap / 1000, al.b_nongap / 1000) < 0.15
+
+
+def test_only_pairs_that_reach_the_score_are_aligned(monkeypatch):
+    """All pairs are scored, in stretches, and only those at ``least`` get a table with a way back."""
+    rng = random.Random(11)
+    sc = L.protein_scheme()
+    texts = [["".join(rng.choice(L.RESIDUES) for _ in range(rng.choice([0, 1, 7, 30, 90]))) for _ in range(80)] for _ in "ab"]
+    texts[1][::2] = [t[:5] + s[2:] + t[5:] for s, t in zip(texts[0][::2], texts[1][::2], strict=True)]
+    a, b = ([sc.encode(t) for t in side] for side in texts)
+    want = [brute_score(x, y, sc) for x, y in zip(a, b, strict=True)]
+    for cells in (1 << 17, 50):
+        monkeypatch.setattr(L, "SCORE_CELLS", cells)
+        assert L.local_scores(a, b, sc).tolist() == want
+    whole, tables = L.local_alignments(a, b, sc), []
+    table = L.LocalAlignments
+    monkeypatch.setattr(L, "LocalAlignments", lambda x, y, s: tables.append(len(x)) or table(x, y, s))
+    least = np.full(len(a), 60)
+    assert L.local_alignments(a, b, sc, least) == [al if n >= 60 else None for al, n in zip(whole, want, strict=True)]
+    assert 0 < sum(tables) == sum(n >= 60 for n in want) < len(a)

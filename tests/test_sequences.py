@@ -488,6 +488,29 @@ def test_word_pairs_of_all_identities(spark, monkeypatch):
         assert len(got) == len(want) and {(x["q_key"], x["r_key"]) for x in got} == want
 
 
+def test_words_meet_where_the_sequences_are(spark, monkeypatch):
+    """Word sets of a block and a chunk, for any letters; no row and no exchange per word."""
+    rng = random.Random(14)
+    made = ["".join(rng.choice("AC\U0001f9ecé") for _ in range(rng.choice([0, 2, 4, 9, 40]))) for _ in range(50)]
+    sets = [{s[i : i + 4] for i in range(len(s) - 3)} for s in made]
+    few, many = range(20), range(20, 50)
+    want = {(a, b - 20) for a in few for b in many if len(sets[a] & sets[b]) >= 0.2 * max(1, len(sets[a] | sets[b]))}
+    tiny = {(a, b - 20) for a in few for b in many if not sets[a] or not sets[b]}
+    for meetings in (1 << 22, 3):
+        monkeypatch.setattr(ho, "MEETINGS", meetings)
+        assert set(zip(*map(list, ho._alike(made[:20], made[20:], 0.2, False)), strict=True)) == want
+        assert set(zip(*map(list, ho._alike(made[:20], made[20:], 0.2, True)), strict=True)) == want | tiny
+    monkeypatch.setattr(ho, "CHUNK_ROWS", 7)
+    df = spark.createDataFrame(list(enumerate(made)), "key long, s string")
+    side = lambda x, part: df.where(part).select(F.col("key").alias(f"{x}_key"), F.col("s").alias(f"{x}_seq"), F.greatest(F.length("s") - 3, F.lit(0)).alias(f"{x}_n"))
+    identity = 0.4 ** 0.25
+    for small in ("q", "r"):
+        pairs = ho.word_pairs(side("q", "key < 20"), side("r", "key >= 20"), identity, small)
+        got = [(x.q_key, x.r_key - 20) for x in pairs.collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert "word" not in pairs._jdf.queryExecution().toString().lower()
+
+
 def test_long_records_in_tiles_of_words(monkeypatch):
     """A record is weighed tile by tile with the result of the whole table."""
     rng = random.Random(12)
