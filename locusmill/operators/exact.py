@@ -14,6 +14,8 @@ from ..session import spread
 from .kmers import TILE
 
 ANCHOR = 8
+#: Long probes are looked for at every so many places of a subject; these divide TILE.
+GRIDS = (4, 16)
 
 
 def load_probes(fasta: DataFrame, raw: bool = False) -> DataFrame:
@@ -35,22 +37,34 @@ def containing(subjects: DataFrame, probes: DataFrame, key: Sequence[str]) -> Da
 
     A subject that contains a probe contains the first letters of it, so both sides
     meet on that word and only those pairs are looked at. The anchor length is that of
-    the probe where it is shorter. Words that no probe starts with are dropped by the
-    join itself, before anything is made distinct.
+    the probe where it is shorter. A probe of ANCHOR + g - 1 letters or more covers a word
+    at every g-th place of the subject wherever it lies, so only these words are cut from
+    subjects for it, and the probe offers its first g words; g is the largest of GRIDS that
+    the probe is long enough for. Words that no probe has are dropped by the join itself,
+    before anything is made distinct.
     """
-    anchored = probes.select(
-        "probe_ord", "probe", "core",
-        F.upper(F.substring("core", 1, ANCHOR)).alias("word"),
-    )
-    lengths = sorted(r[0] for r in anchored.select(F.length("word")).distinct().collect())  # 1 to ANCHOR
+    upper = F.upper("core")
+    grid = F.lit(1)
+    for g in sorted(GRIDS):
+        grid = F.when(F.length(upper) >= ANCHOR + g - 1, g).otherwise(grid)
+    firsts = F.transform(F.sequence(F.lit(1), F.col("grid")), lambda i: F.substring(F.col("upper"), i, F.lit(ANCHOR)))
+    anchored = probes.select("probe_ord", "probe", "core", upper.alias("upper"), grid.alias("grid"))
+    anchored = anchored.select("probe_ord", "probe", "core", "grid", F.explode(F.array_distinct(firsts)).alias("word"))
+    lengths: dict[int, list[int]] = {}  # of words, 1 to ANCHOR
+    for row in anchored.select("grid", F.length("word").alias("n")).distinct().collect():
+        lengths.setdefault(row.grid, []).append(row.n)
     if not lengths:
         raise ValueError("no valid probe")
-    # words of every anchor length from one pass over tiles that overlap by the longest
-    tiles = subjects.select(*key, F.explode(S.tiles(F.upper("seq"), TILE, lengths[-1] - 1)).alias("_tile"))
-    words = tiles.select(*key, F.explode(F.array_distinct(F.concat(*[S.windows("_tile", n) for n in lengths]))).alias("word"))
-    found = words.join(anchored, "word").drop("word").distinct()
+    # tiles overlap by the longest word, and their size is a multiple of every grid
+    tiles = subjects.select(*key, F.explode(S.tiles(F.upper("seq"), TILE, ANCHOR - 1)).alias("_tile"))
+    found = None
+    for g in sorted(lengths):
+        words = F.concat(*[F.regexp_extract_all("_tile", F.lit("(?s)(?=(.{%d})).{1,%d}" % (n, g)), F.lit(1)) for n in sorted(lengths[g])])
+        cut = tiles.select(*key, F.explode(F.array_distinct(words)).alias("word"))
+        met = cut.join(anchored.where(F.col("grid") == g).drop("grid"), "word").drop("word")
+        found = met if found is None else found.unionByName(met)
     return (
-        found.join(subjects.select(*key, "seq"), list(key))
+        found.distinct().join(subjects.select(*key, "seq"), list(key))
         .where(F.contains("seq", F.col("core")))
         .select(*key, "probe_ord", "probe")
     )

@@ -488,6 +488,21 @@ def test_word_pairs_of_all_identities(spark, monkeypatch):
         assert len(got) == len(want) and {(x["q_key"], x["r_key"]) for x in got} == want
 
 
+def test_probes_of_all_lengths_at_all_places(spark):
+    """Long probes meet on a grid of places, with fewer words, and none is lost."""
+    rng = random.Random(15)
+    subjects = ["".join(rng.choice("ACDEé") for _ in range(n)) for n in (0, 3, 11, 30, 1040, 2100)]
+    subjects.append(subjects[4].lower())
+    cores = [s[a : a + n] for s in subjects for n in (1, 3, 8, 10, 11, 22, 23, 40, 90) for a in {0, 1, 1009, 1016, 1023, max(0, len(s) - n)} | {rng.randrange(2100) for _ in range(4)}]
+    cores = sorted({c for c in cores if c}) + ["W" * 5, "W" * 50]
+    probes = spark.createDataFrame([(i, f"p{i}", c) for i, c in enumerate(cores)], "probe_ord long, probe string, core string")
+    df = spark.createDataFrame(list(enumerate(subjects)), "id long, seq string")
+    got = [(r.id, r.probe_ord) for r in ex.containing(df, probes, ["id"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, k) for i, s in enumerate(subjects) for k, c in enumerate(cores) if c in s}
+    plan = ex.containing(df, probes.where("length(core) >= 23"), ["id"])._jdf.queryExecution().toString()
+    assert "{1,16}" in plan and "{1,4}" not in plan
+
+
 def test_words_meet_where_the_sequences_are(spark, monkeypatch):
     """Word sets of a block and a chunk, for any letters; no row and no exchange per word."""
     rng = random.Random(14)
