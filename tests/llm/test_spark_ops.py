@@ -374,6 +374,34 @@ def test_digest_hangs_on_the_order_of_words(spark):
     assert digest[0] == digest[2] != digest[1]
 
 
+def test_documents_are_encoded_and_decoded_whole(spark, odd):
+    """The ids of each document, those that ``encode`` finds by joins; the whole text is read back."""
+    texts = [*TEXTS, "a ▁b", "▁", "x" * 300 + " of the"]
+    docs = docs_of(spark, texts)
+    ids = {r.doc_id: r.ids for r in SP.encode(docs).collect()}
+    for head in (0, 1 << 19):
+        got = {r.doc_id: r for r in SP.encode_documents(docs, head_words=head, with_ids=True).collect()}
+        assert {i: r.ids for i, r in got.items()} == ids and all(r.n_pieces == len(r.ids) for r in got.values())
+        assert [r.round_trip for _, r in sorted(got.items())] == ["▁" not in (t or "") for t in texts]
+    # hashes as Spark makes them
+    words = docs.select("doc_id", F.posexplode(SP.words_column(F.col("text"))).alias("at", "word"))
+    each = words.join(SP.encode_words(words.select("word").distinct(), P.load()), "word")
+    digest = F.sum(F.pmod(F.xxhash64("at", F.xxhash64("ids")), F.lit(1 << 31))).alias("d")
+    assert {r.doc_id: r.d for r in each.groupBy("doc_id").agg(digest).collect()} == {i: r.ids_digest for i, r in got.items() if r.n_words}
+
+
+def test_query_of_pieces_gives_ids(spark, tmp_path):
+    import sentencepiece
+
+    from locusmill.llm import queries
+
+    texts = ["one two  three", "", None, "x" * 300]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    model = sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
+    got = {r.doc_id: r for r in queries.QUERIES["op7_sentence_pieces"](spark, str(tmp_path)).collect()}
+    assert [model.decode(got[i].ids) for i in range(4)] == [t or "" for t in texts] and all(r.round_trip for r in got.values())
+
+
 def test_token_counts_of_small_tries(odd):
     whole, cut = (Counter(T.token_counts(odd, trie_bytes=n).collect()) for n in (1 << 23, 10))
     assert whole == cut and sum(whole.values()) == odd.count()
