@@ -330,6 +330,47 @@ def test_dedup_is_the_greedy_one(spark, idn, cov):
     assert got == brute_dedup(rows, idn, cov)
 
 
+@pytest.mark.parametrize("longest", [30, 150])
+def test_pairs_meet_on_pieces(spark, longest):
+    """No similar pair is lost, and words alone do not make a pair."""
+    rng = random.Random(longest)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+
+    def edited(s):
+        s = list(s[rng.choice([0, 0, 1, 2, longest // 10]) :])
+        for _ in range(rng.choice([0, 1, 1, 2, longest // 20])):
+            i = rng.randrange(len(s))
+            s[i : i + 1] = rng.choice(["", "A", "C", s[i] + "G", dna(1)])
+        return "".join(s)[:longest]
+
+    base = [dna(longest) for _ in range(8)]
+    rows = sorted({*base, *(edited(rng.choice(base)) for _ in range(60)), "ACGT", "ACG", "A", dna(9)})
+    # what is alike stands elsewhere
+    moved = [s[longest // 2 :] + s[: longest // 2] for s in base]
+    seqs = list(enumerate([*rows, *moved]))
+    df = spark.createDataFrame(seqs, "ord long, seq string")
+    scheme, want = L.dna_scheme(), set()
+    for i, a in seqs:
+        for j, b in seqs[i + 1 :]:
+            al = L.local_alignment(scheme.encode(a), scheme.encode(b), scheme)
+            if al and al.identical / al.length >= 0.95 and min(al.a_nongap / len(a), al.b_nongap / len(b)) >= 0.9:
+                want.add((i, j))
+    assert rd.has_pieces(0.95, 0.9, longest) and not rd.has_pieces(0.8, 0.8, longest)
+    found = rd._piece_pairs(df, 0.95, 0.9, longest).collect()
+    met = {(r.lo, r.hi) for r in found}
+    assert len(met) == len(found) and want <= met and len(want) > 50
+    assert not {(i, len(rows) + k) for k, s in enumerate(base) for i in [rows.index(s)]} & met
+    assert {(r.lo, r.hi) for r in rd.similar_pairs(df, 0.95, 0.9, longest).collect()} == want
+
+
+def test_sizes_are_forgotten_in_loops(spark):
+    """A round of joins must not square the estimated size of the one before: planning then takes for ever."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "lo long, hi long")
+    labels = rd.components(edges)
+    size = labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(str(size)).bit_length() < 200 and {r.comp for r in labels.collect()} == {0}
+
+
 def test_complete_linkage_keeps_unlike_ends_apart(spark):
     # A~B and B~C are similar, A~C is not
     edges = spark.createDataFrame([(1, 2, 0.91, 1.0), (2, 3, 0.91, 1.0)], "lo long, hi long, identity double, coverage double")
