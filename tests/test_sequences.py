@@ -330,6 +330,24 @@ def test_dedup_is_the_greedy_one(spark, idn, cov):
     assert got == brute_dedup(rows, idn, cov)
 
 
+def test_reciprocal_hits_are_aligned_once(spark, monkeypatch):
+    """One pass of alignments gives what two searches give, also for sequences of one length."""
+    rng = random.Random(3)
+    base = ["".join(rng.choice("ACDEF") for _ in range(40)) for _ in range(4)]
+    edited = lambda s: "".join(rng.choice("ACDEF") if rng.random() < 0.2 else c for c in s)
+    side = lambda g: feature_rows(spark, [{"genome": g, "locus_tag": f"{g}{i}", "translation": edited(s)[: rng.choice([40, 40, 33])]} for i, s in enumerate(base * 3)])
+    query, ref = side("Q"), side("R")
+    args = dict(min_identity=0.3, min_coverage=0.5)
+    best = lambda q, r: ho.best_hits(ho.find_homologs(ho.protein_table(q), ho.protein_table(r), **args)).collect()
+    back = {(h.ref_locus, h.query_locus) for h in best(ref, query)}
+    figures = lambda h: (h.query_locus, h.ref_locus, h.identity, h.coverage, h.alignment_length, h.mismatches, h.q_cov, h.r_cov)
+    want = sorted(figures(h) for h in best(query, ref) if (h.query_locus, h.ref_locus) in back)
+    calls, made = [], ho._aligned
+    monkeypatch.setattr(ho, "_aligned", lambda *a, **k: calls.append(a) or made(*a, **k))
+    got = ho.reciprocal_best_hits(query, ref, **args).collect()
+    assert sorted(map(figures, got)) == want and len(want) > 4 and len(calls) == 1
+
+
 @pytest.mark.parametrize("longest", [30, 150])
 def test_pairs_meet_on_pieces(spark, longest):
     """No similar pair is lost, and words alone do not make a pair."""
